@@ -293,4 +293,4 @@ def extract(pages: DataFrame, key: str = "page_id", markup: str = "html", also:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f"c{i}" for i in range(len(extra))), "text", "n_chars"])
 
     kinds = ", ".join(f"c{i} {pages.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
-    return pages.select(markup, *extra).mapInArrow(run, f"{kinds}, text string, n_chars long").toDF(*extra, "text", "n_chars")
+    return pages.select(F.col(markup).alias("m"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(extra))).mapInArrow(run, f"{kinds}, text string, n_chars long").toDF(*extra, "text", "n_chars")
