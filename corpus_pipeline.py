@@ -9,12 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
+from lumentide.llm.common import stored
 
-def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The documents whose key is among keys (unique)."""
-    return docs.join(keys.withColumnRenamed("doc_id", "__key"), F.col("doc_id").eqNullSafe(F.col("__key")), "left_semi").select(*COLUMNS)
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +30,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least key, of each group linked by five-word shingles at 0.8."""
+    """Keeps one document, that of the least key, of each group linked by five-word shingles at 0.8.
+
+    Where rows share a key, one of them stays.
+    """
     from lumentide.llm.jaccard import linked_components
 
-    found = linked_components(docs, k=5, percent=80)
-    return _kept(docs, found.where("component_id <=> doc_id").select("doc_id").distinct())
+    found = linked_components(docs, k=5, percent=80).where("component_id <=> doc_id").groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("__rows"))
+    found = stored(found, "firsts")
+    kept = docs.select(*COLUMNS).join(found.select("__key"), F.col("doc_id").eqNullSafe(F.col("__key")), "left_semi")
+    return kept if found.where("__rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +65,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each to all that the one before kept."""
-    from lumentide.llm.common import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
