@@ -6,15 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWEST, lower_ascii, mix64, ordered_key, segment_hashes, session_setup, shared_dir, stored, text_buffer, word_bounds
+from .common import LOWEST, lower_ascii, mix64, ordered_key, segment_hashes, session_setup, stored, text_buffer, word_bounds
 
 #: Slots in which shingles are counted to order them by rarity (a fixed size, whatever the corpus).
 SLOTS = 1 << 18
-#: Longest extension of a prefix, and what verifying a pair costs in list entries.
-MOST_MATCHES, VERIFY_COST = 4, 8
+#: Most shared prefix tokens that may be asked for, what verifying a pair costs in list entries, and list entries of a
+#: base prefix up to which it is not lengthened.
+MOST_MATCHES, VERIFY_COST, CHEAP = 32, 8, 4
 #: Bits of the map that tells which documents' sets are needed.
 MAP_BITS = 1 << 24
 _M = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -85,23 +86,6 @@ def _place(k1: int, key: int) -> int:
     return int(mix64(np.array([(k1 ^ (key * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] >> np.uint64(40))
 
 
-def matches_for(tokens: np.ndarray, percent: int) -> int:
-    """How many shared prefix tokens to ask for: the number with the least estimated cost of lists and verifications."""
-    n = len(tokens)
-    need = -(-percent * n // 100)
-    base = n - need + 1
-    top = min(MOST_MATCHES, need)
-    cls = (tokens[: base + top - 1] >> np.uint64(57)).astype(np.int64)
-    lists = np.cumsum(np.where(cls > 0, np.exp2(cls) - 1, 0))
-    best, least = 1, None
-    for m in range(1, top + 1):
-        total = float(lists[min(base + m - 1, n) - 1])
-        cost = total + VERIFY_COST * total / m**2
-        if least is None or cost < 0.9 * least:
-            best, least = m, cost
-    return best
-
-
 def _components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node in the edges (a, b): comp is the least node reachable.
 
@@ -127,9 +111,10 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
 
     1. Shingles are counted in hashed slots; rarer ones come first in one order for all.
     2. Documents with equal sets form a class, of which one takes part in the join.
-    3. A set of n tokens has n - ceil(t n) + m prefix tokens: two similar sets share at least m of these. Each
-       document's m is the one whose lists and candidates are estimated to cost least; a pair must share as many as
-       the smaller m of the two. Tokens that only one class has in its prefix go; they also bound its overlaps.
+    3. A set of n tokens has n - ceil(t n) + m prefix tokens: two similar sets share at least m of these. The lists of
+       the base prefixes (m = 1) tell each document's candidates; where they are many, its m is the one for which list
+       entries and verifications are estimated to cost least. A pair must share as many as the smaller m of the two.
+       Tokens that only one class has in its prefix go; they also bound what it can share.
     4. In each token's list the class with the fewest lone tokens is held against the others. Pairs that pass the
        exact check are linked; lists that then lie in one component are done, whatever their length.
     5. All pairs of classes in different components that share enough tokens are checked exactly. Pairs inside a
@@ -142,7 +127,7 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
     spark = docs.sparkSession
     session_setup(spark)
     classes = rarity(slot_counts(docs, k, text))
-    rows = docs.select(ordered_key(key).alias("key"), text)
+    rows = docs.select(ordered_key(key).alias("key"), F.col(text).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,33 +135,34 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
             for x, tokens in zip(batch.column(0).to_pylist(), _sets(*text_buffer(batch.column(1)), k, classes), strict=True):
                 n = len(tokens)
                 if not n:
-                    out.append((x, 0, None, None, None, None, None))
+                    out.append((x, 0, None, None, None, None))
                     continue
-                m = matches_for(tokens, percent)
-                length = n - -(-percent * n // 100) + m
                 k1, k2 = _identity(tokens)
-                out.append((x, n, k1, k2, _place(k1, x), m, tokens[:length].view(np.int64)))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "n", "k1", "k2", "place", "m", "prefix"])
-
-    table = stored(rows.mapInArrow(describe, "key long, n long, k1 long, k2 long, place long, m int, prefix array<long>"), "sets").withColumn("id", F.monotonically_increasing_id())
-    found = table.where("n > 0").select("k1", "k2", F.struct("key", "id", "n", "m", "place", "prefix").alias("s"))
-    reps = stored(found.groupBy("k1", "k2").agg(F.min("s").alias("s")).select("k1", "k2", "s.*"), "classes")
-    # lists
-    entries = reps.select(F.explode("prefix").alias("t"), "id", "n", "m")
-    shared = F.col("size") > 1
-    from pyspark.sql import Window
-
-    by_token = Window.partitionBy("t")
-    lists = entries.withColumn("size", F.count("*").over(by_token)).where(shared).drop("size")
-    lists = stored(lists, "lists")
-    left = lists.groupBy("id").agg(F.count("*").alias("in_lists"))
+                out.append((x, n, k1, k2, _place(k1, x), tokens[: n - -(-percent * n // 100) + MOST_MATCHES].view(np.int64)))
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "n", "k1", "k2", "place", "prefix"])
+
+    table = stored(rows.mapInArrow(describe, "key long, n long, k1 long, k2 long, place long, prefix array<long>"), "sets").withColumn("id", F.monotonically_increasing_id())
+    found = table.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("key", "id", "n", "place", "prefix")).alias("s"))
+    reps = stored(found.select("k1", "k2", "s.*"), "classes")
+    need = F.ceil(F.col("n") * percent / 100).cast("int")
+    base = (F.col("n") - need + 1).cast("int")
+    # the base prefixes' lists, and from them each class's m
+    sizes = reps.select("id", F.explode(F.slice("prefix", F.lit(1), base)).alias("t")).withColumn("size", F.count("*").over(Window.partitionBy("t"))).where("size > 1")
+    met = sizes.groupBy("id").agg(F.count("*").alias("shared"), F.sum(F.col("size") - 1).alias("cost"))
+    best = F.greatest(F.lit(1), F.least(F.lit(MOST_MATCHES), need, F.round(F.cbrt(2.0 * VERIFY_COST * base)).cast("int")))
+    chosen = reps.join(met, "id").where(100 * (F.col("n") - base + F.col("shared")) >= percent * F.col("n"))
+    chosen = chosen.withColumn("m", F.when(F.col("cost") <= CHEAP, F.lit(1)).otherwise(best)).withColumn("length", base + F.col("m") - 1)
+    chosen = stored(chosen.withColumn("prefix", F.slice("prefix", F.lit(1), F.col("length"))).drop("shared", "cost"), "chosen")
+    entries = chosen.select("id", F.explode("prefix").alias("t"))
+    common = entries.groupBy("t").agg(F.count("*").alias("size")).where("size > 1").select("t")
+    lists = stored(entries.join(common, "t"), "lists")
     # what a class can share at most: its tokens less those of its prefix that no other class has there
-    reach = reps.select("id", "n", F.size("prefix").alias("p"), "k1", "k2", "key", "place").join(left, "id").select("id", (F.col("n") - F.col("p") + F.col("in_lists")).alias("most"), "k1", "k2", "key", "place", "n")
-    reach = stored(reach.where(100 * F.col("most") >= percent * F.col("n")), "reach")
-    lists = stored(lists.join(reach.select("id", "most"), "id"), "lists")
-    sets = _needed_sets(rows, reach, k, classes)
+    reach = chosen.drop("prefix").join(lists.groupBy("id").agg(F.count("*").alias("shared")), "id")
+    reach = reach.withColumn("most", F.col("n") - F.col("length") + F.col("shared")).where((100 * F.col("most") >= percent * F.col("n")) & (F.col("shared") >= F.col("m")))
+    reach = stored(reach.select("id", "n", "m", "most", "k1", "k2", "key", "place"), "reach")
+    lists = stored(lists.join(reach.select("id", "n", "m", "most"), "id"), "lists")
 
     def enough(x: str, y: str):
         """Whether two classes can share as much as similar ones must."""
@@ -184,6 +170,9 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar; each a's set travels to its b."""
+        pairs = stored(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        sets = _needed_sets(rows, reach.join(ids, "id", "left_semi"), k, classes)
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -200,29 +189,24 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
         return stored(two.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
     # Each list's hub: the member that can share most of its set, which is the nearest to what the list's members have in common.
-    hub = F.min(F.struct((F.col("n") - F.col("most")).alias("lone"), F.col("id"), F.col("n"), F.col("most"))).over(by_token)
-    x, y = lists.withColumn("h", hub), ("e", "h")
-    star = x.where(F.col("h.id") != F.col("id")).where((100 + percent) * F.least("most", "h.most") >= percent * (F.col("n") + F.col("h.n")))
-    star = star.groupBy(F.col("id").alias("a"), F.col("h.id").alias("b")).agg(F.count("*").alias("c"))
-    top = star.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))  # of several hubs, the one met most
-    links = verified(top)
-    if links.isEmpty():
-        comps = links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    else:
-        comps = _components(links)
-    labelled = lists.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    spread = labelled.withColumn("lo", F.min("comp").over(by_token)).withColumn("hi", F.max("comp").over(by_token)).where("lo <> hi").drop("lo", "hi")
-    spread = stored(spread, "lists")
+    hubs = stored(lists.groupBy("t").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("lone"), F.col("id"), F.col("n"), F.col("most"), F.col("m"))).alias("s")).select("t", "s.*"), "hubs")
+    e, h = lists.alias("e"), hubs.alias("h")
+    star = e.join(h, (F.col("e.t") == F.col("h.t")) & (F.col("e.id") != F.col("h.id")) & enough("e", "h"))
+    star = star.groupBy(F.col("e.id").alias("a"), F.col("h.id").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("e.m", "h.m")).alias("m")).where("c >= m")
+    links = verified(star.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")))  # of several hubs, the one met most
+    comps = links.select(F.col("a").alias("node"), F.col("b").alias("comp")) if links.isEmpty() else _components(links)
+    labelled = stored(lists.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "lists")
+    mixed = stored(labelled.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t"), "mixed")
+    spread = stored(labelled.join(mixed, "t"), "lists")
     e, f = spread.alias("e"), spread.alias("f")
     pairs = e.join(f, (F.col("e.t") == F.col("f.t")) & (F.col("e.id") < F.col("f.id")) & (F.col("e.comp") != F.col("f.comp")) & enough("e", "f"))
     pairs = pairs.groupBy(F.col("e.id").alias("a"), F.col("f.id").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("e.m", "f.m")).alias("m")).where("c >= m").select("a", "b")
-    more = verified(stored(pairs, "pairs"))
+    more = verified(pairs)
     if not more.isEmpty():
         comps = _components(links.unionByName(more))
     # labels of classes, then of rows
-    known = reps.select("k1", "k2", "key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    known = stored(known, "known")
-    least = known.groupBy("comp").agg(F.min("key").alias("component"))
+    known = stored(reps.select("k1", "k2", "key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "known")
+    least = stored(known.groupBy("comp").agg(F.min("key").alias("component")), "least")
     label = known.join(least, "comp").select("k1", "k2", "component")
     out = table.select("key", "n", "k1", "k2").join(label, ["k1", "k2"], "left")
     null = lambda c: F.nullif(c, F.lit(LOWEST))
@@ -252,5 +236,5 @@ def _needed_sets(rows: DataFrame, reach: DataFrame, k: int, classes: np.ndarray)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.binary()], strict=True)], names=["key", "k1", "k2", "tokens"])
 
     got = rows.mapInArrow(made, "key long, k1 long, k2 long, tokens binary")
-    joined = got.join(reach.select("key", "k1", "k2", "id"), ["key", "k1", "k2"]).groupBy("id").agg(F.first("tokens").alias("tokens"))
-    return stored(joined, "needed")
+    once = got.groupBy("key", "k1", "k2").agg(F.first("tokens").alias("tokens"))  # repeated rows make a set again
+    return stored(once.join(reach.select("key", "k1", "k2", "id"), ["key", "k1", "k2"]).select("id", "tokens"), "needed")
