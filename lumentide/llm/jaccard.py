@@ -155,14 +155,14 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
     chosen = reps.join(met, "id").where(100 * (F.col("n") - base + F.col("shared")) >= percent * F.col("n"))
     chosen = chosen.withColumn("m", F.when(F.col("cost") <= CHEAP, F.lit(1)).otherwise(best)).withColumn("length", base + F.col("m") - 1)
     chosen = stored(chosen.withColumn("prefix", F.slice("prefix", F.lit(1), F.col("length"))).drop("shared", "cost"), "chosen")
-    entries = chosen.select("id", F.explode("prefix").alias("t"))
+    entries = chosen.select("id", F.posexplode("prefix").alias("pos", "t"))
     common = entries.groupBy("t").agg(F.count("*").alias("size")).where("size > 1").select("t")
     lists = stored(entries.join(common, "t"), "lists")
     # what a class can share at most: its tokens less those of its prefix that no other class has there
     reach = chosen.drop("prefix").join(lists.groupBy("id").agg(F.count("*").alias("shared")), "id")
     reach = reach.withColumn("most", F.col("n") - F.col("length") + F.col("shared")).where((100 * F.col("most") >= percent * F.col("n")) & (F.col("shared") >= F.col("m")))
-    reach = stored(reach.select("id", "n", "m", "most", "k1", "k2", "key", "place"), "reach")
-    lists = stored(lists.join(reach.select("id", "n", "m", "most"), "id"), "lists")
+    reach = stored(reach.select("id", "n", "m", "most", (F.col("length") - F.col("m") + 1).alias("base"), "k1", "k2", "key", "place"), "reach")
+    lists = stored(lists.join(reach.select("id", "n", "m", "most", "base"), "id"), "lists")
 
     def enough(x: str, y: str):
         """Whether two classes can share as much as similar ones must."""
@@ -197,10 +197,15 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
     comps = links.select(F.col("a").alias("node"), F.col("b").alias("comp")) if links.isEmpty() else _components(links)
     labelled = stored(lists.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "lists")
     mixed = stored(labelled.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t"), "mixed")
-    spread = stored(labelled.join(mixed, "t"), "lists")
+    # The first token that two similar classes share lies in the base prefixes of both; there, and only there, the pair
+    # is made, if the longer prefixes share enough.
+    spread = labelled.where(F.col("pos") < F.col("base")).join(mixed, "t").join(chosen.select("id", "prefix"), "id")
+    spread = stored(spread.select("t", "id", "comp", "n", "m", "most", "prefix"), "lists")
     e, f = spread.alias("e"), spread.alias("f")
-    pairs = e.join(f, (F.col("e.t") == F.col("f.t")) & (F.col("e.id") < F.col("f.id")) & (F.col("e.comp") != F.col("f.comp")) & enough("e", "f"))
-    pairs = pairs.groupBy(F.col("e.id").alias("a"), F.col("f.id").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("e.m", "f.m")).alias("m")).where("c >= m").select("a", "b")
+    both = F.array_intersect("e.prefix", "f.prefix")
+    first_shared = (F.element_at(both, 1) == F.col("e.t")) & (F.size(both) >= F.least("e.m", "f.m"))
+    pairs = e.join(f, (F.col("e.t") == F.col("f.t")) & (F.col("e.id") < F.col("f.id")) & (F.col("e.comp") != F.col("f.comp")) & enough("e", "f") & first_shared)
+    pairs = pairs.select(F.col("e.id").alias("a"), F.col("f.id").alias("b"))
     more = verified(pairs)
     if not more.isEmpty():
         comps = _components(links.unionByName(more))
