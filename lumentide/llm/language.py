@@ -76,8 +76,8 @@ class Model:
         would not pay for a second language even then are settled as soon as a bound shows it.
         """
         n, k = len(texts), len(self.languages)
-        scores, row = self.word_scores(texts)
         share = np.zeros((n, k))
+        scores, row = self.word_scores(texts) if k else (share, share[:0])
         if not k or not len(row):
             return ["und"] * n, np.zeros(n), share
         first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
