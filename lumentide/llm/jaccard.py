@@ -199,8 +199,10 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
     mixed = stored(labelled.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t"), "mixed")
     # The first token that two similar classes share lies in the base prefixes of both; there, and only there, the pair
     # is made, if the longer prefixes share enough.
-    spread = labelled.where(F.col("pos") < F.col("base")).join(mixed, "t").join(chosen.select("id", "prefix"), "id")
-    spread = stored(spread.select("t", "id", "comp", "n", "m", "most", "prefix"), "lists")
+    mixed = stored(labelled.join(mixed, "t"), "lists")  # what is left: lists over several components
+    tokens = mixed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("prefix"))
+    spread = mixed.where(F.col("pos") < F.col("base")).select("t", "id", "comp", "n", "m", "most").join(tokens, "id")
+    spread = stored(spread, "lists")
     e, f = spread.alias("e"), spread.alias("f")
     both = F.array_intersect("e.prefix", "f.prefix")
     first_shared = (F.element_at(both, 1) == F.col("e.t")) & (F.size(both) >= F.least("e.m", "f.m"))
