@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 #: Most buckets an ordering is cut into; what is gathered per bucket on the driver is a few numbers.
 MAX_BUCKETS = 1 << 16
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session_setup(spark: SparkSession) -> None:
@@ -33,10 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it: cuts lineage, survives lost executors."""
+    """Writes df as a Parquet table in the shared folder and reads it: cuts lineage, survives lost executors.
+
+    The write's shuffle files are deleted as soon as it has ended, as nothing can read them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWEST, lower_ascii, mix64, ordered_key, segment_hashes, session_setup, stored, text_buffer, word_bounds
+from .common import LOWEST, dropped, lower_ascii, mix64, ordered_key, segment_hashes, session_setup, stored, text_buffer, word_bounds
 
 #: Slots in which shingles are counted to order them by rarity (a fixed size, whatever the corpus).
 SLOTS = 1 << 18
@@ -146,6 +146,8 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
     table = stored(rows.mapInArrow(describe, "key long, n long, k1 long, k2 long, place long, prefix array<long>"), "sets").withColumn("id", F.monotonically_increasing_id())
     found = table.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("key", "id", "n", "place", "prefix")).alias("s"))
     reps = stored(found.select("k1", "k2", "s.*"), "classes")
+    named = stored(table.select("key", "n", "k1", "k2"), "named")  # what is told of each row; its prefix has done
+    dropped(table)
     need = F.ceil(F.col("n") * percent / 100).cast("int")
     base = (F.col("n") - need + 1).cast("int")
     # the base prefixes' lists, and from them each class's m
@@ -155,6 +157,8 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
     chosen = reps.join(met, "id").where(100 * (F.col("n") - base + F.col("shared")) >= percent * F.col("n"))
     chosen = chosen.withColumn("m", F.when(F.col("cost") <= CHEAP, F.lit(1)).otherwise(best)).withColumn("length", base + F.col("m") - 1)
     chosen = stored(chosen.withColumn("prefix", F.slice("prefix", F.lit(1), F.col("length"))).drop("shared", "cost"), "chosen")
+    classed = stored(reps.select("k1", "k2", "key", "id"), "classed")
+    dropped(reps)
     entries = chosen.select("id", F.posexplode("prefix").alias("pos", "t"))
     common = entries.groupBy("t").agg(F.count("*").alias("size")).where("size > 1").select("t")
     lists = stored(entries.join(common, "t"), "lists")
@@ -162,7 +166,9 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
     reach = chosen.drop("prefix").join(lists.groupBy("id").agg(F.count("*").alias("shared")), "id")
     reach = reach.withColumn("most", F.col("n") - F.col("length") + F.col("shared")).where((100 * F.col("most") >= percent * F.col("n")) & (F.col("shared") >= F.col("m")))
     reach = stored(reach.select("id", "n", "m", "most", (F.col("length") - F.col("m") + 1).alias("base"), "k1", "k2", "key", "place"), "reach")
-    lists = stored(lists.join(reach.select("id", "n", "m", "most", "base"), "id"), "lists")
+    all_lists, lists = lists, stored(lists.join(reach.select("id", "n", "m", "most", "base"), "id"), "lists")
+    dropped(chosen)
+    dropped(all_lists)
 
     def enough(x: str, y: str):
         """Whether two classes can share as much as similar ones must."""
@@ -186,7 +192,10 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
 
         one = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
         two = one.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-        return stored(two.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+        links = stored(two.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+        dropped(pairs)
+        dropped(sets)
+        return links
 
     # Each list's hub: the member that can share most of its set, which is the nearest to what the list's members have in common.
     hubs = stored(lists.groupBy("t").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("lone"), F.col("id"), F.col("n"), F.col("most"), F.col("m"))).alias("s")).select("t", "s.*"), "hubs")
@@ -209,13 +218,14 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
     pairs = e.join(f, (F.col("e.t") == F.col("f.t")) & (F.col("e.id") < F.col("f.id")) & (F.col("e.comp") != F.col("f.comp")) & enough("e", "f") & first_shared)
     pairs = pairs.select(F.col("e.id").alias("a"), F.col("f.id").alias("b"))
     more = verified(pairs)
+    dropped(spread)
     if not more.isEmpty():
         comps = _components(links.unionByName(more))
     # labels of classes, then of rows
-    known = stored(reps.select("k1", "k2", "key", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "known")
+    known = stored(classed.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "known")
     least = stored(known.groupBy("comp").agg(F.min("key").alias("component")), "least")
     label = known.join(least, "comp").select("k1", "k2", "component")
-    out = table.select("key", "n", "k1", "k2").join(label, ["k1", "k2"], "left")
+    out = named.join(label, ["k1", "k2"], "left")
     null = lambda c: F.nullif(c, F.lit(LOWEST))
     return out.select(null(F.col("key")).alias(key), F.col("n").alias("n_shingles"), null(F.coalesce("component", "key")).alias("component_id"))
 
