@@ -81,9 +81,9 @@ def _identity(tokens: np.ndarray) -> tuple[int, int]:
     return a - (1 << 63), b - (1 << 63)
 
 
-def _place(k1: int, key: int) -> int:
-    """A document's bit in the map of needed sets."""
-    return int(mix64(np.array([(k1 ^ (key * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] >> np.uint64(40))
+def _places(keys: pa.Array) -> np.ndarray:
+    """The keys' bits in the map of needed sets."""
+    return (mix64(keys.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(1)) >> np.uint64(40)).astype(np.int64)
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -113,8 +113,8 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
     2. Documents with equal sets form a class, of which one takes part in the join.
     3. A set of n tokens has n - ceil(t n) + m prefix tokens: two similar sets share at least m of these. The lists of
        the base prefixes (m = 1) tell each document's candidates; where they are many, its m is the one for which list
-       entries and verifications are estimated to cost least. A pair must share as many as the smaller m of the two.
-       Tokens that only one class has in its prefix go; they also bound what it can share.
+       entries and verifications are estimated to cost least. A pair must share as many as the m of the one whose
+       prefix ends first. Tokens that only one class has in its prefix go; they also bound what that one can share.
     4. In each token's list the class with the fewest lone tokens is held against the others. Pairs that pass the
        exact check are linked; lists that then lie in one component are done, whatever their length.
     5. All pairs of classes in different components that share enough tokens are checked exactly. Pairs inside a
@@ -132,13 +132,13 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, tokens in zip(batch.column(0).to_pylist(), _sets(*text_buffer(batch.column(1)), k, classes), strict=True):
+            for x, place, tokens in zip(batch.column(0).to_pylist(), _places(batch.column(0)).tolist(), _sets(*text_buffer(batch.column(1)), k, classes), strict=True):
                 n = len(tokens)
                 if not n:
                     out.append((x, 0, None, None, None, None))
                     continue
                 k1, k2 = _identity(tokens)
-                out.append((x, n, k1, k2, _place(k1, x), tokens[: n - -(-percent * n // 100) + MOST_MATCHES].view(np.int64)))
+                out.append((x, n, k1, k2, place, tokens[: n - -(-percent * n // 100) + MOST_MATCHES].view(np.int64)))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "n", "k1", "k2", "place", "prefix"])
@@ -162,17 +162,18 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
     entries = chosen.select("id", F.posexplode("prefix").alias("pos", "t"))
     common = entries.groupBy("t").agg(F.count("*").alias("size")).where("size > 1").select("t")
     lists = stored(entries.join(common, "t"), "lists")
-    # what a class can share at most: its tokens less those of its prefix that no other class has there
-    reach = chosen.drop("prefix").join(lists.groupBy("id").agg(F.count("*").alias("shared")), "id")
-    reach = reach.withColumn("most", F.col("n") - F.col("length") + F.col("shared")).where((100 * F.col("most") >= percent * F.col("n")) & (F.col("shared") >= F.col("m")))
-    reach = stored(reach.select("id", "n", "m", "most", (F.col("length") - F.col("m") + 1).alias("base"), "k1", "k2", "key", "place"), "reach")
-    all_lists, lists = lists, stored(lists.join(reach.select("id", "n", "m", "most", "base"), "id"), "lists")
+    # Of two prefixes one ends first in the order of tokens. What its class shares lies in both prefixes or past its end,
+    # so it is at most rest + the prefix tokens that others have too. That tells nothing of the other class.
+    chosen_ends = chosen.select("id", "n", "m", "k1", "k2", "key", "place", F.element_at("prefix", -1).alias("last"), (F.col("n") - F.col("length")).alias("rest"), (F.col("length") - F.col("m") + 1).alias("base"))
+    reach = chosen_ends.join(lists.groupBy("id").agg(F.count("*").alias("shared")), "id").withColumn("most", F.col("rest") + F.col("shared")).drop("shared")
+    reach = stored(reach, "reach")
+    all_lists, lists = lists, stored(lists.join(reach.select("id", "n", "m", "most", "base", "last", "rest"), "id"), "lists")
     dropped(chosen)
     dropped(all_lists)
 
-    def enough(x: str, y: str):
-        """Whether two classes can share as much as similar ones must."""
-        return (100 + percent) * F.least(F.col(f"{x}.most"), F.col(f"{y}.most")) >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+    def enough(x: str, y: str, most):
+        """Whether two classes that share most tokens or fewer can be similar."""
+        return (100 + percent) * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar; each a's set travels to its b."""
@@ -197,25 +198,34 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
         dropped(sets)
         return links
 
+    # This step only picks likely links, to lessen what the next has to do, so its bound need not hold for each.
     # Each list's hub: the member that can share most of its set, which is the nearest to what the list's members have in common.
     hubs = stored(lists.groupBy("t").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("lone"), F.col("id"), F.col("n"), F.col("most"), F.col("m"))).alias("s")).select("t", "s.*"), "hubs")
     e, h = lists.alias("e"), hubs.alias("h")
-    star = e.join(h, (F.col("e.t") == F.col("h.t")) & (F.col("e.id") != F.col("h.id")) & enough("e", "h"))
+    star = e.join(h, (F.col("e.t") == F.col("h.t")) & (F.col("e.id") != F.col("h.id")) & enough("e", "h", F.least("e.most", "h.most")))
     star = star.groupBy(F.col("e.id").alias("a"), F.col("h.id").alias("b")).agg(F.count("*").alias("c"), F.first(F.least("e.m", "h.m")).alias("m")).where("c >= m")
     links = verified(star.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")))  # of several hubs, the one met most
     comps = links.select(F.col("a").alias("node"), F.col("b").alias("comp")) if links.isEmpty() else _components(links)
     labelled = stored(lists.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "lists")
     mixed = stored(labelled.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t"), "mixed")
     # The first token that two similar classes share lies in the base prefixes of both; there, and only there, the pair
-    # is made, if the longer prefixes share enough.
+    # is made, from the one whose prefix ends first, if what follows (left) and then what the prefixes share is enough.
     mixed = stored(labelled.join(mixed, "t"), "lists")  # what is left: lists over several components
-    tokens = mixed.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("prefix"))
-    spread = mixed.where(F.col("pos") < F.col("base")).select("t", "id", "comp", "n", "m", "most").join(tokens, "id")
-    spread = stored(spread, "lists")
-    e, f = spread.alias("e"), spread.alias("f")
+    prefixes = mixed.groupBy("id").agg(*(F.first(c).alias(c) for c in ("comp", "n", "last", "rest", "base")), F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("at"))
+    prefixes = stored(prefixes, "prefixes")
+    dropped(mixed)
+    marks = prefixes.select("id", "comp", "n", "last", "rest", "base", F.size("at").alias("size"), F.posexplode("at").alias("i", "x")).where("x.pos < base")
+    marks = marks.select("x.t", "id", "comp", "n", "last", "rest", (F.col("rest") + F.col("size") - F.col("i")).alias("left"), (F.col("n") - F.col("x.pos")).alias("after"))
+    smallest = F.ceil(F.col("n") * percent / 100)  # set that can be similar
+    marks = stored(marks.withColumn("strong", (100 + percent) * F.col("left") >= percent * (F.col("n") + smallest)), "marks")
+    spread = marks.join(marks.where("strong").select("t").distinct(), "t").join(prefixes.select("id", F.transform("at", lambda x: x["t"]).alias("prefix")), "id")
+    spread = stored(spread, "spread")
+    e, f = spread.where("strong").alias("e"), spread.alias("f")
     both = F.array_intersect("e.prefix", "f.prefix")
-    first_shared = (F.element_at(both, 1) == F.col("e.t")) & (F.size(both) >= F.least("e.m", "f.m"))
-    pairs = e.join(f, (F.col("e.t") == F.col("f.t")) & (F.col("e.id") < F.col("f.id")) & (F.col("e.comp") != F.col("f.comp")) & enough("e", "f") & first_shared)
+    can = enough("e", "f", F.least("e.left", "e.after", "f.after"))
+    first_shared = (F.element_at(both, 1) == F.col("e.t")) & enough("e", "f", F.size(both) + F.col("e.rest"))
+    ends_first = (F.col("e.last") < F.col("f.last")) | ((F.col("e.last") == F.col("f.last")) & (F.col("e.id") < F.col("f.id")))
+    pairs = e.join(f, (F.col("e.t") == F.col("f.t")) & ends_first & (F.col("e.comp") != F.col("f.comp")) & can & first_shared)
     pairs = pairs.select(F.col("e.id").alias("a"), F.col("f.id").alias("b"))
     more = verified(pairs)
     dropped(spread)
@@ -231,7 +241,7 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
 
 
 def _needed_sets(rows: DataFrame, reach: DataFrame, k: int, classes: np.ndarray) -> DataFrame:
-    """(id, tokens) of the classes in reach, made anew from their documents' texts; a map of fixed size leaves out most others."""
+    """(id, tokens) of the classes in reach, made anew from their documents' texts; a map of their keys, of fixed size, leaves out most others."""
     slot = F.col("place") + 1
     parts = reach.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     bits = np.zeros(MAP_BITS, bool)
@@ -243,12 +253,10 @@ def _needed_sets(rows: DataFrame, reach: DataFrame, k: int, classes: np.ndarray)
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            out = []
+            batch, out = batch.filter(pa.array(wanted[_places(batch.column(0))])), []
             for x, tokens in zip(batch.column(0).to_pylist(), _sets(*text_buffer(batch.column(1)), k, classes), strict=True):
                 if len(tokens):
-                    k1, k2 = _identity(tokens)
-                    if wanted[_place(k1, x)]:
-                        out.append((x, k1, k2, tokens.tobytes()))
+                    out.append((x, *_identity(tokens), tokens.tobytes()))
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.binary()], strict=True)], names=["key", "k1", "k2", "tokens"])
 

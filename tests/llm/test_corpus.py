@@ -187,6 +187,22 @@ def test_jaccard_components(spark, k, percent):
     assert got == components(texts, k, percent)
 
 
+@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
+def test_jaccard_of_sets_of_unequal_size(spark, k, percent):
+    """Texts cut down to the least similar size, beside passages that many texts share, so that prefixes differ in length."""
+    r = random.Random(percent)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passages = [[word() for _ in range(12)] for _ in range(4)]
+    texts = {}
+    for i in range(0, 360, 2):
+        w = [word() for _ in range(r.choice((6, 12, 20, 44)))] + (r.choice(passages) if r.random() < 0.7 else [])
+        n = len(w) - k + 1
+        texts[i], texts[i + 1] = " ".join(w), " ".join(w[: len(w) - int(n * (100 - percent) / 100)])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.linked_components(df, k, percent).collect()}
+    assert got == components(texts, k, percent)
+
+
 def test_jaccard_odd_rows(odd, empty):
     rows = jaccard.linked_components(odd, 4, 85).collect()
     assert len(rows) == len(ODD) + 4 and jaccard.linked_components(empty, 4, 85).count() == 0
