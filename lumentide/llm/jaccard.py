@@ -218,17 +218,20 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, key: str =
     marks = marks.select("x.t", "id", "comp", "n", "last", "rest", (F.col("rest") + F.col("size") - F.col("i")).alias("left"), (F.col("n") - F.col("x.pos")).alias("after"))
     smallest = F.ceil(F.col("n") * percent / 100)  # set that can be similar
     marks = stored(marks.withColumn("strong", (100 + percent) * F.col("left") >= percent * (F.col("n") + smallest)), "marks")
-    spread = marks.join(marks.where("strong").select("t").distinct(), "t").join(prefixes.select("id", F.transform("at", lambda x: x["t"]).alias("prefix")), "id")
-    spread = stored(spread, "spread")
-    e, f = spread.where("strong").alias("e"), spread.alias("f")
-    both = F.array_intersect("e.prefix", "f.prefix")
+    light = stored(marks.join(marks.where("strong").select("t").distinct(), "t"), "marks")
+    dropped(marks)
+    e, f = light.alias("e"), light.alias("f")
     can = enough("e", "f", F.least("e.left", "e.after", "f.after"))
-    first_shared = (F.element_at(both, 1) == F.col("e.t")) & enough("e", "f", F.size(both) + F.col("e.rest"))
     ends_first = (F.col("e.last") < F.col("f.last")) | ((F.col("e.last") == F.col("f.last")) & (F.col("e.id") < F.col("f.id")))
-    pairs = e.join(f, (F.col("e.t") == F.col("f.t")) & ends_first & (F.col("e.comp") != F.col("f.comp")) & can & first_shared)
-    pairs = pairs.select(F.col("e.id").alias("a"), F.col("f.id").alias("b"))
+    met = e.join(f, (F.col("e.t") == F.col("f.t")) & F.col("e.strong") & ends_first & (F.col("e.comp") != F.col("f.comp")) & can)
+    met = stored(met.select(F.col("e.id").alias("a"), F.col("f.id").alias("b")).distinct(), "met")
+    shared = prefixes.select("id", "n", "rest", F.transform("at", lambda x: x["t"]).alias("prefix"))
+    e, f = shared.alias("e"), shared.alias("f")
+    pairs = met.join(e, F.col("a") == F.col("e.id")).join(f, F.col("b") == F.col("f.id"))
+    pairs = pairs.where(enough("e", "f", F.size(F.array_intersect("e.prefix", "f.prefix")) + F.col("e.rest"))).select("a", "b")
     more = verified(pairs)
-    dropped(spread)
+    for spent in (light, met, prefixes):
+        dropped(spent)
     if not more.isEmpty():
         comps = _components(links.unionByName(more))
     # labels of classes, then of rows
