@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, segment_hashes, session_setup, stored, text_buffer, word_bounds
+from .common import dropped, mix64, partitions, segment_hashes, session_setup, shared_dir, stored, text_buffer, word_bounds
 
-#: The longest n-grams (of UTF-8 bytes), and the most n-grams of one length that a model may hold. Where more are
-#: counted, the model's order goes down until they fit; at order 2 there are 65,536 at most, so it always fits.
-ORDER, MOST_GRAMS = 5, 6_000_000
+#: How many UTF-8 bytes an n-gram has, at every size of input.
+ORDER = 5
+#: About how many n-grams one shard of the model holds, so that the task which writes it stays small.
+SHARD_GRAMS = 2_000_000
 #: A language with fewer scored documents than this is held to the band of all languages together.
 LEAST_DOCS = 100
 #: How many interquartile ranges beyond the quartiles a language's band reaches, down and up.
@@ -81,120 +86,173 @@ def count_grams(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Grams:
-    """One order's n-grams as a sorted array of hashes, with an index by their leading bits."""
+def packed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ascending n-grams with their counts as one array of integers, and how many contexts they have.
 
-    hashes: np.ndarray
-    index: np.ndarray
-    shift: int
-    logp: np.ndarray  # log probability of the last byte after the others
-    backoff: np.ndarray  # log weight of the next lower order after this gram as a context
+    After codes and counts come the contexts (the n-grams less their last byte), and of each the sum of counts and how
+    many n-grams it has that stand once, twice, and more often.
+    """
+    context = codes >> 8
+    first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(codes) else np.zeros(0, np.int64)
+    sums = [np.add.reduceat(x.astype(np.int64), first) if len(first) else first for x in (counts, counts == 1, counts == 2, counts > 2)]
+    return np.concatenate([codes, counts, context[first], *sums]).astype(np.int64), len(first)
 
-    @classmethod
-    def of(cls, codes: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> "Grams":
-        h = mix64(codes + np.uint64(1))
-        by = np.argsort(h)
-        bits = max(1, int(len(h)).bit_length())
-        h = h[by]
-        index = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
-        return cls(np.append(h, np.uint64(0xFFFFFFFFFFFFFFFF)), index, 64 - bits, np.append(logp[by], 0).astype(np.float32), np.append(backoff[by], 0).astype(np.float32))
-
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        """The place of each n-gram, or -1."""
-        h = mix64(codes + np.uint64(1))
-        at = self.index[(h >> np.uint64(self.shift)).astype(np.int64)].astype(np.int64)
-        todo = np.flatnonzero(self.hashes[at] < h)
-        while len(todo):
-            at[todo] += 1
-            todo = todo[self.hashes[at[todo]] < h[todo]]
-        return np.where((self.hashes[at] == h) & (at < len(self.hashes) - 1), at, -1)
+
+@dataclass
+class Shard:
+    """A range of one length's n-grams that holds whole contexts; the packed array itself, or the file it is in."""
+
+    first: int  # the least context
+    rows: int
+    contexts: int
+    source: np.ndarray | str
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        """Codes, counts, contexts, and their sums (4 x contexts). Files are mapped, not read."""
+        whole = self.source if isinstance(self.source, np.ndarray) else np.memmap(_local_file(self.source), np.int64, "r")
+        r, c = self.rows, self.contexts
+        return whole[:r], whole[r : 2 * r], whole[2 * r : 2 * r + c], whole[2 * r + c :].reshape(4, c)
+
+
+def _local_file(uri: str) -> str:
+    """The path of a file in the shared folder; where that isn't a mounted one, of a copy in the executor's own folder."""
+    store, path = fs.FileSystem.from_uri(uri)
+    if isinstance(store, fs.LocalFileSystem):
+        return path
+    copy = os.path.join(tempfile.gettempdir(), os.path.basename(path))
+    if not os.path.exists(copy):
+        part = f"{copy}-{uuid.uuid4().hex}"
+        fs.copy_files(path, part, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
+        os.replace(part, copy)
+    return copy
+
+
+class Level:
+    """One length's n-grams in shards, and the three discounts of modified Kneser-Ney."""
+
+    def __init__(self, shards: list[Shard], few: list[int]):
+        self.shards = sorted(shards, key=lambda x: x.first)
+        few = [max(1, n) for n in few]  # how many n-grams stand 1, 2, 3, 4 times
+        y = few[0] / (few[0] + 2 * few[1])
+        self.discount = np.array([0, *(min(max(k - (k + 1) * y * few[k] / few[k - 1], 0.1), k - 0.05) for k in (1, 2, 3))])
+        self.open: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"open": {}}
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The count of each of some ascending n-grams (0 where there is none), and the sums of its context."""
+        n = np.zeros(len(codes), np.int64)
+        sums = np.zeros((4, len(codes)), np.int64)
+        cut = np.searchsorted(codes, np.array([x.first for x in self.shards[1:]], np.int64) << 8)
+        for i, (lo, hi) in enumerate(zip([0, *cut], [*cut, len(codes)], strict=True)):
+            if lo == hi or i >= len(self.shards):
+                continue
+            if i not in self.open:
+                self.open[i] = self.shards[i].parts()
+            known, counts, contexts, of = self.open[i]
+            some = codes[lo:hi]
+            at = np.minimum(np.searchsorted(known, some), len(known) - 1)
+            n[lo:hi] = np.where(known[at] == some, counts[at], 0)
+            context = some >> 8
+            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+            sums[:, lo:hi] = np.where(contexts[at] == context, of[:, at], 0)
+        return n, sums
 
 
 class KneserNey:
     """Modified Kneser-Ney model over bytes: interpolated, three discounts an order, continuation counts below the top."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int):
-        codes = codes.astype(np.uint64)
         by = np.argsort(codes)
-        levels = {order: (codes[by], counts[by].astype(np.int64))}
-        for n in range(order - 1, 0, -1):  # how many different bytes stand before each shorter n-gram
-            levels[n] = np.unique(levels[n + 1][0] & np.uint64((1 << 8 * n) - 1), return_counts=True)
+        codes, counts = codes[by].astype(np.int64), counts[by].astype(np.int64)
         self.order, self.levels = order, {}
-        below_codes = below_p = None
-        weights: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in range(1, order + 1):
-            code, count = levels[n]
-            few = [max(1, int((count == k).sum())) for k in (1, 2, 3, 4)]
-            y = few[0] / (few[0] + 2 * few[1])
-            discount = np.array([0, *(min(max(k - (k + 1) * y * few[k] / few[k - 1], 0.1), k - 0.05) for k in (1, 2, 3))])
-            cut = discount[np.minimum(count, 3)]
-            context = code >> np.uint64(8)
-            first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(code) else np.zeros(0, np.int64)
-            size = np.diff(np.append(first, len(code)))
-            total = np.repeat(np.add.reduceat(count, first), size) if len(first) else count
-            free = np.add.reduceat(cut, first) / np.add.reduceat(count, first) if len(first) else cut
-            lower = np.full(len(code), 1 / 256) if n == 1 else below_p[np.searchsorted(below_codes, code & np.uint64((1 << 8 * (n - 1)) - 1))]
-            p = (count - cut) / np.maximum(total, 1) + np.repeat(free, size) * lower
-            weights[n - 1] = (context[first], np.log(free))
-            self.levels[n] = (code, np.log(p))
-            below_codes, below_p = code, p
-        self.root = float(weights[0][1][0]) if len(weights[0][1]) else 0.0
-        self.grams: dict[int, Grams] = {}
-        for n, (code, logp) in self.levels.items():
-            backoff = np.zeros(len(code))
-            if n in weights and len(weights[n][0]):
-                where = np.searchsorted(code, weights[n][0])
-                ok = (where < len(code)) & (code[np.minimum(where, len(code) - 1)] == weights[n][0])  # a context that only opens texts isn't a continuation
-                backoff[where[ok]] = weights[n][1][ok]
-            self.grams[n] = Grams.of(code, logp, backoff)
-        del self.levels
+        for n in range(order, 0, -1):
+            array, contexts = packed(codes, counts)
+            self.levels[n] = Level([Shard(int(codes[0]) >> 8, len(codes), contexts, array)], [int((counts == k).sum()) for k in (1, 2, 3, 4)])
+            codes, counts = np.unique(codes & ((1 << 8 * (n - 1)) - 1), return_counts=True)  # how many different bytes stand before each shorter n-gram
+
+    @classmethod
+    def of(cls, levels: dict[int, Level]) -> "KneserNey":
+        model = cls.__new__(cls)
+        model.order, model.levels = max(levels), levels
+        return model
+
+    def _logp(self, keys: np.ndarray) -> np.ndarray:
+        """Log probability of the last byte of n-grams of the model's order after the bytes before it. A key is a text's number and an n-gram."""
+        shift = 8 * self.order
+        steps: list[tuple] = []
+        for n in range(self.order, 0, -1):
+            codes, back = np.unique(keys & ((1 << 8 * n) - 1), return_inverse=True)
+            count, sums = self.levels[n].find(codes)
+            count, sums = count[back], sums[:, back]
+            shorter, up = np.unique((keys >> shift << shift) | (keys & ((1 << 8 * (n - 1)) - 1)), return_inverse=True)
+            steps.append((count, sums, up, self.levels[n].discount))
+            keys = shorter
+        p = np.full(len(keys), 1 / 256)
+        for count, sums, up, discount in reversed(steps):
+            total = np.maximum(sums[0], 1)
+            p = p[up]
+            p = np.where(sums[0] > 0, (count - discount[np.minimum(count, 3)]) / total + discount[1:] @ sums[1:] / total * p, p)
+        return np.log(p)
 
     def logp(self, codes: np.ndarray) -> np.ndarray:
         """Log probability of the last byte of each n-gram of the model's order after the bytes before it."""
-        at = self.grams[self.order].find(codes) if self.order in self.grams else np.full(len(codes), -1)
-        out = self.grams[self.order].logp[at].astype(np.float64)
-        todo = np.flatnonzero(at < 0)
-        out[todo] = 0
-        for n in range(self.order - 1, -1, -1):
-            if not len(todo):
-                break
-            left = codes[todo]
-            if n:
-                context = (left >> np.uint64(8)) & np.uint64((1 << 8 * n) - 1)
-                c = self.grams[n].find(context)
-                out[todo] += np.where(c >= 0, self.grams[n].backoff[c], 0)
-                at = self.grams[n].find(left & np.uint64((1 << 8 * n) - 1))
-                hit = at >= 0
-                out[todo[hit]] += self.grams[n].logp[at[hit]]
-                todo = todo[~hit]
-            else:
-                out[todo] += self.root - np.log(256)
-        return out
+        keys, back = np.unique(codes.astype(np.int64), return_inverse=True)
+        return self._logp(keys)[back]
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: the sum of log probabilities, and how many bytes they are of (those with a full context)."""
-        codes = gram_codes(data, self.order)
-        p = self.logp(codes)
-        p[~_whole(offsets, len(codes), self.order)] = 0
-        sums = np.append(0, np.cumsum(p))
-        to = np.clip(offsets[1:], 0, len(codes))
-        n = np.maximum(np.diff(offsets) - self.order + 1, 0)
-        return sums[to] - sums[np.minimum(offsets[:-1], to)], n
-
-
-def fit_model(docs: DataFrame, text: str = "text", order: int = ORDER, most: int = MOST_GRAMS) -> KneserNey | None:
-    """Counts all texts' n-grams in Spark and builds the model; None where there are none."""
+        rows = len(offsets) - 1
+        codes = gram_codes(data, self.order).view(np.int64)
+        at = np.flatnonzero(_whole(offsets, len(codes), self.order))
+        row = np.repeat(np.arange(rows), np.diff(offsets))[at]
+        keys, own = np.unique(row << 8 * self.order | codes[at], return_counts=True)
+        p = self._logp(keys)
+        return np.bincount(keys >> 8 * self.order, own * p, minlength=rows), np.maximum(np.diff(offsets) - self.order + 1, 0)
+
+
+def sharded(grams: DataFrame, name: str) -> tuple[list[Shard], list[int]]:
+    """Writes a table (gram, n) as sorted arrays in the shared folder; also gives how many n-grams stand 1, 2, 3, 4 times."""
+    spark = grams.sparkSession
+    folder = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return
+        codes, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        array, contexts = packed(codes, counts)
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        file = uuid.uuid4().hex  # a task that runs again writes another file; only what it yields counts
+        with store.open_output_stream(f"{path}/{file}") as out:
+            out.write(array.tobytes())
+        row = {"first": int(codes[0]) >> 8, "size": len(codes), "contexts": contexts, "file": file, "few": [int((counts == k).sum()) for k in (1, 2, 3, 4)]}
+        yield pa.RecordBatch.from_pylist([row])
+
+    parts = max(partitions(spark), 1 + grams.count() // SHARD_GRAMS)
+    ranges = grams.repartitionByRange(parts, F.shiftright("gram", 8)).sortWithinPartitions("gram")
+    got = ranges.mapInArrow(write, "first long, size long, contexts long, file string, few array<long>").collect()
+    return [Shard(r["first"], r["size"], r["contexts"], f"{folder}/{r['file']}") for r in got], [sum(r["few"][k] for r in got) for k in range(4)]
+
+
+def fit_model(docs: DataFrame, text: str = "text", order: int = ORDER) -> KneserNey | None:
+    """Counts all texts' n-grams in Spark and writes the model to the shared folder; None where there are none."""
     session_setup(docs.sparkSession)
-    while True:
-        counted = stored(count_grams(docs, order, text), "grams")
-        if order <= 2 or counted.count() <= most:
-            break
-        order -= 1
-    got = counted.toArrow()
-    if not got.num_rows:
-        return None
-    return KneserNey(got.column("gram").to_numpy().view(np.uint64), got.column("n").to_numpy(), order)
+    levels = {}
+    grams = stored(count_grams(docs, order, text), "grams")
+    for n in range(order, 0, -1):
+        shards, few = sharded(grams, f"grams{n}")
+        if not shards:
+            return None
+        levels[n] = Level(shards, few)
+        if n > 1:  # how many different bytes stand before each shorter n-gram
+            longer = grams
+            grams = stored(longer.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)).alias("gram")).agg(F.count("*").alias("n")), "grams")
+            dropped(longer)
+    dropped(grams)
+    return KneserNey.of(levels)
 
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -261,7 +319,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     spark = docs.sparkSession
     session_setup(spark)
     model = fit_model(docs, text)
-    shared = spark.sparkContext.broadcast(model)  # at most MOST_GRAMS an order
+    shared = spark.sparkContext.broadcast(model)  # the names of its shards
     extra = [*dict.fromkeys((key, lang, *also))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,6 +117,20 @@ def test_model_is_a_distribution():
         assert abs(np.exp(kn.logp(all_next)).sum() - 1) < 1e-3
 
 
+def test_model_keeps_its_order_at_every_size(spark):
+    """More than 6 million different 5-grams, where the order once fell; the model in files equals the one in memory."""
+    r = random.Random(8)
+    rows = [(0, r.randbytes(9000).hex()), (1, "the same few words again and again")]
+    made = perplexity.fit_model(spark.createDataFrame(rows, "doc_id long, text string"))
+    all_grams = [perplexity.gram_codes(np.frombuffer(t.encode(), np.uint8), 5) for _, t in rows]
+    codes, n = np.unique(np.concatenate(all_grams), return_counts=True)
+    some = np.concatenate([all_grams[0][:2000], all_grams[1]])
+    assert np.allclose(made.logp(some), perplexity.KneserNey(codes, n, 5).logp(some))
+    wide = spark.range(64).selectExpr("id as doc_id", "concat_ws('', transform(sequence(0, 9999), i -> decode(unhex(substr(md5(concat(id, ' ', i)), 1, 16)), 'iso-8859-1'))) as text")
+    assert perplexity.count_grams(wide, 5).count() > 6_000_000
+    assert perplexity.fit_model(wide).order == perplexity.ORDER
+
+
 PLAIN = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
