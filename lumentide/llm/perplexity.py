@@ -50,11 +50,19 @@ def _whole(offsets: np.ndarray, m: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) == 0
 
 
-def count_grams(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
-    """How often each n-gram stands in the texts: (gram, n). Tasks count what they read, Spark adds up."""
+def text_key(text: str):
+    """A text's hash, of 63 bits; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def count_grams(docs: DataFrame, order: int, text: str = "text", copies: "Level | None" = None) -> DataFrame:
+    """How often each n-gram stands in the different texts: (gram, n). Tasks count what they read, Spark adds up.
+
+    A text that `copies` has m times counts as 1/m each time, so that all its copies count once.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        codes, counts = np.zeros(0, np.uint64), np.zeros(0)
 
         def merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
             c = np.concatenate([p[0] for p in parts])
@@ -68,10 +76,16 @@ def count_grams(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             code = gram_codes(data, order)
-            code = code[_whole(offsets, len(code), order)]
-            some, n = np.unique(code, return_counts=True)
-            held.append((some, n))
-            size += len(some)
+            whole = _whole(offsets, len(code), order)
+            times = np.ones(len(batch), np.int64)
+            if copies is not None:
+                texts, back = np.unique(batch.column(1).to_numpy(), return_inverse=True)
+                times = np.maximum(copies.find(texts)[0][back], 1)
+            each = np.repeat(times, np.diff(offsets))[: len(code)]
+            for m in np.unique(times):
+                some, n = np.unique(code[whole & (each == m)], return_counts=True)
+                held.append((some, n / m))
+                size += len(some)
             if size > max(1 << 21, len(codes)):
                 codes, counts = merge([(codes, counts), *held])
                 held, size = [], 0
@@ -83,7 +97,8 @@ def count_grams(docs: DataFrame, order: int, text: str = "text") -> DataFrame:
             for i in range(0, len(codes), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + (1 << 16)].view(np.int64)), pa.array(counts[i : i + (1 << 16)])], names=["gram", "n"])
 
-    return docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    parts = docs.select(F.col(text), text_key(text)).mapInArrow(count, "gram long, n double")
+    return parts.groupBy("gram").agg(F.greatest(F.round(F.sum("n")), F.lit(1)).cast("long").alias("n"))
 
 
 def packed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
@@ -178,17 +193,30 @@ class KneserNey:
         model.order, model.levels = max(levels), levels
         return model
 
-    def _logp(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of the last byte of n-grams of the model's order after the bytes before it. A key is a text's number and an n-gram."""
+    def _logp(self, keys: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """Log probability of the last byte of n-grams of the model's order after the bytes before it.
+
+        A key is a text's number and an n-gram; keys ascend. `own` is how often the text has the n-gram: all counts
+        are then those of the other texts, at each length, as if the text had not been counted.
+        """
         shift = 8 * self.order
         steps: list[tuple] = []
         for n in range(self.order, 0, -1):
             codes, back = np.unique(keys & ((1 << 8 * n) - 1), return_inverse=True)
             count, sums = self.levels[n].find(codes)
             count, sums = count[back], sums[:, back]
+            if own is not None:
+                left = np.maximum(count - own, 0)
+                gone = (count > 0) & (left == 0)
+                context = keys >> 8
+                group = np.cumsum(np.append(True, context[1:] != context[:-1]))[: len(keys)] - 1
+                less = [np.bincount(group, count - left)] + [np.bincount(group, 1.0 * (np.minimum(count, 3) == k) - (np.minimum(left, 3) == k)) for k in (1, 2, 3)]
+                count, sums = left, np.maximum(sums - np.array(less, np.int64).reshape(4, -1)[:, group], 0)
             shorter, up = np.unique((keys >> shift << shift) | (keys & ((1 << 8 * (n - 1)) - 1)), return_inverse=True)
             steps.append((count, sums, up, self.levels[n].discount))
             keys = shorter
+            if own is not None:
+                own = np.bincount(up, gone, minlength=len(keys)).astype(np.int64)  # each different longer n-gram counted once
         p = np.full(len(keys), 1 / 256)
         for count, sums, up, discount in reversed(steps):
             total = np.maximum(sums[0], 1)
@@ -202,13 +230,16 @@ class KneserNey:
         return self._logp(keys)[back]
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text: the sum of log probabilities, and how many bytes they are of (those with a full context)."""
+        """Of each text: the sum of log probabilities by a model of the other texts, and how many bytes they are of (those with a full context).
+
+        The texts must be among those that the model was counted over.
+        """
         rows = len(offsets) - 1
         codes = gram_codes(data, self.order).view(np.int64)
         at = np.flatnonzero(_whole(offsets, len(codes), self.order))
         row = np.repeat(np.arange(rows), np.diff(offsets))[at]
         keys, own = np.unique(row << 8 * self.order | codes[at], return_counts=True)
-        p = self._logp(keys)
+        p = self._logp(keys, own)
         return np.bincount(keys >> 8 * self.order, own * p, minlength=rows), np.maximum(np.diff(offsets) - self.order + 1, 0)
 
 
@@ -238,10 +269,13 @@ def sharded(grams: DataFrame, name: str) -> tuple[list[Shard], list[int]]:
 
 
 def fit_model(docs: DataFrame, text: str = "text", order: int = ORDER) -> KneserNey | None:
-    """Counts all texts' n-grams in Spark and writes the model to the shared folder; None where there are none."""
+    """Counts the different texts' n-grams in Spark and writes the model to the shared folder; None where there are none."""
     session_setup(docs.sparkSession)
     levels = {}
-    grams = stored(count_grams(docs, order, text), "grams")
+    again = stored(docs.select(text_key(text).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "copies")
+    shards, few = sharded(again, "copies")
+    dropped(again)
+    grams = stored(count_grams(docs, order, text, Level(shards, few) if shards else None), "grams")
     for n in range(order, 0, -1):
         shards, few = sharded(grams, f"grams{n}")
         if not shards:
@@ -307,9 +341,10 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", reach: tuple[float, float] = (REACH_DOWN, REACH_UP), also: tuple[str, ...] = ()) -> DataFrame:
     """Scores every whole text and decides which documents stay.
 
-    A byte n-gram model with modified Kneser-Ney smoothing is counted over all texts. A document's bits a byte are
-    those of its bytes with a full context. Each language's band reaches `reach` interquartile ranges below the lower
-    and above the upper quartile of its documents; a language of fewer than LEAST_DOCS is held to the band of all.
+    A byte n-gram model with modified Kneser-Ney smoothing is counted over all different texts, each once however many
+    copies it has. A document's bits a byte are those of its bytes with a full context, by the counts of the other
+    texts alone. Quartiles, too, take each different text of a language once. Each language's band reaches `reach` interquartile ranges below the lower
+    and above the upper quartile of its texts; a language of fewer than LEAST_DOCS is held to the band of all.
     Null lang is a language of its own. base_failed: fewer than MIN_WORDS words, or more than MAX_REPEAT % of words
     in repeated windows. kept: neither base_failed nor outside the band. Null text has no words and fails.
     Texts shorter than an n-gram have no score and fail by their words. An empty table gives no rows.
@@ -329,15 +364,16 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             found = text_features(data, offsets)
             total, n = kn.score(data, offsets) if kn is not None else (np.zeros(len(batch)), np.zeros(len(batch), np.int64))
             bits = -total / np.maximum(n, 1) / np.log(2)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), pa.array(bits, mask=n == 0), pa.array(n, pa.int64()), *batch.columns[1:]], names=[*FEATURES, "bits", "n_scored", *(f"c{i}" for i in range(len(extra)))])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), pa.array(bits, mask=n == 0), pa.array(n, pa.int64()), *batch.columns[1:]], names=[*FEATURES, "bits", "n_scored", "text_key", *(f"c{i}" for i in range(len(extra)))])
 
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
-    scored = docs.select(F.col(text).alias("t"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(extra))).mapInArrow(run, f"{', '.join(f + ' long' for f in FEATURES)}, bits double, n_scored long, {kinds}")
+    scored = docs.select(F.col(text).alias("t"), text_key(text).alias("k"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(extra))).mapInArrow(run, f"{', '.join(f + ' long' for f in FEATURES)}, bits double, n_scored long, text_key long, {kinds}")
     scored = stored(scored, "quality")
     lang_at = F.col(f"c{extra.index(lang)}")
     quartiles = lambda: F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000)
-    bands = scored.groupBy(lang_at.alias("l")).agg(F.count("bits").alias("n"), quartiles().alias("q"))
-    every = scored.agg(quartiles().alias("all"))
+    different = scored.where("bits is not null").groupBy(lang_at.alias("l"), "text_key").agg(F.min("bits").alias("bits"))
+    bands = different.groupBy("l").agg(F.count("bits").alias("n"), quartiles().alias("q"))
+    every = different.agg(quartiles().alias("all"))
     bands = bands.crossJoin(F.broadcast(every))  # one row
     q = F.when(F.col("n") >= LEAST_DOCS, F.col("q")).otherwise(F.col("all"))
     # A band is no narrower than a twentieth of a bit: where all documents are alike, none is out of the way.

@@ -117,6 +117,29 @@ def test_model_is_a_distribution():
         assert abs(np.exp(kn.logp(all_next)).sum() - 1) < 1e-3
 
 
+def test_score_leaves_the_text_itself_out():
+    """Equal to a model counted over the other texts, with the same discounts."""
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcd ") for _ in range(n)).encode() for n in (90, 60, 4, 3, 70)]
+    grams = lambda some: np.unique(np.concatenate([perplexity.gram_codes(np.frombuffer(t, np.uint8), 3) for t in some]), return_counts=True)
+    every = perplexity.KneserNey(*grams(texts), 3)
+    total, n = every.score(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for i, t in enumerate(texts):
+        others = perplexity.KneserNey(*grams(texts[:i] + texts[i + 1 :]), 3)
+        for k, level in others.levels.items():
+            level.discount = every.levels[k].discount
+        assert n[i] == len(t) - 2 and abs(total[i] - others.logp(perplexity.gram_codes(np.frombuffer(t, np.uint8), 3)).sum()) < 1e-9
+
+
+def test_copies_do_not_change_what_stays(spark, docs):
+    """Scores and bands with a text 300 times are those with it once."""
+    one = docs.where("lang = 'en' and length(text) > 1500").orderBy("doc_id").limit(1)
+    key = one.first().doc_id
+    many = docs.unionByName(one.crossJoin(spark.range(300)).select(docs.columns))
+    alone, among = ({(r.doc_id, r.bits, r.low, r.high, r.kept) for r in perplexity.quality(x).collect()} for x in (docs, many))
+    assert alone == among and {x[4] for x in among if x[0] == key} == {True}
+
+
 def test_model_keeps_its_order_at_every_size(spark):
     """More than 6 million different 5-grams, where the order once fell; the model in files equals the one in memory."""
     r = random.Random(8)
