@@ -24,9 +24,9 @@ SHARD_GRAMS = 2_000_000
 LEAST_DOCS = 100
 #: How many interquartile ranges beyond the quartiles a language's band reaches, down and up.
 REACH_DOWN, REACH_UP = 2.5, 2.0
-#: A document's score is drawn to its language's median as if so many bytes of the median stood beside its own, since
-#: the scores of short texts scatter.
-DRAW_BYTES = 300
+#: How many standard errors of a mean of bits a band reaches further for a text shorter than its language's median one,
+#: less those of the median one: the scores of short texts scatter.
+REACH_ERRORS = 3.0
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
 
@@ -229,8 +229,8 @@ class KneserNey:
         keys, back = np.unique(codes.astype(np.int64), return_inverse=True)
         return self._logp(keys)[back]
 
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text: the sum of log probabilities by a model of the other texts, and how many bytes they are of (those with a full context).
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: the sum of log probabilities by a model of the other texts, that of their squares, and how many bytes they are of (those with a full context).
 
         The texts must be among those that the model was counted over.
         """
@@ -240,7 +240,8 @@ class KneserNey:
         row = np.repeat(np.arange(rows), np.diff(offsets))[at]
         keys, own = np.unique(row << 8 * self.order | codes[at], return_counts=True)
         p = self._logp(keys, own)
-        return np.bincount(keys >> 8 * self.order, own * p, minlength=rows), np.maximum(np.diff(offsets) - self.order + 1, 0)
+        text = keys >> 8 * self.order
+        return np.bincount(text, own * p, minlength=rows), np.bincount(text, own * p * p, minlength=rows), np.maximum(np.diff(offsets) - self.order + 1, 0)
 
 
 def sharded(grams: DataFrame, name: str) -> tuple[list[Shard], list[int]]:
@@ -345,7 +346,9 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     copies it has. A document's bits a byte are those of its bytes with a full context, by the counts of the other
     texts alone. Quartiles, too, take each different text of a language once. Each language's band reaches `reach` interquartile ranges below the lower
     and above the upper quartile of its texts; a language of fewer than LEAST_DOCS is held to the band of all.
-    Null lang is a language of its own. base_failed: fewer than MIN_WORDS words, or more than MAX_REPEAT % of words
+    For texts shorter than the language's median one the band is wider by REACH_ERRORS standard errors of a mean of so
+    many bytes' bits, less those of the median one; low and high are the document's own bounds. Null lang is a language
+    of its own. base_failed: fewer than MIN_WORDS words, or more than MAX_REPEAT % of words
     in repeated windows. kept: neither base_failed nor outside the band. Null text has no words and fails.
     Texts shorter than an n-gram have no score and fail by their words. An empty table gives no rows.
 
@@ -362,25 +365,27 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             found = text_features(data, offsets)
-            total, n = kn.score(data, offsets) if kn is not None else (np.zeros(len(batch)), np.zeros(len(batch), np.int64))
+            total, squares, n = kn.score(data, offsets) if kn is not None else (np.zeros(len(batch)), np.zeros(len(batch)), np.zeros(len(batch), np.int64))
             bits = -total / np.maximum(n, 1) / np.log(2)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), pa.array(bits, mask=n == 0), pa.array(n, pa.int64()), *batch.columns[1:]], names=[*FEATURES, "bits", "n_scored", "text_key", *(f"c{i}" for i in range(len(extra)))])
+            spread = np.maximum(squares / np.maximum(n, 1) / np.log(2) ** 2 - bits**2, 0)  # variance of the bits of single bytes
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), pa.array(bits, mask=n == 0), pa.array(n, pa.int64()), pa.array(spread), *batch.columns[1:]], names=[*FEATURES, "bits", "n_scored", "spread", "text_key", *(f"c{i}" for i in range(len(extra)))])
 
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
-    scored = docs.select(F.col(text).alias("t"), text_key(text).alias("k"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(extra))).mapInArrow(run, f"{', '.join(f + ' long' for f in FEATURES)}, bits double, n_scored long, text_key long, {kinds}")
+    scored = docs.select(F.col(text).alias("t"), text_key(text).alias("k"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(extra))).mapInArrow(run, f"{', '.join(f + ' long' for f in FEATURES)}, bits double, n_scored long, spread double, text_key long, {kinds}")
     scored = stored(scored, "quality")
     lang_at = F.col(f"c{extra.index(lang)}")
     quartiles = lambda: F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000)
-    different = scored.where("bits is not null").groupBy(lang_at.alias("l"), "text_key").agg(F.min("bits").alias("bits"))
-    bands = different.groupBy("l").agg(F.count("bits").alias("n"), quartiles().alias("q"))
+    different = scored.where("bits is not null").groupBy(lang_at.alias("l"), "text_key").agg(*(F.min(c).alias(c) for c in ("bits", "n_scored", "spread")))
+    bands = different.groupBy("l").agg(F.count("bits").alias("n"), quartiles().alias("q"), *(F.percentile_approx(c, 0.5, 10_000).alias(f"mid_{c}") for c in ("n_scored", "spread")))
     every = different.agg(quartiles().alias("all"))
     bands = bands.crossJoin(F.broadcast(every))  # one row
     q = F.when(F.col("n") >= LEAST_DOCS, F.col("q")).otherwise(F.col("all"))
     # A band is no narrower than a twentieth of a bit: where all documents are alike, none is out of the way.
     span = F.greatest(q[2] - q[0], F.lit(0.05))
-    bands = bands.select("l", (q[0] - reach[0] * span).alias("low"), (q[2] + reach[1] * span).alias("high"), q[1].alias("mid"))
+    bands = bands.select("l", (q[0] - reach[0] * span).alias("low"), (q[2] + reach[1] * span).alias("high"), "mid_n_scored", "mid_spread")
     joined = scored.join(bands, lang_at.eqNullSafe(F.col("l")), "left").drop("l")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    drawn = (F.col("bits") * F.col("n_scored") + F.col("mid") * DRAW_BYTES) / (F.col("n_scored") + DRAW_BYTES)
-    inside = F.coalesce(drawn.between(F.col("low"), F.col("high")), F.lit(True))
+    further = REACH_ERRORS * F.sqrt("mid_spread") * F.greatest(1 / F.sqrt(F.greatest("n_scored", F.lit(1))) - 1 / F.sqrt("mid_n_scored"), F.lit(0.0))
+    joined = joined.withColumns({"low": F.col("low") - further, "high": F.col("high") + further})
+    inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True))
     return joined.select(F.col(f"c{extra.index(key)}").alias(key), *FEATURES, failed.alias("base_failed"), "bits", "low", "high", (~failed & inside).alias("kept"), *(F.col(f"c{extra.index(c)}").alias(c) for c in also if c != key))

@@ -123,7 +123,7 @@ def test_score_leaves_the_text_itself_out():
     texts = ["".join(r.choice("abcd ") for _ in range(n)).encode() for n in (90, 60, 4, 3, 70)]
     grams = lambda some: np.unique(np.concatenate([perplexity.gram_codes(np.frombuffer(t, np.uint8), 3) for t in some]), return_counts=True)
     every = perplexity.KneserNey(*grams(texts), 3)
-    total, n = every.score(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    total, _, n = every.score(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
     for i, t in enumerate(texts):
         others = perplexity.KneserNey(*grams(texts[:i] + texts[i + 1 :]), 3)
         for k, level in others.levels.items():
@@ -140,6 +140,23 @@ def test_copies_do_not_change_what_stays(spark, docs):
     assert alone == among and {x[4] for x in among if x[0] == key} == {True}
 
 
+def gibberish(n_words, seed):
+    r = random.Random(seed)
+    letters = [string.ascii_lowercase, string.ascii_letters + "?!@^~=+/", "?!@^~=+/;:_()[]{}"][seed % 3]
+    return " ".join("".join(r.choice(letters) for _ in range(r.randrange(3, 9))) for _ in range(n_words))
+
+
+def test_gibberish_is_rejected_at_every_length(spark, docs):
+    junk = [(10**9 + i, gibberish(n, i), "en", "s", 0) for i, n in enumerate(n for n in (25, 40, 200) for _ in range(12))]
+    known = {r.text for r in docs.collect()}
+    new = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").orderBy("doc_id").collect() if r.text not in known and len(r.text) > 1500][:40]
+    clean = [(2 * 10**9 + i, " ".join(t.split()[:n]), "en", "s", 0) for i, (t, n) in enumerate(zip(new, [22, 25, 40, 80] * 10))]
+    rows = perplexity.quality(docs.unionByName(spark.createDataFrame(junk + clean, docs.schema))).collect()
+    assert not any(r.kept for r in rows if 10**9 <= r.doc_id < 2 * 10**9)
+    short = [r for r in rows if r.doc_id >= 2 * 10**9 and not r.base_failed]
+    assert len(short) > 30 and sum(r.kept for r in short) >= 0.95 * len(short)
+
+
 def test_model_keeps_its_order_at_every_size(spark):
     """More than 6 million different 5-grams, where the order once fell; the model in files equals the one in memory."""
     r = random.Random(8)
