@@ -20,8 +20,9 @@ from .common import dropped, mix64, partitions, segment_hashes, session_setup, s
 ORDER = 5
 #: About how many n-grams one shard of the model holds, so that the task which writes it stays small.
 SHARD_GRAMS = 2_000_000
-#: A language with fewer scored documents than this is held to the band of all languages together.
-LEAST_DOCS = 100
+#: What a language's spread is widened by, in bits, divided by its number of different texts: the fewer there are, the less
+#: they say of it. A byte has 8 bits.
+WIDEN_BITS = 8.0
 #: How many interquartile ranges beyond the quartiles a language's band reaches, down and up.
 REACH_DOWN, REACH_UP = 2.5, 2.0
 #: How many standard errors of a mean of bits a band reaches further for a text shorter than its language's median one,
@@ -345,7 +346,8 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     A byte n-gram model with modified Kneser-Ney smoothing is counted over all different texts, each once however many
     copies it has. A document's bits a byte are those of its bytes with a full context, by the counts of the other
     texts alone. Quartiles, too, take each different text of a language once. Each language's band reaches `reach` interquartile ranges below the lower
-    and above the upper quartile of its texts; a language of fewer than LEAST_DOCS is held to the band of all.
+    and above the upper quartile of its texts; the fewer texts a language has, the
+    wider its band, and it is never that of other languages.
     For texts shorter than the language's median one the band is wider by REACH_ERRORS standard errors of a mean of so
     many bytes' bits, less those of the median one; low and high are the document's own bounds. Null lang is a language
     of its own. base_failed: fewer than MIN_WORDS words, or more than MAX_REPEAT % of words
@@ -377,11 +379,9 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     quartiles = lambda: F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000)
     different = scored.where("bits is not null").groupBy(lang_at.alias("l"), "text_key").agg(*(F.min(c).alias(c) for c in ("bits", "n_scored", "spread")))
     bands = different.groupBy("l").agg(F.count("bits").alias("n"), quartiles().alias("q"), *(F.percentile_approx(c, 0.5, 10_000).alias(f"mid_{c}") for c in ("n_scored", "spread")))
-    every = different.agg(quartiles().alias("all"))
-    bands = bands.crossJoin(F.broadcast(every))  # one row
-    q = F.when(F.col("n") >= LEAST_DOCS, F.col("q")).otherwise(F.col("all"))
+    q = F.col("q")
     # A band is no narrower than a twentieth of a bit: where all documents are alike, none is out of the way.
-    span = F.greatest(q[2] - q[0], F.lit(0.05))
+    span = F.greatest(q[2] - q[0], F.lit(0.05)) + WIDEN_BITS / F.greatest("n", F.lit(1))
     bands = bands.select("l", (q[0] - reach[0] * span).alias("low"), (q[2] + reach[1] * span).alias("high"), "mid_n_scored", "mid_spread")
     joined = scored.join(bands, lang_at.eqNullSafe(F.col("l")), "left").drop("l")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))

@@ -157,6 +157,17 @@ def test_gibberish_is_rejected_at_every_length(spark, docs):
     assert len(short) > 30 and sum(r.kept for r in short) >= 0.95 * len(short)
 
 
+def test_small_languages_have_their_own_bands(spark, docs):
+    """English texts in Cyrillic letters stay, few or many of them; gibberish among many doesn't."""
+    letters = {c: chr(0x430 + i) for i, c in enumerate(string.ascii_lowercase)} | {c: chr(0x410 + i) for i, c in enumerate(string.ascii_uppercase)}
+    texts = ["".join(letters.get(c, c) for c in r.text) for r in docs.where("lang = 'en' and length(text) > 500").orderBy("doc_id").collect() if not re.search(r"[#*$%&|<>]", r.text)]
+    for n in (2, 30, 60):
+        rows = [(10**9 + i, t, "ru", "s", 0) for i, t in enumerate(texts[:n])] + [(2 * 10**9, gibberish(200, 1), "ru", "s", 0)] * (n > 2)
+        got = [r for r in perplexity.quality(docs.unionByName(spark.createDataFrame(rows, docs.schema))).collect() if r.doc_id >= 10**9 and not r.base_failed]
+        assert sum(r.kept for r in got if r.doc_id < 2 * 10**9) >= 0.95 * sum(r.doc_id < 2 * 10**9 for r in got) > 0
+        assert not any(r.kept for r in got if r.doc_id == 2 * 10**9)
+
+
 def test_model_keeps_its_order_at_every_size(spark):
     """More than 6 million different 5-grams, where the order once fell; the model in files equals the one in memory."""
     r = random.Random(8)
