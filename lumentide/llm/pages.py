@@ -25,6 +25,8 @@ _RAW = frozenset("script style noscript template iframe noembed noframes xmp pla
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never part of an article.
 _DROPPED = frozenset("nav footer aside form button select option datalist dialog menu svg math canvas object audio video map head input label fieldset".split()) | _RAW
+#: Of these, those that may stand within a paragraph.
+_INLINE = frozenset("button select option datalist svg math canvas object audio video map head label".split())
 _BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption header address details summary hgroup center hr".split()) | _DROPPED
 #: An opening tag of the first kind ends an open element of the second kind, within the third.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -35,14 +37,18 @@ _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form a
 _BAD_NAME = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|comments?|commentlist|disqus|respond|replies|reply|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|topbar|social|share|sharing|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|notice|alert|widget|toolbar|skip|outbrain|taboola|copyright|legal|tags?|toc)(?:$|[-_ ])", re.I)
 _GOOD_NAME = re.compile(r"article|entry|main|post|content|body|story|text", re.I)
 _BAD_WEIGHT = re.compile(r"meta|foot|link|list|hidden|shop|tool|scroll", re.I)
+#: An element with a bad name is left out unless it holds more than so many times the points of all that has none; with a
+#: good name beside it, as in `content no-sidebar`, more than as many.
+BAD_NAME_FACTOR = 4
 _HEADLINE = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "names", "good")
+    __slots__ = ("tag", "parent", "children", "names", "good", "bad")
 
     def __init__(self, tag: str, parent: "_Node | None", names: str = "", good: bool = False):
         self.tag, self.parent, self.children, self.names, self.good = tag, parent, [], names, good
+        self.bad = bool(names) and tag not in ("html", "body", "article", "main") and bool(_BAD_NAME.search(names)) and not (tag in ("div", "section") and "article" in names.lower().split())
 
 
 def _dropped(tag: str, a: dict[str, str], inside: bool) -> bool:
@@ -50,16 +56,15 @@ def _dropped(tag: str, a: dict[str, str], inside: bool) -> bool:
         return True
     if not a:
         return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or a.get("role", "") in _BAD_ROLE:
-        return True
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    return tag not in ("html", "body", "article", "main") and bool(_BAD_NAME.search(names)) and not (tag in ("div", "section") and "article" in names.lower().split())
+    return "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or a.get("role", "") in _BAD_ROLE
 
 
 def parse(page: str) -> _Node:
-    """The page's tree, as far as it matters here: dropped elements are left out with all they hold; tags may be missing."""
+    """The page's tree, as far as it matters here: dropped elements are left out with all they hold; tags may be missing.
+
+    A dropped element is parsed like others, but isn't among its parent's children, so it ends where others would.
+    """
     root = node = _Node("#root", None)
-    skip: list[str] = []  # the open tags since a dropped one
     at, n = 0, len(page)
     article = depth = 0
     open_tags: Counter[str] = Counter()
@@ -74,7 +79,7 @@ def parse(page: str) -> _Node:
             node = node.parent
 
     def add(text: str) -> None:
-        if not skip and text:
+        if text:
             node.children.append(text)
 
     while at < n:
@@ -94,10 +99,6 @@ def parse(page: str) -> _Node:
             if loose[4] != ">":
                 break
         if m[1]:
-            if skip:
-                if tag in skip:
-                    del skip[len(skip) - 1 - skip[::-1].index(tag) :]
-                continue
             up = node if open_tags[tag] else root
             while up is not root and up.tag != tag:
                 if up.tag in _BARRIER and tag not in _BARRIER:
@@ -116,16 +117,14 @@ def parse(page: str) -> _Node:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if skip:
-            if tag != "hr" and not rest.endswith("/"):
-                skip.append(tag)
-            continue
         a = {k.lower(): html.unescape(x or y or z) for k, x, y, z in _ATTRIBUTE.findall(rest)} if rest and not rest.isspace() else {}
-        if _dropped(tag, a, article > 0):
-            if tag not in _VOID and not rest.endswith("/"):
-                skip.append(tag)
-            continue
-        if tag in _BLOCK:  # a block ends an open paragraph, with what is open inside it
+        if open_tags["head"] and tag != "head":  # a head whose end tag is missing
+            up = node
+            while up.tag != "head":
+                up = up.parent
+            close_to(up.parent)
+        dropped = _dropped(tag, a, article > 0)
+        if tag in _BLOCK and tag not in _INLINE:  # a block ends an open paragraph, with what is open inside it
             up = node if open_tags["p"] else root
             while up is not root and up.tag not in _BARRIER and up.tag != "p":
                 up = up.parent
@@ -145,8 +144,9 @@ def parse(page: str) -> _Node:
         if tag == "hr":
             continue
         child = _Node(tag, node, f"{a.get('class', '')} {a.get('id', '')}".strip(), a.get("role") in ("main", "article") or a.get("itemprop") == "articleBody")
-        node.children.append(child)
-        if not (rest.endswith("/") and tag not in _BLOCK) and depth < MOST_DEPTH:
+        if not dropped:
+            node.children.append(child)
+        if dropped and not rest.endswith("/") or not dropped and not (rest.endswith("/") and tag not in _BLOCK) and depth < MOST_DEPTH:
             node = child
             depth += 1
             open_tags[tag] += 1
@@ -205,6 +205,48 @@ def _weight(node: _Node) -> float:
     return base
 
 
+def _points(text: str) -> float:
+    return 1 + text.count(",") + min(len(text) / 100, 3)
+
+
+def drop_bad_names(root: _Node) -> None:
+    """Takes elements with bad names off the tree, but for those whose text outweighs what has no such name.
+
+    Blocks count for the nearest element with a bad name around them, by their points less their share of links. The
+    heaviest element that outweighs the rest stays, with those around it and siblings whose first name is the same.
+    """
+    held: dict[_Node | None, float] = {None: 0.0}
+    nearest: dict[_Node, _Node | None] = {}
+    stack: list[tuple[_Node, _Node | None]] = [(root, None)]
+    while stack:
+        x, bad = stack.pop()
+        nearest[x] = bad = x if x.bad else bad
+        held.setdefault(bad, 0.0)
+        stack.extend((c, bad) for c in x.children if not isinstance(c, str))
+    if len(held) == 1:
+        return
+    for owner, text, links in blocks(root):
+        held[nearest[owner]] += _points(text) * (1 - min(1.0, links / len(text)))
+    rest = held.pop(None)
+    stays: set[_Node] = set()
+    for x in sorted(held, key=lambda x: -held[x]):
+        if x in stays:
+            continue
+        if held[x] <= rest * (1 if _GOOD_NAME.search(x.names) else BAD_NAME_FACTOR):
+            continue
+        up: _Node | None = x
+        more = [y for y in x.parent.children if y in held and y.tag == x.tag and y.names.split()[0] == x.names.split()[0]]
+        while up is not None:
+            if up.bad:
+                more.append(up)
+            up = up.parent
+        for y in {*more} - stays:
+            stays.add(y)
+            rest += held[y]
+    for up in {x.parent for x in held if x not in stays}:
+        up.children = [c for c in up.children if isinstance(c, str) or not c.bad or c in stays]
+
+
 def main_text(page: str) -> str:
     """The article's blocks, joined by a line feed; empty if none.
 
@@ -216,12 +258,13 @@ def main_text(page: str) -> str:
     if not page:
         return ""
     root = parse(page)
+    drop_bad_names(root)
     found = blocks(root)
     score: dict[_Node, float] = {}
     size: dict[_Node, int] = {}
     linked: dict[_Node, int] = {}
     for owner, text, in_links in found:
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
+        points = _points(text)
         up = owner.parent if owner.parent is not None and owner.tag in _LEAF else owner
         level = 0
         while up is not None and level < 3:

@@ -61,6 +61,20 @@ def test_pages():
     assert pages.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_pages_keep_text_under_names_and_after_dropped_elements():
+    text = "First paragraph, with commas, and enough words to count for something."
+    for names in ("site-content no-sidebar", "page has-sidebar", "content menu-closed", "post tag-news"):
+        inner = f"<p>{text}</p><p>Second, of some length too, as it should be.</p>"
+        page = f"<body><div class='{names}'>{inner}<div class='sidebar'>Other, things.</div></div><div class='ad'>Buy, now.</div></body>"
+        assert pages.main_text(page) == f"{text}\nSecond, of some length too, as it should be."
+    for opening in ("<li class='share'>", "<li hidden>"):
+        assert pages.main_text(f"<article><p>{text}</p><ul>{opening}Share this<li>One item, of a list</ul><p>{text}</p></article>") == f"{text}\nOne item, of a list\n{text}"
+    for opening in ("<p class='notice'>", "<p hidden>"):
+        assert pages.main_text(f"<article>{opening}Note<p>{text}<p>{text}</article>") == f"{text}\n{text}"
+    assert pages.main_text(f"<table><tr><td class='sidebar'>Links<td><p>{text}</p><p>{text}</p></table>") == f"{text}\n{text}"
+    assert pages.main_text(f"<head><title>x</title><body><p>{text}") == text
+
+
 def test_pages_of_the_table(spark, sf_dir):
     import html
 
