@@ -22,24 +22,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language; the model learns from the labels that documents carry."""
+    """Drops documents of no language; the model learns from the labels that documents carry. Without any label all stay."""
     from lumentide.llm.language import fit, predict
 
     model = fit(docs.select("text", "lang"))
+    if not model.languages:
+        return docs.select(*COLUMNS)
     return predict(docs.select(*COLUMNS), model).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the least key, of each group linked by five-word shingles at 0.8.
 
-    Where rows share a key, one of them stays.
+    Where keys are null or repeated, rows are told apart by a stored number, which also decides between equal keys.
     """
     from lumentide.llm.jaccard import linked_components
 
-    found = linked_components(docs, k=5, percent=80).where("component_id <=> doc_id").groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("__rows"))
-    found = stored(found, "firsts")
-    kept = docs.select(*COLUMNS).join(found.select("__key"), F.col("doc_id").eqNullSafe(F.col("__key")), "left_semi")
-    return kept if found.where("__rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    rows = docs.select(*COLUMNS)
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        found = stored(linked_components(docs, k=5, percent=80).where("component_id = doc_id").select("doc_id"), "firsts")
+        return rows.join(found, "doc_id", "left_semi").select(*COLUMNS)
+    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = linked_components(rows, k=5, percent=80, key="__row").join(rows.select("__row", "doc_id"), "__row")
+    firsts = stored(found.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("s")).select("s.__row"), "firsts")
+    return rows.join(firsts, "__row", "left_semi").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -403,3 +403,16 @@ def test_pipeline_stages(spark, odd, empty, sf_dir):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()}
     want = components({r.doc_id: r.text for r in docs.collect()}, 5, 80)
     assert kept == {d for d, (_, c) in want.items() if d == c}
+
+
+def test_pipeline_keeps_rows_without_labels_or_own_keys(spark, sf_dir, docs):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, bare, sf_dir).count() == docs.count()
+    texts = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black pink"]
+    rows = [(None, t, "en", "s", 0) for t in texts] + [(7, t + " more", "en", "s", 0) for t in texts[:2]] + [(7, texts[0], "en", "s", 0), (8, texts[2] + " more", "en", "s", 0), (9, texts[2] + " more", "en", "s", 0)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, docs.schema), sf_dir).collect()
+    # of equal texts the row of the least key (null first) stays; texts that differ stay, whatever their keys
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted({(0, t) for t in texts} | {(7, t + " more") for t in texts[:2]} | {(8, texts[2] + " more")})
