@@ -65,7 +65,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("language id", language), ("near duplicates", near_duplicates), ("personal data", private), ("packing", packing)]
-#: Models and tokenizers can't be told in SQL; tests/llm holds the stages against brute force.
+#: Models and tokenizers can't be told in SQL; tests/llm holds each stage against a plain loop over the rows.
 ORACLE_SQL = None
 
 

@@ -416,3 +416,44 @@ def test_pipeline_keeps_rows_without_labels_or_own_keys(spark, sf_dir, docs):
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, docs.schema), sf_dir).collect()
     # of equal texts the row of the least key (null first) stays; texts that differ stay, whatever their keys
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted({(0, t) for t in texts} | {(7, t + " more") for t in texts[:2]} | {(8, texts[2] + " more")})
+
+
+def test_pipeline_stages_by_plain_loops(spark, sf_dir):
+    """near_duplicates has its own in test_pipeline_stages."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 3 = 0 or lang = 'es'")
+    rows = docs.collect()
+    stage = lambda f: {r.doc_id: r for r in f(spark, docs, sf_dir).collect()}
+    assert set(stage(corpus_pipeline.language)) == {r.doc_id for r in rows if re.search(r"[^\W\d_]", r.text or "")}
+    # quality: the model of all other texts, in memory
+    texts = {i: (t or "").encode() for i, t in ((r.doc_id, r.text) for r in rows)}
+    different = sorted(set(texts.values()))
+    model = perplexity.KneserNey(*np.unique(np.concatenate([perplexity.gram_codes(np.frombuffer(t, np.uint8), 5) for t in different]), return_counts=True), 5)
+    total, squares, n = model.score(np.frombuffer(b"".join(different), np.uint8), np.cumsum([0, *map(len, different)]))
+    bits = -total / np.maximum(n, 1) / np.log(2)
+    spread = squares / np.maximum(n, 1) / np.log(2) ** 2 - bits**2
+    place = {t: i for i, t in enumerate(different)}
+    at = lambda x, q: sorted(x)[max(0, -(-int(q * 100) * len(x) // 100) - 1)]
+    want = set()
+    for lang in {r.lang for r in rows}:
+        own = [i for i in {place[texts[r.doc_id]] for r in rows if r.lang == lang} if n[i]]
+        low, high, error = at(bits[own], 0.25), at(bits[own], 0.75), at(spread[own], 0.5) ** 0.5
+        span = max(high - low, 0.05) + 8 / len(own)
+        for r in rows:
+            if r.lang == lang:
+                i, w = place[texts[r.doc_id]], WORD.findall(r.text or "")
+                seen = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+                cover = {k for j in range(len(w) - 7) if seen[tuple(w[j : j + 8])] > 1 for k in range(j, j + 8)}
+                further = 3 * error * max(0, max(n[i], 1) ** -0.5 - at(n[own], 0.5) ** -0.5)
+                if len(w) >= 20 and 100 * len(cover) <= 30 * len(w) and low - 2.5 * span - further <= bits[i] <= high + 2 * span + further:
+                    want.add(r.doc_id)
+    assert set(stage(corpus_pipeline.quality)) == want
+    judge = private.fit_judge()
+    hidden = stage(corpus_pipeline.private)
+    for r in rows:
+        _, every = private.found_spans([r.text or ""], judge)[0]
+        text = None if r.text is None else private.redacted(r.text, every)
+        assert (hidden[r.doc_id].text, hidden[r.doc_id].n_chars) == (text, None if text is None else len(text))
+    pieces_of = Counter(r.doc_id for r in corpus_pipeline.packing(spark, docs, sf_dir).collect())
+    assert set(pieces_of) == set(texts)
