@@ -24,10 +24,12 @@ def session_setup(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; in local mode an own one where that is unset."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")

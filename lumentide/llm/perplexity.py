@@ -28,6 +28,8 @@ REACH_DOWN, REACH_UP = 2.5, 2.0
 #: How many standard errors of a mean of bits a band reaches further for a text shorter than its language's median one,
 #: less those of the median one: the scores of short texts scatter.
 REACH_ERRORS = 3.0
+#: Languages up to which their bands are sent to every executor; more are joined by a shuffle.
+MOST_BANDS = 100_000
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT = 20, 8, 30
 SYMBOLS = b"#*$%&|<>"
 
@@ -374,16 +376,19 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
     scored = docs.select(F.col(text).alias("t"), text_key(text).alias("k"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(extra))).mapInArrow(run, f"{', '.join(f + ' long' for f in FEATURES)}, bits double, n_scored long, spread double, text_key long, {kinds}")
-    scored = stored(scored, "quality")
+    judged = scored  # columns of `also` can be as large as the texts: such rows are scored again, not stored
+    scored = stored(scored.select("bits", "n_scored", "spread", "text_key", f"c{extra.index(lang)}") if also else scored, "quality")
+    judged = judged if also else scored
     lang_at = F.col(f"c{extra.index(lang)}")
-    quartiles = lambda: F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000)
+    quartiles = lambda: F.percentile(F.round("bits", 4), F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    # Exact quantiles of rounded values: what an aggregate holds is a count for each different value, which rounding bounds.
     different = scored.where("bits is not null").groupBy(lang_at.alias("l"), "text_key").agg(*(F.min(c).alias(c) for c in ("bits", "n_scored", "spread")))
-    bands = different.groupBy("l").agg(F.count("bits").alias("n"), quartiles().alias("q"), *(F.percentile_approx(c, 0.5, 10_000).alias(f"mid_{c}") for c in ("n_scored", "spread")))
+    bands = different.groupBy("l").agg(F.count("bits").alias("n"), quartiles().alias("q"), F.percentile("n_scored", 0.5).alias("mid_n_scored"), F.percentile(F.round("spread", 4), 0.5).alias("mid_spread"))
     q = F.col("q")
     # A band is no narrower than a twentieth of a bit: where all documents are alike, none is out of the way.
     span = F.greatest(q[2] - q[0], F.lit(0.05)) + WIDEN_BITS / F.greatest("n", F.lit(1))
-    bands = bands.select("l", (q[0] - reach[0] * span).alias("low"), (q[2] + reach[1] * span).alias("high"), "mid_n_scored", "mid_spread")
-    joined = scored.join(bands, lang_at.eqNullSafe(F.col("l")), "left").drop("l")
+    bands = stored(bands.select("l", (q[0] - reach[0] * span).alias("low"), (q[2] + reach[1] * span).alias("high"), "mid_n_scored", "mid_spread"), "bands")
+    joined = judged.join(F.broadcast(bands) if bands.count() <= MOST_BANDS else bands, lang_at.eqNullSafe(F.col("l")), "left").drop("l")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     further = REACH_ERRORS * F.sqrt("mid_spread") * F.greatest(1 / F.sqrt(F.greatest("n_scored", F.lit(1))) - 1 / F.sqrt("mid_n_scored"), F.lit(0.0))
     joined = joined.withColumns({"low": F.col("low") - further, "high": F.col("high") + further})
