@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentide.llm.common import stored
+from lumentide.llm.common import dropped, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -40,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     rows = docs.select(*COLUMNS)
     if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
-        found = stored(linked_components(docs, k=5, percent=80).where("component_id = doc_id").select("doc_id"), "firsts")
-        return rows.join(found, "doc_id", "left_semi").select(*COLUMNS)
+        others = stored(linked_components(docs, k=5, percent=80).where("component_id <> doc_id").select("doc_id"), "others")
+        return rows.join(others, "doc_id", "left_anti").select(*COLUMNS)
     rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = linked_components(rows, k=5, percent=80, key="__row").join(rows.select("__row", "doc_id"), "__row")
     firsts = stored(found.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("s")).select("s.__row"), "firsts")
@@ -72,6 +72,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each to all that the one before kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    for i, (name, stage) in enumerate(STAGES):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if i:
+            dropped(before)
     return docs
