@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWEST, dropped, lower_ascii, mix64, ordered_key, segment_hashes, session_setup, stored, text_buffer, word_bounds
+from .common import LOWEST, dropped, lower_ascii, mix64, ordered_key, partitions, segment_hashes, session_setup, stored, text_buffer, word_bounds
 
 #: Bytes of text for each slot in which shingles are counted to order them by rarity, and the least and most bits of a slot.
-SLOT_BYTES, SLOT_BITS = 2048, (14, 22)
+SLOT_BYTES, SLOT_BITS, CHUNK = 2048, (14, 22), 4096
 #: Most shared prefix tokens that may be asked for, and list entries that cost as much as fetching one token of a set.
 MOST_MATCHES, ENTRIES_A_TOKEN = 64, 16
 #: Classes in a token's list up to which the list is cheap: it gives few pairs, whatever the corpus.
@@ -50,24 +50,42 @@ def slot_bits(docs: DataFrame, text: str) -> int:
 
 
 def slot_counts(docs: DataFrame, k: int, text: str) -> np.ndarray:
-    """How many shingles of the corpus fall into each slot."""
+    """How many shingles of the corpus fall into each slot. What a task has counted travels as a row for each CHUNK slots."""
     slots = 1 << slot_bits(docs, text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.uint32)
+        total, held, size = np.zeros(slots, np.uint32), [], 0
         for batch in batches:
-            h, _ = shingle_hashes(*text_buffer(batch.column(0)), k)
-            some, n = np.unique((h & np.uint64(slots - 1)).astype(np.int32), return_counts=True)
-            total[some] += n.astype(np.uint32)
-        some = np.flatnonzero(total)
-        for i in range(0, len(some), 1 << 16):
-            part = some[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["slot", "n"])
-
-    got = docs.select(text).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(slots, np.int64)
-    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    return out
+            held.append((shingle_hashes(*text_buffer(batch.column(0)), k)[0] & np.uint64(slots - 1)).astype(np.int32))
+            size += len(held[-1])
+            if size > slots:
+                total += np.bincount(np.concatenate(held), minlength=slots).astype(np.uint32)
+                held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=slots).astype(np.uint32)
+        parts = total.reshape(-1, CHUNK)
+        some = np.flatnonzero(parts.any(1))
+        planes = [parts[i].view(np.uint8).reshape(-1, 4).T.tobytes() for i in some]  # high bytes are mostly 0, which packs well
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(planes, pa.binary())], names=["chunk", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = -1, np.zeros(CHUNK, np.int64)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "n"])
+        for batch in batches:
+            for i, planes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if i != now:
+                    if now >= 0:
+                        yield row()
+                    now, total = i, np.zeros(CHUNK, np.int64)
+                total += np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
+        if now >= 0:
+            yield row()
+
+    counted = docs.select(text).mapInArrow(count, "chunk int, n binary").repartition(partitions(docs.sparkSession), "chunk").sortWithinPartitions("chunk")
+    out = np.zeros((slots // CHUNK, CHUNK), np.int64)
+    for r in counted.mapInArrow(add, "chunk int, n binary").toLocalIterator():
+        out[r.chunk] = np.frombuffer(r.n, np.int64)
+    return out.reshape(-1)
 
 
 def rarity(counts: np.ndarray) -> np.ndarray:

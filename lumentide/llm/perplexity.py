@@ -293,6 +293,14 @@ def fit_model(docs: DataFrame, text: str = "text", order: int = ORDER) -> Kneser
     return KneserNey.of(levels)
 
 
+def _portions(offsets: np.ndarray, most: int = 1 << 17) -> list[tuple[int, int]]:
+    """Runs of rows of at most `most` bytes (or one row), so that what scoring holds at a time is bounded by a text, not by a batch."""
+    cuts, rows = [0], len(offsets) - 1
+    while cuts[-1] < rows:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(offsets, offsets[cuts[-1]] + most, side="right")) - 1))
+    return list(zip(cuts, cuts[1:], strict=False)) or [(0, 0)]
+
+
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -368,8 +376,12 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         kn = shared.value
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            found = text_features(data, offsets)
-            total, squares, n = kn.score(data, offsets) if kn is not None else (np.zeros(len(batch)), np.zeros(len(batch)), np.zeros(len(batch), np.int64))
+            found, scores = [], []
+            for i, j in _portions(offsets):
+                part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                found.append(text_features(part, bounds))
+                scores.append(kn.score(part, bounds) if kn is not None else (np.zeros(j - i), np.zeros(j - i), np.zeros(j - i, np.int64)))
+            found, (total, squares, n) = ([np.concatenate(x) for x in zip(*y, strict=True)] for y in (found, scores))
             bits = -total / np.maximum(n, 1) / np.log(2)
             spread = np.maximum(squares / np.maximum(n, 1) / np.log(2) ** 2 - bits**2, 0)  # variance of the bits of single bytes
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), pa.array(bits, mask=n == 0), pa.array(n, pa.int64()), pa.array(spread), *batch.columns[1:]], names=[*FEATURES, "bits", "n_scored", "spread", "text_key", *(f"c{i}" for i in range(len(extra)))])
