@@ -24,17 +24,17 @@ _SPACE = re.compile(r"[\s ]+")
 _RAW = frozenset("script style noscript template iframe noembed noframes xmp plaintext textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never part of an article.
-_DROPPED = frozenset("nav footer aside form button select option datalist dialog menu svg math canvas object audio video map head input label fieldset".split()) | _RAW
+_DROPPED = frozenset("nav footer aside button select option datalist dialog menu svg math canvas object audio video map head input label fieldset".split()) | _RAW
 #: Of these, those that may stand within a paragraph.
 _INLINE = frozenset("button select option datalist svg math canvas object audio video map head label".split())
-_BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption header address details summary hgroup center hr".split()) | _DROPPED
+_BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption header address details summary hgroup center hr form".split()) | _DROPPED
 #: An opening tag of the first kind ends an open element of the second kind, within the third.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _BARRIER = frozenset("article section main div ul ol dl table td th blockquote body aside nav footer header form figure".split())
 #: Elements whose points go to the one around them first.
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption address hr center summary hgroup".split())
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
-_BAD_NAME = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|comments?|commentlist|disqus|respond|replies|reply|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|topbar|social|share|sharing|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|notice|alert|widget|toolbar|skip|outbrain|taboola|copyright|legal|tags?|toc)(?:$|[-_ ])", re.I)
+_BAD_NAME = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|comments?|commentlist|discussions?|reviews?|disqus|respond|replies|reply|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|masthead|topbar|social|share|sharing|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|notice|alert|widget|toolbar|skip|outbrain|taboola|copyright|legal|tags?|toc)(?:$|[-_ ])", re.I)
 _GOOD_NAME = re.compile(r"article|entry|main|post|content|body|story|text", re.I)
 _BAD_WEIGHT = re.compile(r"meta|foot|link|list|hidden|shop|tool|scroll", re.I)
 #: An element with a bad name is left out unless it holds more than so many times the points of all that has none; with a
@@ -47,8 +47,9 @@ class _Node:
     __slots__ = ("tag", "parent", "children", "names", "good", "bad")
 
     def __init__(self, tag: str, parent: "_Node | None", names: str = "", good: bool = False):
+        names = names or ("form" if tag == "form" else "")  # a form can be around a whole page, so it is weighed, too
         self.tag, self.parent, self.children, self.names, self.good = tag, parent, [], names, good
-        self.bad = bool(names) and tag not in ("html", "body", "article", "main") and bool(_BAD_NAME.search(names)) and not (tag in ("div", "section") and "article" in names.lower().split())
+        self.bad = tag == "form" or bool(names) and tag not in ("html", "body", "article", "main") and bool(_BAD_NAME.search(names)) and not (tag in ("div", "section") and "article" in names.lower().split())
 
 
 def _dropped(tag: str, a: dict[str, str], inside: bool) -> bool:
