@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,34 +105,31 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(cols)], names=["k", "start", "length", "crc", "n", "ids"])
 
     pieces = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(cut, "k long, start long, length long, crc long, n long, ids binary")
-    pieces = stored(pieces, "pieces").withColumn("row", F.monotonically_increasing_id())
+    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")  # the number is stored, so all plans see the same
     rest = F.col("length") < capacity
     total = pieces.where(rest).agg(F.sum("length")).first()[0] or 0
     blocks = max(1, round(total / (BLOCK_WINDOWS * capacity)))
 
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["k", "start", "row"]).reset_index(drop=True)
-        at = fill_windows(frame["length"].to_numpy(np.int64), capacity)
-        frame["window"] = at
-        frame = frame.sort_values("window", kind="stable")
-        size = frame["length"]
-        frame["offset"] = size.groupby(frame["window"]).cumsum() - size
-        return frame[["row", "block", "window", "offset"]]
-
-    # Only what the packing needs goes through Python; ids stay where they are.
-    dealt = pieces.where(rest).select("k", "start", "length", "row", F.pmod(sha("k", "start", "row"), F.lit(blocks)).alias("block"))
+    def fill(table: pa.Table) -> pa.Table:
+        """Adds window and offset to a block's pieces; other columns, keys and nulls among them, stay as they are."""
+        table = table.combine_chunks().sort_by([("k", "ascending"), ("start", "ascending"), ("row", "ascending")])
+        size = table["length"].to_numpy()
+        window = fill_windows(size, capacity)
+        by = np.argsort(window, kind="stable")
+        size, window = size[by], window[by]
+        before = np.cumsum(size) - size
+        first = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
+        offset = before - np.repeat(before[first], np.diff(np.append(first, len(size))))
+        table = table.take(pa.array(by))
+        return table.append_column("window", pa.array(window, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+
+    # Ids don't go through Python again; where they are wanted they are joined on the piece's number.
+    columns = ["k", "start", "length", "crc", "n", "row"]
+    dealt = pieces.where(rest).select(*columns, F.pmod(sha("k", "start", "row"), F.lit(blocks)).alias("block"))
     names = [F.col("k").alias(key), "start", "length", F.col("crc").alias("ids_crc32"), F.col("n").alias("doc_tokens")]
     alone = pieces.where(~rest).select(*names, (F.col("row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
-    if keep_ids:
-        placed = dealt.groupBy("block").applyInPandas(fill, "row long, block long, window long, offset long")
-        packed = pieces.join(placed, "row")
-    else:
-        def fill_all(frame: pd.DataFrame) -> pd.DataFrame:
-            placed = fill(frame).set_index("row")
-            return frame.drop(columns="block").join(placed, on="row")
-
-        dealt = pieces.where(rest).select("k", "start", "length", "crc", "n", "row", F.pmod(sha("k", "start", "row"), F.lit(blocks)).alias("block"))
-        packed = dealt.groupBy("block").applyInPandas(fill_all, "k long, start long, length long, crc long, n long, row long, block long, window long, offset long").withColumn("ids", F.lit(None).cast("binary"))
+    packed = dealt.groupBy("block").applyInArrow(fill, f"{', '.join(f'{c} long' for c in columns)}, block long, window long, offset long")
+    packed = packed.join(pieces.select("row", "ids"), "row") if keep_ids else packed.withColumn("ids", F.lit(None).cast("binary"))
     packed = packed.select(*names, (F.shiftleft("block", 32) + F.col("window") * 2).alias("sequence_id"), "offset", "ids")
     out = packed.unionByName(alone)
     return out if keep_ids else out.drop("ids")

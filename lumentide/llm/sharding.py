@@ -27,11 +27,11 @@ def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
     spark = docs.sparkSession
     session_setup(spark)
     rows = docs.select(ordered_key(key).alias("k"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("crc"))
-    rows = stored(rows, "shard-rows")
+    rows = stored(rows.withColumn("salt", F.pmod(sha("crc", F.monotonically_increasing_id()), F.lit(1 << 20))), "shard-rows")
     n = partitions(spark)
     cuts = key_cuts(rows, "k", 8 * n)
-    # The salt spreads a key that very many rows share; it comes from the stored rows, so a rerun task makes it again.
-    bucketed = rows.withColumn("b", bucket_udf(cuts)("k", F.pmod(sha("crc", F.monotonically_increasing_id()), F.lit(1 << 20))))
+    # The salt spreads a key that very many rows share; it is stored, so a rerun task sees the same.
+    bucketed = rows.withColumn("b", bucket_udf(cuts)("k", F.col("salt")))
     totals = {r.b: (r.bytes, r.rows) for r in bucketed.groupBy("b").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
     base, bytes_before, rows_before = {}, 0, 0
     for b in sorted(totals):
