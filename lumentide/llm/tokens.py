@@ -31,11 +31,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
+def added_tokens(whole: dict) -> re.Pattern | None:
+    """What finds the added tokens of a tokenizer's file in a text, whatever their case; None where it has none."""
+    names = [re.escape(t["content"]) for t in whole.get("added_tokens") or [] if t["content"]]
+    return re.compile("|".join(names), re.I) if names else None
+
+
 class LeadEncoder:
-    """Encodes texts as a byte-level `tokenizers` file with leading spaces does, special tokens being plain text.
+    """Encodes texts as a byte-level `tokenizers` file with leading spaces does.
 
     The file's vocabulary, in which a merge's place is the id of what it makes, is given to tiktoken, which is
-    several times as fast as the file's own library and gives the same ids (tested). Empty text: no ids.
+    several times as fast as the file's own library and gives the same ids (tested). A text that holds one of the file's
+    added tokens goes to that library. Empty text: no ids.
     """
 
     _made: dict = {}
@@ -44,9 +51,13 @@ class LeadEncoder:
         import json
 
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            whole = json.load(f)
+        vocab = whole["model"]["vocab"]
+        self.added = added_tokens(whole)
+        self.tokenizer = Tokenizer.from_file(path)
         back = {v: k for k, v in _byte_letters().items()}
         ranks = {bytes(back[c] for c in token): i for token, i in vocab.items()}
         self.encoding = tiktoken.Encoding("lead", pat_str=LEAD_PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -58,6 +69,8 @@ class LeadEncoder:
         return cls._made[path]
 
     def encode(self, text: str) -> np.ndarray:
+        if self.added and self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self.encoding.encode_ordinary(text), "<u4")
 
 
@@ -66,7 +79,7 @@ class CachedEncoder:
 
     Texts are split at white space, which no token crosses, so the ids of a text are those of its chunks in
     order. The file's own model merges each new word; chunks with unusual characters go through the whole
-    tokenizer. Special tokens in a text are plain text. Empty text: no ids.
+    tokenizer, and so do texts that hold one of the file's added tokens. Empty text: no ids.
     """
 
     _made: dict = {}
@@ -74,11 +87,14 @@ class CachedEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
         import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.added = added_tokens(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.words_of = regex.compile(WORD_PATTERN).findall
         self.letters = _byte_letters()
@@ -118,6 +134,9 @@ class CachedEncoder:
             self.cache.clear()
         cache, out = self.cache, []
         for text in texts:
+            if self.added and self.added.search(text):
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
             ids = []
             for chunk in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
                 got = cache.get(chunk)
@@ -249,14 +268,14 @@ def unpack_block(blob: bytes, block: int) -> np.ndarray:
 
 #: Ids in a segment of a file, about; a segment holds whole documents.
 SEGMENT_IDS = 1 << 19
-SEGMENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("blob", pa.binary())])
+SEGMENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("lengths", pa.binary()), ("blob", pa.binary())])
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Encodes every whole text and writes the ids, in ascending key order, as packed segments.
 
     Rows go into key ranges (one shuffle of the texts); each range is sorted and written in order as segments of
-    whole documents: keys, lengths, and the Simple-8b blob. Null text is empty; each document ends with end_id.
+    whole documents: keys, lengths, the ids of the range before it, and the Simple-8b blob. Null text is empty; each document ends with end_id.
     Null keys come first; rows that share a key keep an arbitrary order. Files go through Spark's writer, to
     any store. An empty table writes no segment.
     """
@@ -269,12 +288,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, k
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = CachedEncoder.get(tokenizer)
-        now, part, keys, ids, held = None, 0, [], [], 0
+        now, part, keys, ids, held, before = None, 0, [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(x) // 4 for x in ids], "<u4")
             joined = np.frombuffer(b"".join(ids), "<u4")
-            values = [[now], [part], [len(keys)], [len(joined)], [np.array(keys, "<i8").tobytes()], [lengths.tobytes()], [pack_ids(joined)]]
+            values = [[now], [part], [before], [len(keys)], [len(joined)], [np.array(keys, "<i8").tobytes()], [lengths.tobytes()], [pack_ids(joined)]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, SEGMENT, strict=True)], schema=SEGMENT)
 
         for batch in batches:
@@ -282,7 +301,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, k
             for b, k, e in zip(bs, ks, encoder.encode(batch.column(2).to_pylist()), strict=True):
                 if keys and (b != now or held >= SEGMENT_IDS):
                     yield flush()
-                    part, keys, ids, held = (part + 1 if b == now else 0), [], [], 0
+                    part, before = (part + 1, before + held) if b == now else (0, 0)
+                    keys, ids, held = [], [], 0
                 now = b
                 keys.append(k)
                 ids.append(e + tail)
@@ -292,20 +312,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, k
 
     salt = F.pmod(F.xxhash64("t"), F.lit(1 << 20))
     placed = rows.withColumn("b", bucket_udf(cuts)("k", salt)).select("b", "k", "t").repartition(n, "b").sortWithinPartitions("b", "k")
-    placed.mapInArrow(segments, "bucket int, part int, n_docs long, n_ids long, doc_ids binary, lengths binary, blob binary").write.parquet(path)
+    placed.mapInArrow(segments, "bucket int, part int, before long, n_docs long, n_ids long, doc_ids binary, lengths binary, blob binary").write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """Reads the files back: key, start (ids of all documents before it), n_tokens, ids_crc32 and the ids (binary, 32-bit).
 
-    Only the segment heads are gathered (a few numbers for half a million ids) to give each segment its first position.
+    Only the totals of the key ranges (MAX_BUCKETS at most) are gathered; a segment tells what lies before it in its range.
     """
     files = spark.read.parquet(path)
-    heads = sorted((r.bucket, r.part, r.n_ids) for r in files.select("bucket", "part", "n_ids").toLocalIterator())
+    totals = {r.bucket: r.n for r in files.groupBy("bucket").agg(F.sum("n_ids").alias("n")).collect()}
     start, starts = 0, {}
-    for b, p, m in heads:
-        starts[b, p] = start
-        start += m
+    for b in sorted(totals):
+        starts[b] = start
+        start += totals[b]
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,12 +335,12 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
                 ends = np.cumsum(lengths)
                 raw = ids.tobytes()
                 pieces = [raw[4 * (e - m) : 4 * e] for e, m in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                base = starts[r["bucket"], r["part"]]
+                base = starts[r["bucket"]] + r["before"]
                 keys = np.frombuffer(r["doc_ids"], "<i8")
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=keys == LOWEST), pa.array(base + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in pieces], pa.int64()), pa.array(pieces, pa.binary())], names=[key, "start", "n_tokens", "ids_crc32", "ids"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    return files.select("bucket", "part", "doc_ids", "lengths", "blob").mapInArrow(documents, f"`{key}` long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return files.select("bucket", "before", "doc_ids", "lengths", "blob").mapInArrow(documents, f"`{key}` long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def token_file_path(spark: SparkSession, name: str) -> str:
