@@ -16,8 +16,11 @@ from .common import LOWEST, bucket_udf, key_cuts, mix64, ordered_key, partitions
 
 #: Bytes of a window; windows a window is ranked among; times it must be the rarest of them to be selected.
 WINDOW, AMONG, SUPPORT = 32, 32, 8
-#: Steps of entropy; bits and features of one filter; bits a feature sets; bytes under which a text is short.
-BIN_SHIFT, BINS, FILTER_BITS, FILTER_FEATURES, FEATURE_BITS, SHORT = 10, 641, 2048, 160, 5, 160
+#: Steps of entropy; bits and features of one filter; bits a feature sets.
+BIN_SHIFT, BINS, FILTER_BITS, FILTER_FEATURES, FEATURE_BITS = 10, 641, 2048, 160, 5
+#: Texts of SHORT bytes or more have the rare windows as features, texts of MIDDLE bytes or fewer all 4-byte windows; those
+#: between have both, each in filters of its own, so texts of like length can always be held against each other.
+SHORT, MIDDLE, FINE = 160, 512, 0x8000
 
 _COUNT = np.arange(WINDOW + 2)
 _NLOGN = np.rint(np.where(_COUNT > 0, _COUNT * np.log2(np.maximum(_COUNT, 1)), 0) * 4096).astype(np.int32)
@@ -71,8 +74,8 @@ def digests(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> list[by
     """The digest of each text: filters of FILTER_BITS in a chain, each with 2 bytes before it for its features.
 
     Of every AMONG windows in a row the rarest (then the leftmost) gets a point; windows with SUPPORT points are the
-    features. A text under SHORT bytes, or in which none is rare enough, has all its 4-byte windows as features; a
-    text without bytes has none.
+    features of a text of SHORT bytes or more. A text of MIDDLE bytes or fewer, and one in which no window is rare enough,
+    has its 4-byte windows as features, in further filters marked FINE. A text without bytes has none.
     """
     n_rows = len(offsets) - 1
     bins = window_bins(data)
@@ -98,17 +101,18 @@ def digests(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> list[by
     hashes = np.zeros(len(at), np.uint64)
     for k in range(WINDOW):
         hashes += (data[at + k].astype(np.uint64) + np.uint64(1)) * _MULTIPLIERS[k]
-    tiny = np.flatnonzero((lengths > 0) & (np.bincount(owner, minlength=n_rows) == 0))
-    if len(tiny):
-        more, whose = [], []
-        for i in tiny:
-            text = data[offsets[i] : offsets[i + 1]].astype(np.uint64) + np.uint64(1)
-            w = min(4, len(text))
-            more.append(sum(text[k : len(text) - w + 1 + k] * _MULTIPLIERS[k] for k in range(w)))
-            whose.append(np.full(len(text) - w + 1, i))
-        hashes, owner = np.concatenate([hashes, *more]), np.concatenate([owner, *whose])
-        by = np.argsort(owner, kind="stable")
-        hashes, owner = hashes[by], owner[by]
+    fine = np.flatnonzero((lengths > 0) & ((lengths <= MIDDLE) | (np.bincount(owner, minlength=n_rows) == 0)))
+    more, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i in fine:
+        text = data[offsets[i] : offsets[i + 1]].astype(np.uint64) + np.uint64(1)
+        w = min(4, len(text))
+        more.append(np.unique(sum(text[k : len(text) - w + 1 + k] * _MULTIPLIERS[k] for k in range(w))))
+        whose.append(np.full(len(more[-1]), i))
+    return [x + y for x, y in zip(_filters(hashes, owner, n_rows, 0), _filters(np.concatenate(more), np.concatenate(whose), n_rows, FINE), strict=True)]
+
+
+def _filters(hashes: np.ndarray, owner: np.ndarray, n_rows: int, mark: int) -> list[bytes]:
+    """The chain of filters of each row's features (owner: their rows, ascending)."""
     hashes = mix64(hashes)
     first = np.searchsorted(owner, np.arange(n_rows + 1))
     number = np.arange(len(owner)) - first[owner] if len(owner) else owner
@@ -119,7 +123,7 @@ def digests(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> list[by
     for k in range(FEATURE_BITS):
         bits[where, ((hashes >> np.uint64(12 * k)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
     packed = np.packbits(bits, axis=1)
-    counts = np.bincount(where, minlength=int(base[-1])).astype("<u2")
+    counts = (np.bincount(where, minlength=int(base[-1])) | mark).astype("<u2")
     whole = np.concatenate([counts.view(np.uint8).reshape(-1, 2), packed], axis=1)
     size = whole.shape[1]
     raw = whole.tobytes()
@@ -133,7 +137,8 @@ def likeness(a: bytes, b: bytes) -> float:
     """How alike two digests are, 0 to 1: the filters' bit overlap between what chance gives and the most there can be.
 
     Each filter of the digest with fewer features is held against all of the other's; the best count, weighted by
-    features. Two digests without features are alike (1), one without and one with are not (0).
+    features. Two digests without features are alike (1); one without and one with are not (0), nor are two
+    of texts so unequal in length that they have no kind of features in common.
     """
     if a == b:
         return 1.0
@@ -141,6 +146,13 @@ def likeness(a: bytes, b: bytes) -> float:
         return 0.0
     x, y = (np.frombuffer(v, np.uint8).reshape(-1, _SIZE) for v in (a, b))
     nx, ny = (np.ascontiguousarray(v[:, :2]).view("<u2")[:, 0].astype(np.int64) for v in (x, y))
+    for mark in (0, FINE):  # the rare windows if both have them, else the short ones
+        mx, my = (nx & FINE) == mark, (ny & FINE) == mark
+        if mx.any() and my.any():
+            break
+    else:
+        return 0.0
+    x, y, nx, ny = x[mx], y[my], nx[mx] & ~FINE, ny[my] & ~FINE
     if nx.sum() > ny.sum():
         x, y, nx, ny = y, x, ny, nx
     bx, by = (np.unpackbits(np.ascontiguousarray(v[:, 2:]), axis=1).astype(np.float32) for v in (x, y))
