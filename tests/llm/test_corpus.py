@@ -299,7 +299,6 @@ def test_packing_holds_every_id_once(docs, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = packing.pack_documents(docs, path, keep_ids=True).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
@@ -348,7 +347,6 @@ def test_token_files_round_trip(spark, docs, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     tokens.write_token_files(docs, f"file://{tmp_path}/a", path, 2)
     rows = sorted(tokens.read_token_files(spark, f"file://{tmp_path}/a").collect(), key=lambda r: r.doc_id)
     start = 0
