@@ -44,3 +44,15 @@ def coalesced(left: DataFrame, right: DataFrame, keys: list[str], column: str) -
     assert_unique(r, keys)
     base = F.when(~F.isnan(F.col(column).cast("double")), F.col(column))
     return left.join(r, keys, "left").withColumn(column, F.coalesce(base, F.col("_r"))).drop("_r")
+
+
+def chained(df: DataFrame, *steps: tuple[DataFrame, list[str]]) -> DataFrame:
+    """Left joins with one small table after another, each of unique keys."""
+    for right, keys in steps:
+        df = left_join(df, right, keys)
+    return df
+
+
+def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that occur more than once, and how often."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -51,3 +51,85 @@ def robust_scale(column: str, by: list[str], floor: float = 1e-9) -> Column:
     w = Window.partitionBy(*by)
     iqr = F.percentile(column, 0.75).over(w) - F.percentile(column, 0.25).over(w)
     return (F.col(column) - F.median(column).over(w)) / F.greatest(iqr, F.lit(floor))
+
+
+def kept(df: DataFrame, *flags: Column) -> DataFrame:
+    """Rows for which all flags hold; null doesn't."""
+    for f in flags:
+        df = df.where(f)
+    return df
+
+
+def border_flag(height: Column, width: Column, margin: int) -> Column:
+    """Whether a box (min_row, min_col, max_row, max_col) comes within margin of the image's border; an unknown size is an error."""
+    known = lambda c: F.coalesce(c, F.raise_error(F.lit("image size is unknown")).cast("int"))
+    return (F.col("min_row") <= margin) | (F.col("min_col") <= margin) | (F.col("max_row") >= known(height) - margin) | (F.col("max_col") >= known(width) - margin)
+
+
+def within_limits(df: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
+    """Rows whose columns lie inside their closed limits."""
+    for c, (lo, hi) in limits.items():
+        df = df.where(F.col(c).between(lo, hi))
+    return df
+
+
+def masked(column: str, flag: str) -> Column:
+    """The value where the flag reads true or 1, else null."""
+    return F.when(F.lower(F.col(flag).cast("string")).isin("true", "1"), F.col(column))
+
+
+def finite_in(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """Rows whose value is finite and strictly between the limits."""
+    x = F.col(column)
+    return df.where(x.isNotNull() & ~F.isnan(x) & (x > low) & (x < high))
+
+
+def flag_known(df: DataFrame, keys: list[str], known: list[tuple], into: str = "excluded") -> DataFrame:
+    """Adds whether a row's key is among a literal list."""
+    hit = F.lit(False)
+    for values in known:
+        one = F.lit(True)
+        for k, v in zip(keys, values, strict=True):
+            one = one & (F.col(k) == F.lit(v))
+        hit = hit | F.coalesce(one, F.lit(False))
+    return df.withColumn(into, hit)
+
+
+def usable_features(df: DataFrame, features: list[str]) -> DataFrame:
+    """For each feature its values and whether they vary, from one pass: least and largest tell that without counting distinct ones."""
+    row = df.agg(*(e for f in features for e in (F.count(f).alias(f"{f}_n"), F.coalesce(F.min(f) < F.max(f), F.lit(False)).alias(f"{f}_u"))))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"{f}_n").alias("n"), F.col(f"{f}_u").alias("usable")) for f in features))).alias("s")).select("s.*")
+
+
+def duplicate_features(df: DataFrame, features: list[str], rtol: float = 1e-9, atol: float = 1e-12) -> DataFrame:
+    """Features equal to an earlier one, or to its log1p, within tolerances, in all rows: dropped, kept. One pass tells all pairs."""
+    near = lambda a, b: F.coalesce(F.abs(a - b) <= atol + rtol * F.abs(b), a.isNull() & b.isNull())
+    pairs = [(a, b) for i, b in enumerate(features) for a in features[:i]]
+    same = [F.bool_and(near(F.col(b), F.col(a))) | F.bool_and(near(F.col(b), F.when(F.col(a) > -1, F.log1p(a)))) for a, b in pairs]
+    row = df.agg(*(s.alias(f"s{i}") for i, s in enumerate(same)))
+    found = F.array_compact(F.array(*(F.when(F.col(f"s{i}"), F.struct(F.lit(b).alias("dropped"), F.lit(a).alias("kept"))) for i, (a, b) in enumerate(pairs))))
+    return row.select(F.explode(found).alias("s")).groupBy("s.dropped").agg(F.min("s.kept").alias("kept"))
+
+
+def robust_scale_or_global(df: DataFrame, column: str, by: list[str], into: str, floor: float = 1e-9) -> DataFrame:
+    """(x - group median) over the group's IQR, else over that of all rows, else over their std, else 1."""
+    whole = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    own = df.groupBy(*by).agg(F.get(whole, F.lit(1)).alias("_m"), (F.get(whole, F.lit(2)) - F.get(whole, F.lit(0))).alias("_i"))
+    every = df.agg((F.get(whole, F.lit(2)) - F.get(whole, F.lit(0))).alias("_gi"), F.stddev_pop(column).alias("_gs"))
+    scale = F.coalesce(*(F.when(F.col(c) > floor, F.col(c)) for c in ("_i", "_gi", "_gs")), F.lit(1.0))
+    return df.join(own, by).crossJoin(F.broadcast(every)).withColumn(into, (F.col(column) - F.col("_m")) / scale).drop("_m", "_i", "_gi", "_gs")
+
+
+def spread_picks(df: DataFrame, by: list[str], order: list[str], k: int, low: float = 0.12, high: float = 0.88) -> DataFrame:
+    """k rows of each group at even places between two shares of its order; small groups are taken whole."""
+    w = Window.partitionBy(*by)
+    d = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    a, b = F.floor(low * F.col("_n")), F.floor(high * F.col("_n"))
+    at = F.array(*((a + (b - a) * i / (k - 1)).cast("long") for i in range(k)))
+    return d.where((F.col("_n") <= k) | F.array_contains(at, F.col("_i").cast("long"))).drop("_i", "_n")
+
+
+def sample_per_group(df: DataFrame, by: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
+    """At most n rows of each group for review, by a hash of the key: the same whatever the partitions."""
+    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")

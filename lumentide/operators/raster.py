@@ -47,3 +47,11 @@ def without_border(px: DataFrame, height: int, width: int) -> DataFrame:
     """Leaves out the labels that reach the image's border."""
     edge = px.where((F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == height - 1) | (F.col("col") == width - 1)).select("image_id", "label").distinct()
     return px.join(edge, ["image_id", "label"], "left_anti")
+
+
+def saturation_audit(px: DataFrame, by: str, v: str, top: float, floor: float, area: float) -> DataFrame:
+    """Share of saturated pixels of all and of those with signal, share of empty ones, density of signal, and planes spanned."""
+    x = F.col(v)
+    share = lambda c: F.avg(c.cast("double"))
+    signal = x > floor
+    return px.groupBy(by).agg(share(x >= top).alias("saturated"), share(F.when(signal, x >= top)).alias("saturated_signal"), share(x <= floor).alias("empty"), (F.count_if(signal) * 10000 / F.lit(area)).alias("density"), (F.max("z") - F.min("z") + 1).cast("int").alias("span"))

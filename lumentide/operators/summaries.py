@@ -15,7 +15,8 @@ def population_summary(df: DataFrame, by: list[str], features: list[str]) -> Dat
     aggs = [F.count("*").alias("n_cells")]
     for f in features:
         x = finite(F.col(f))
-        q = {p: F.percentile(x, p) for p in QUANTILES}
+        whole = F.percentile(x, F.array(*map(F.lit, QUANTILES)))  # one buffer a column for all its quantiles
+        q = {p: F.get(whole, F.lit(i)) for i, p in enumerate(QUANTILES)}
         sd = F.stddev_samp(x)
         aggs += [F.count(x).alias(f"{f}_n"), F.avg(x).alias(f"{f}_mean"), q[0.5].alias(f"{f}_median"), sd.alias(f"{f}_std"), (q[0.75] - q[0.25]).alias(f"{f}_iqr"), (sd / F.nullif(F.abs(F.avg(x)), F.lit(0.0))).alias(f"{f}_cv")]
         aggs += [q[p].alias(f"{f}_q{round(p * 100)}") for p in QUANTILES]
@@ -32,7 +33,8 @@ def category_entropy(df: DataFrame, by: str, category: str) -> DataFrame:
 def field_descriptive(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """Long table: n, median, quartiles, IQR, mean, sd of each metric."""
     long = df.select(*by, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(by, metrics, "metric", "value")
-    q = lambda p: F.percentile("value", p)
+    whole = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = lambda p: F.get(whole, F.lit(int(4 * p) - 1))
     return long.groupBy(*by, "metric").agg(F.count("value").alias("n"), q(0.5).alias("median"), q(0.25).alias("q25"), q(0.75).alias("q75"), (q(0.75) - q(0.25)).alias("iqr"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
 
 
@@ -56,26 +58,29 @@ def contrasts(summary: DataFrame, stratum: str, group: str, value: str, pairs: l
 
 def control_effects(df: DataFrame, stratum: str, group: str, control: str, feature: str) -> DataFrame:
     """Each group's median less the stratum's control median, in control IQRs."""
-    q = df.groupBy(stratum, group).agg(F.percentile(feature, 0.5).alias("median"), (F.percentile(feature, 0.75) - F.percentile(feature, 0.25)).alias("iqr"))
+    whole = F.percentile(feature, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = df.groupBy(stratum, group).agg(F.get(whole, F.lit(1)).alias("median"), (F.get(whole, F.lit(2)) - F.get(whole, F.lit(0))).alias("iqr"))
     c = q.where(F.col(group) == control).select(stratum, F.col("median").alias("cm"), F.col("iqr").alias("ci"))
     return q.join(c, stratum).select(stratum, group, ((F.col("median") - F.col("cm")) / F.when(F.col("ci") > 1e-12, F.col("ci"))).alias("effect"))
 
 
 def dispersion(df: DataFrame, stratum: str, group: str, control: str, feature: str) -> DataFrame:
     """Median absolute deviation from the group's median, and its gain -log2(mad / control's)."""
-    w = Window.partitionBy(stratum, group)
-    d = df.withColumn("_d", F.abs(F.col(feature) - F.median(feature).over(w))).groupBy(stratum, group).agg(F.median("_d").alias("mad"))
+    centres = df.groupBy(stratum, group).agg(F.median(feature).alias("_m"))  # a row for each group, joined back: no window holds a group
+    d = df.join(F.broadcast(centres), [stratum, group]).groupBy(stratum, group).agg(F.median(F.abs(F.col(feature) - F.col("_m"))).alias("mad"))
     c = d.where(F.col(group) == control).select(stratum, F.col("mad").alias("_c"))
     return d.join(c, stratum, "left").select(stratum, group, "mad", (-log2_ratio(F.col("mad"), F.col("_c"))).alias("gain"))
 
 
 def multivariate_dispersion(df: DataFrame, stratum: str, group: str, control: str, features: list[str]) -> DataFrame:
     """Median distance of cells to their group's centre over control-scaled features, and its gain against the control."""
-    stats = df.where(F.col(group) == control).groupBy(stratum).agg(*[e for f in features for e in (F.percentile(f, 0.5).alias(f"{f}_m"), (F.percentile(f, 0.75) - F.percentile(f, 0.25)).alias(f"{f}_i"))])
-    scaled = df.join(stats, stratum)
+    stats = df.where(F.col(group) == control).groupBy(stratum).agg(*(F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{f}_q") for f in features))
+    stats = stats.select(stratum, *(e for f in features for e in (F.col(f"{f}_q")[1].alias(f"{f}_m"), (F.col(f"{f}_q")[2] - F.col(f"{f}_q")[0]).alias(f"{f}_i"))))
+    scaled = df.join(F.broadcast(stats), stratum)  # a row for each stratum
     scaled = scaled.select(stratum, group, *(F.when(F.col(f"{f}_i") > 1e-12, (F.col(f) - F.col(f"{f}_m")) / F.col(f"{f}_i")).alias(f) for f in features))
-    w = Window.partitionBy(stratum, group)
-    parts = [F.pow(F.col(f) - F.median(f).over(w), 2) for f in features]
+    centres = scaled.groupBy(stratum, group).agg(*(F.median(f).alias(f"{f}_c") for f in features))
+    scaled = scaled.join(F.broadcast(centres), [stratum, group])
+    parts = [F.pow(F.col(f) - F.col(f"{f}_c"), 2) for f in features]
     n = sum((p.isNotNull().cast("int") for p in parts[1:]), parts[0].isNotNull().cast("int"))
     s = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
     d = scaled.withColumn("_r", F.when(n > 0, F.sqrt(s / n))).groupBy(stratum, group).agg(F.median("_r").alias("dispersion"))
@@ -122,3 +127,23 @@ def quartile_difference(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     edges = edges.where((F.col("e0") < F.col("e1")) & (F.col("e1") < F.col("e2")) & (F.col("e2") < F.col("e3")) & (F.col("e3") < F.col("e4")))
     d = df.join(edges, by)
     return d.groupBy(by).agg((F.median(F.when(F.col(x) > F.col("e3"), F.col(y))) - F.median(F.when(F.col(x) <= F.col("e1"), F.col(y)))).alias("difference"))
+
+
+def contrast_with(summary: DataFrame, stratum: str, group: str, control: str, value: str) -> DataFrame:
+    """Each group's summarised value less the stratum's control."""
+    c = summary.where(F.col(group) == control).select(stratum, F.col(value).alias("_c"))
+    return summary.join(c, stratum).select(stratum, group, (F.col(value) - F.col("_c")).alias("effect"))
+
+
+def oriented(df: DataFrame, deviated: Column, probabilities: list[str], full_dev: float = 0.80, full_undiff: float = 0.65) -> DataFrame:
+    """Names two clusters' probabilities by which one is deviated, with margin and three-way label."""
+    d, u = F.when(deviated == 0, F.col(probabilities[0])).otherwise(F.col(probabilities[1])), F.when(deviated == 0, F.col(probabilities[1])).otherwise(F.col(probabilities[0]))
+    return df.withColumns({"deviated": d, "undifferentiated": u, "margin": d - u, "label": F.when(d >= full_dev, "cluster2").when(u >= full_undiff, "cluster1").otherwise("uncertain")})
+
+
+def rotated(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Points turned about their group's centre so that u has the largest variance; signs by the larger part of the first axis."""
+    m = df.groupBy(*by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"), (F.atan2(2 * F.covar_samp(x, y), F.var_samp(x) - F.var_samp(y)) / 2).alias("_t"))
+    sign = F.when(F.abs(F.cos("_t")) >= F.abs(F.sin("_t")), F.signum(F.cos("_t"))).otherwise(F.signum(F.sin("_t")))
+    dx, dy = F.col(x) - F.col("_mx"), F.col(y) - F.col("_my")
+    return df.join(m, by).withColumns({"u": sign * (dx * F.cos("_t") + dy * F.sin("_t")), "v": sign * (dy * F.cos("_t") - dx * F.sin("_t"))}).drop("_mx", "_my", "_t")

@@ -11,6 +11,7 @@ from lumentide.operators import quality as Q
 from lumentide.operators import raster as X
 from lumentide.operators import spatial as P
 from lumentide.operators import summaries as S
+from lumentide.operators.quantiles import spread_quantiles, spread_ranks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +57,12 @@ def population_summary(t):
     return S.population_summary(t, ["l_returnflag"], _FEATURES)
 
 
+@query(f"SELECT l_returnflag, count(l_extendedprice) AS n, {', '.join(f'round(quantile_cont(l_extendedprice, {p}), 6) AS q{round(100 * p)}' for p in S.QUANTILES)} FROM lineitem GROUP BY 1", "lineitem")
+def population_quantiles_spread(t):
+    q = spread_quantiles(t, ["l_returnflag"], "l_extendedprice", S.QUANTILES)
+    return q.select("l_returnflag", "n", *(F.col("q")[i].alias(f"q{round(100 * p)}") for i, p in enumerate(S.QUANTILES)))
+
+
 @query(f"WITH n AS (SELECT user_id, event_type, count(*) n FROM events WHERE event_type IS NOT NULL GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) AS p FROM n), r AS (SELECT user_id, -sum(p * ln(p)) AS entropy, count(*) AS n_categories FROM p GROUP BY 1) SELECT user_id, n_categories, {R('entropy')} FROM r", "events")
 def population_category_entropy(t):
     return S.category_entropy(t, "user_id", "event_type")
@@ -199,18 +206,8 @@ _RHO = "CASE WHEN count(*) >= 3 AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN cov
 
 @query(f"WITH r AS ({_RANKS.format(by='', p='')}) SELECT count(*) AS n, round({_RHO}, 6) AS rho FROM r", "lineitem")
 def spearman_pooled(t):
-    # One order over all rows would go to a single task; ranks come from counts of distinct values instead.
-    def ranked(df, c, out):
-        n = df.groupBy(c).agg(F.count("*").alias("_n"))
-        n = n.withColumn("_b", F.floor(F.col(c) / 1000).cast("long"))
-        blocks = n.groupBy("_b").agg(F.sum("_n").alias("_s"))
-        before = blocks.withColumn("_o", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")  # a row for each thousand of values
-        inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_b").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        r = n.withColumn("_i", inside).join(before, "_b").select(c, (F.col("_o") + F.col("_i") + (F.col("_n") + 1) / 2).alias(out))
-        return df.join(r, c)
-
     d = t.select("l_quantity", "l_extendedprice").where("l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL")
-    d = ranked(ranked(d, "l_quantity", "rx"), "l_extendedprice", "ry")
+    d = spread_ranks(spread_ranks(d, "l_quantity", "rx"), "l_extendedprice", "ry")  # ranks by ranges: no order over all rows in one task
     return d.agg(F.count("*").alias("n"), S.pearson("rx", "ry").alias("rho"))
 
 
@@ -266,9 +263,31 @@ def knn6(t):
     return P.k_nearest(_points(t), 6).select("field", "i", "j", "rank", "d")
 
 
-@query(f"WITH {_NN}, a AS (SELECT field, i AS id, count(*) c, min(d) nn1, avg(d) mean_d, max(d) rk, avg(v) nb_mean FROM n GROUP BY ALL) SELECT p.field, p.id, coalesce(c, 0) AS n_neighbours, {R('nn1', 'mean_d')}, round(CASE WHEN rk > 0 THEN c / (pi() * rk * rk) END, 6) AS density, round(nb_mean, 6) AS nb_mean FROM p LEFT JOIN a USING (field, id)", "part")
+_CELL_POINTS = f"SELECT *, CAST(3 * p_size + 10 AS DOUBLE) AS area, (p_size % 10) / 10.0 AS circularity, (id % 100) / 100.0 AS eccentricity, 20.0 + p_size % 7 AS diameter FROM ({_POINTS.replace('AS value', 'AS value, p_size')})"
+
+
+def _cell_points(part: DataFrame) -> DataFrame:
+    p = _points(part).join(part.select(F.col("p_partkey").alias("id"), "p_size"), "id")
+    return p.withColumns({"area": (3 * F.col("p_size") + 10).cast("double"), "circularity": F.col("p_size") % 10 / 10, "eccentricity": F.col("id") % 100 / 100, "diameter": 20.0 + F.col("p_size") % 7})
+
+
+_NEAR = f"p AS ({_CELL_POINTS}), d AS (SELECT a.field, a.id AS i, b.id AS j, b.x - a.x AS dx, b.y - a.y AS dy, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS d, a.area AS ai, b.area AS aj, b.value AS v, sqrt(power(a.circularity - b.circularity, 2) + power(a.eccentricity - b.eccentricity, 2)) AS shape FROM p a JOIN p b ON a.field = b.field AND a.id <> b.id), o AS (SELECT *, row_number() OVER (PARTITION BY field, i ORDER BY d, j) AS rank FROM d), n AS (SELECT *, max(CASE WHEN rank <= 6 THEN d END) OVER (PARTITION BY field, i) AS r FROM o QUALIFY d <= r + 1e-8)"
+
+
+@query(f"WITH {_NEAR} SELECT field, i, j, {R('d')} FROM n", "part")
+def radius_neighbours(t):
+    return P.nearest_pairs(_points(t), 6).select("field", "i", "j", "d")
+
+
+@query(f"WITH {_NEAR}, a AS (SELECT field, i AS id, count(*) AS c, min(d) AS nn1, avg(d) FILTER (rank <= 6) AS knn_mean, CASE WHEN count(*) FILTER (rank <= 6) = 1 THEN 0 ELSE stddev_samp(d) FILTER (rank <= 6) END AS knn_std, CASE WHEN max(r) > 0 THEN count(*) / (pi() * power(max(r), 2)) END AS density, CASE WHEN max(r) > 0 THEN sum(aj) / (pi() * power(max(r), 2)) END AS area_fraction, median(abs(ln(aj / ai))) AS size_disagreement, median(shape) AS shape_disagreement, sqrt(power(avg(CASE WHEN d > 0 THEN dx / d END), 2) + power(avg(CASE WHEN d > 0 THEN dy / d END), 2)) AS asymmetry, avg(v) AS nb_value_mean, CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(v) END AS nb_value_std FROM n GROUP BY ALL), m AS (SELECT field, 2.5 * median(diameter) AS radius FROM p GROUP BY 1), w AS (SELECT d.field, i AS id, count(*) AS n FROM d JOIN m USING (field) WHERE d <= radius GROUP BY ALL) SELECT p.field, p.id, coalesce(c, 0) AS neighbours, {R('nn1', 'knn_mean', 'knn_std', 'density', 'area_fraction', 'size_disagreement', 'shape_disagreement', 'asymmetry', 'nb_value_mean', 'nb_value_std')}, coalesce(w.n, 0) AS within FROM p LEFT JOIN a USING (field, id) LEFT JOIN w USING (field, id)", "part")
 def neighbour_features(t):
-    return P.neighbour_features(_points(t), 6)
+    return P.neighbour_features(_cell_points(t), 6, features=("value",))
+
+
+@query(f"WITH c AS (SELECT *, median(area) OVER (PARTITION BY field) AS m FROM ({_CELL_POINTS})) SELECT id, round(ln(area / m), 6) AS size_log_ratio, round(ln(greatest(1 + p_size / 40.0, 1)), 6) AS elongation_log, round((area / 2) / (2 * sqrt(pi() * area)) - 1, 6) AS boundary_irregularity, round(1 - circularity, 6) AS convexity_deficit, round(4 / value, 6) AS intensity_cv, round(10 / value, 6) AS intensity_range_ratio, round(x / diameter, 6) AS spacing_units FROM c", "part")
+def composite_features(t):
+    c = _cell_points(t).withColumns({"aspect_ratio": 1 + F.col("p_size") / 40, "perimeter": F.col("area") / 2, "solidity": F.col("circularity"), "intensity_std": F.lit(4.0), "intensity_mean": F.col("value"), "intensity_range": F.lit(10.0), "nn1": F.col("x")})
+    return P.composite_features(c, "field").select("id", "size_log_ratio", "elongation_log", "boundary_irregularity", "convexity_deficit", "intensity_cv", "intensity_range_ratio", "spacing_units")
 
 
 @query(f"WITH p AS ({_POINTS}) SELECT a.field, a.id AS i, count(*) AS n FROM p a JOIN p b ON a.field = b.field AND a.id <> b.id AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 60 GROUP BY ALL", "part")
@@ -276,6 +295,13 @@ def fixed_radius_count(t):
     return P.within_radius(_points(t), 60.0).groupBy("field", "i").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH p AS ({_CELL_POINTS}), m AS (SELECT field, 2.5 * median(diameter) AS radius FROM p GROUP BY 1) SELECT a.field, a.id AS i, count(*) AS n FROM p a JOIN p b ON a.field = b.field AND a.id <> b.id JOIN m ON m.field = a.field WHERE sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= radius GROUP BY ALL", "part")
+def field_radius_count(t):
+    p = _cell_points(t)
+    radii = p.groupBy("field").agg((2.5 * F.median("diameter")).alias("radius"))
+    return P.within_field_radius(p, radii).groupBy("field", "i").agg(F.count("*").alias("n"))
+
+
 @query("WITH w AS (SELECT l_orderkey, l_linenumber, l_quantity, median(l_quantity) OVER g m, quantile_cont(l_quantity, 0.75) OVER g - quantile_cont(l_quantity, 0.25) OVER g i FROM lineitem WINDOW g AS (PARTITION BY l_suppkey)) SELECT l_orderkey, l_linenumber, round((l_quantity - m) / greatest(i, 1e-9), 6) AS scaled FROM w", "lineitem")
 def group_robust_scale(t):
     return t.select("l_orderkey", "l_linenumber", Q.robust_scale("l_quantity", ["l_suppkey"]).alias("scaled"))
@@ -308,9 +334,9 @@ def semi_join(c, o):
     return c.join(o.where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", "orders")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", "customer", "orders")
 def anti_join(c, o):
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return c.join(o.where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT page_id, regexp_extract(url, '^(https?)://([^/]+)/(en|de|fr|es)/([0-9]+)', 1) AS scheme, regexp_extract(url, '^(https?)://([^/]+)/(en|de|fr|es)/([0-9]+)', 2) AS host, regexp_extract(url, '^(https?)://([^/]+)/(en|de|fr|es)/([0-9]+)', 3) AS lang, CASE WHEN url LIKE '%?%' THEN 'query' WHEN url LIKE '%#%' THEN 'fragment' ELSE 'plain' END AS kind FROM pages", "pages")

@@ -23,11 +23,11 @@ def test_spearman_of_a_constant_is_null(spark):
 
 
 def test_nearest_with_coincident_and_lone_points(spark):
-    df = spark.createDataFrame([("f", 1, 0.0, 0.0, 1.0), ("f", 2, 0.0, 0.0, 2.0), ("f", 3, 900.0, 0.0, 3.0), ("g", 9, 5.0, 5.0, 1.0)], "field string, id long, x double, y double, value double")
+    df = spark.createDataFrame([("f", 1, 0.0, 0.0, 1.0), ("f", 2, 0.0, 0.0, 2.0), ("f", 3, 900.0, 0.0, 3.0), ("g", 9, 5.0, 5.0, 1.0)], "field string, id long, x double, y double, area double").withColumns({"circularity": F.lit(1.0), "eccentricity": F.lit(0.0)})
     got = {(r.i, r.rank): (r.j, r.d) for r in P.k_nearest(df, 6).collect()}
     assert got[1, 1] == (2, 0.0) and got[1, 2] == (3, 900.0) and len(got) == 6
-    lone = [r for r in P.neighbour_features(df).collect() if r.id == 9][0]
-    assert lone.n_neighbours == 0 and lone.nn1 is None
+    rows = {r.id: r for r in P.neighbour_features(df, diameter=None).collect()}
+    assert rows[9].neighbours == 0 and rows[9].nn1 is None and rows[1].neighbours == 2 and rows[1].asymmetry == 1.0
 
 
 def test_validated_join_refuses_repeated_keys(spark):

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lumentide.plans import catalogue
+from lumentide.plans import catalogue, extended  # noqa: F401  extended adds to the catalogue
 
 
 @pytest.fixture(scope="module")
