@@ -445,9 +445,9 @@ def _pixels(part: DataFrame) -> DataFrame:
     return part.select(F.lit("f").alias("image_id"), F.floor(F.col("p_partkey") / 64).cast("int").alias("row"), c.alias("col"), F.when(F.col("p_size") > 25, F.floor(c / 8) + 1).otherwise(0).cast("int").alias("label"), F.col("p_retailprice").alias("v"))
 
 
-@query(f"WITH p AS ({_PIX}) SELECT label, count(*) AS area, round(avg(row), 6) AS centroid_row, round(avg(col), 6) AS centroid_col, min(row) AS min_row, max(row) + 1 AS max_row, min(col) AS min_col, max(col) + 1 AS max_col, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(count(*) / ((max(row) - min(row) + 1) * (max(col) - min(col) + 1)), 6) AS extent FROM p WHERE label > 0 GROUP BY 1", "part")
+@query(f"WITH p AS ({_PIX}) SELECT label, count(*) AS area, round(avg(row), 6) AS centroid_row, round(avg(col), 6) AS centroid_col, min(row) AS min_row, max(row) + 1 AS max_row, min(col) AS min_col, max(col) + 1 AS max_col, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(count(*) / ((max(row) - min(row) + 1) * (max(col) - min(col) + 1)), 6) AS extent, round(4 * sqrt((var_pop(row) + var_pop(col) + 1 / 6) / 2 + sqrt(power((var_pop(row) - var_pop(col)) / 2, 2) + power(covar_pop(row, col), 2))), 6) AS major, round(4 * sqrt((var_pop(row) + var_pop(col) + 1 / 6) / 2 - sqrt(power((var_pop(row) - var_pop(col)) / 2, 2) + power(covar_pop(row, col), 2))), 6) AS minor, round(sqrt(1 - ((var_pop(row) + var_pop(col) + 1 / 6) / 2 - sqrt(power((var_pop(row) - var_pop(col)) / 2, 2) + power(covar_pop(row, col), 2))) / ((var_pop(row) + var_pop(col) + 1 / 6) / 2 + sqrt(power((var_pop(row) - var_pop(col)) / 2, 2) + power(covar_pop(row, col), 2)))), 6) AS eccentricity FROM p WHERE label > 0 GROUP BY 1", "part")
 def region_properties(t):
-    return X.region_properties(_pixels(t)).drop("image_id", "major", "minor", "eccentricity")
+    return X.region_properties(_pixels(t)).drop("image_id")
 
 
 @query(f"WITH p AS ({_PIX}) SELECT a.row, a.col, CASE WHEN EXISTS (SELECT 1 FROM p b WHERE abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND b.label > 0 AND a.label > 0 AND a.label <> b.label) THEN 0 ELSE a.label END AS label FROM p a", "part")
