@@ -43,3 +43,37 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     s = n.agg(F.sum(pairs(F.col("n"))).alias("x"), F.sum(pairs(F.col("r")) / F.col("kr")).alias("r"), F.sum(pairs(F.col("c")) / F.col("kc")).alias("c"), pairs(F.sum("n")).alias("t"))
     e = F.col("r") * F.col("c") / F.nullif(F.col("t"), F.lit(0.0))
     return s.select(((F.col("x") - e) / F.nullif((F.col("r") + F.col("c")) / 2 - e, F.lit(0.0))).alias("ari"))
+
+
+#: Rows up to which exact pairwise distances are taken.
+SMALL = 20_000
+
+
+def silhouette_small(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """Mean silhouette of Euclidean distances, over all pairs of a table of at most SMALL rows; larger ones are refused (see silhouette)."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = df.select(key, label, F.transform(vector, lambda x: x.cast("double")).alias("x"))
+    if rows.count() > SMALL:
+        raise ValueError(f"more than {SMALL} rows: use silhouette()")
+    got = rows.toArrow()
+    x, names, labels = np.array(got.column(2).to_pylist(), float), got.column(0).to_pylist(), np.unique(np.array(got.column(1).to_pylist()), return_inverse=True)[1]
+    k = int(labels.max()) + 1 if len(labels) else 0
+    whole = df.sparkSession.sparkContext.broadcast((x, labels, {n: i for i, n in enumerate(names)}))
+
+    def run(batches):
+        every, own, at = whole.value
+        size = np.bincount(own, minlength=k)
+        for batch in batches:
+            out = []
+            for n in batch.column(0).to_pylist():
+                i = at[n]
+                d = np.bincount(own, np.sqrt(((every - every[i]) ** 2).sum(1)), k)
+                a = d[own[i]] / (size[own[i]] - 1) if size[own[i]] > 1 else None
+                others = [d[c] / size[c] for c in range(k) if c != own[i] and size[c]]
+                b = min(others) if others else None
+                out.append(0.0 if a is None or b is None or max(a, b) == 0 else (b - a) / max(a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["s"])
+
+    return rows.select(key).mapInArrow(run, "s double").agg(F.avg("s").alias("silhouette"))

@@ -1 +1 @@
-
+"""Structured Streaming over labelled events."""

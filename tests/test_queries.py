@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lumentide.plans import catalogue, extended, rasters  # noqa: F401  the others add to the catalogue
+from lumentide.plans import catalogue, extended, models, rasters  # noqa: F401  the others add to the catalogue
 
 
 @pytest.fixture(scope="module")
