@@ -258,10 +258,11 @@ def test_files_and_runs(spark, tmp_path):
     assert tables.read_csv_any(spark, str(tmp_path / "d" / "a.csv")).columns == ["x", "y"] and tables.read_csv_any(spark, str(tmp_path / "d" / "sub" / "b.csv")).first().y == "日本"
     found = {r.rel_path: r for r in inventory.listing(spark, str(tmp_path / "d"), [("sub/", "inner")]).collect()}
     assert set(found) == {"a.csv", "sub/b.csv"} and found["sub/b.csv"].category == "inner" and found["a.csv"].suffix == "csv"
-    before = inventory.manifest(spark, str(tmp_path / "d"), [("a.", "first")]).cache()
+    manifest = lambda: spark.createDataFrame(inventory.manifest(spark, str(tmp_path / "d"), [("a.", "first")]).collect())
+    before = manifest()
     assert {r.role for r in before.collect()} == {"first", "other"}
     (tmp_path / "d" / "a.csv").write_bytes(b"other")
-    assert [r.change for r in inventory.changed(before, inventory.manifest(spark, str(tmp_path / "d"), [("a.", "first")])).collect()] == ["changed"]
+    assert [r.change for r in inventory.changed(before, manifest()).collect()] == ["changed"]
     one, two = (tables.run_directory(spark, f"file://{tmp_path}/runs", "step", "t") for _ in range(2))
     assert one != two
     path = tables.write_run_info(spark, two, {"k": 3})
