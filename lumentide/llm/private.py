@@ -79,6 +79,35 @@ _GENERATORS = [
     (3, re.compile(r"(?<![\w.+-])(?:\([0-9]{2,5}\)[ ]?|[0-9]{2,5}[ ./-])[0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,4}(?![\w.-]*[0-9])")),
     (3, re.compile(r"(?<![\w.+-])00[1-9][0-9]{0,2}[ ./-]?[0-9]{2,4}(?:[ ./-]?[0-9]{2,4}){1,4}(?![\w])")),
 ]
+#: Digits of a phone number at most.
+MOST_PHONE = 15
+_RUN = re.compile(r"[0-9(][0-9 ()./_-]*[0-9]")
+_GROUPS = re.compile(r"[0-9]+")
+_NUMERIC = [(kind, pattern) for kind, pattern in _GENERATORS if kind > 1]
+
+
+def _parts_of_runs(text: str) -> Iterator[Span]:
+    """Candidates in runs of digit groups: each start and end at which a numeric generator fits, overlapping ones included.
+
+    A candidate has 19 digits at most, so a start has few ends, however long the run.
+    """
+    for run in _RUN.finditer(text):
+        groups = [g.span() for g in _GROUPS.finditer(text, *run.span())]
+        for i, (start, _) in enumerate(groups) if len(groups) > 1 else ():
+            digits = 0
+            for a, end in groups[i:]:
+                digits += end - a
+                if digits > 19:
+                    break
+                after = text[end : end + 2]
+                if digits < 8 or after[:1].isalnum() or after[:1] == "_" or (after[:1] in (".", "-", "/") and after[1:].isdigit()):
+                    continue
+                for s in (start - 1, start) if text[start - 1 : start] == "(" else (start,):
+                    for kind, pattern in _NUMERIC:
+                        if (kind < 3 or digits <= MOST_PHONE) and pattern.fullmatch(text, s, end):
+                            yield s, kind, end
+
+
 _OPEN = re.compile(r"[0-9@:]|[\[({<] ?(?:at|AT) ?[\])}>]")
 _CUES = [re.compile(p, re.I) for p in (r"e-?mail|mail|contact|write to|@", r"\bip\b|host|server|address|ping|addr", r"card|visa|master|amex|credit|debit|\bcc\b", r"phone|tel\b|tel\.|call|fax|mobile|cell|whatsapp|sms", r"order|isbn|issn|ref|invoice|serial|\bid\b|no\.|number|version|\bv\b|build|token|hash|sha|uuid|doi|page|pp\.|date|code|sku", r"[$€£]|price|total|usd|eur")]
 _GROUP = re.compile(r"[0-9A-Za-z]+")
@@ -203,6 +232,10 @@ def made_examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         good = r.random() < 0.5
         kind, make = r.choice(yes if good else no)
         value = make()
+        if not good and r.random() < 0.15:  # a span too wide: true data and a number beside it
+            kind, make = r.choice([x for x in yes if x[0] > 1])
+            beside = r.choice([str(r.randint(1900, 2030)), num(r.randint(2, 4)), make()])
+            value = " ".join(r.sample([make(), beside], 2))
         draw = r.random()
         if good:
             lead = r.choice([own[kind], *calls[kind]]) if draw < 0.6 else word() + " "
@@ -264,13 +297,9 @@ def found_spans(texts: list[str], judge: Judge) -> list[tuple[list[Span], list[S
         taken = masks[i] = bytearray(len(t))
         for s, _, e in base:
             taken[s:e] = b"\1" * (e - s)
-        seen = set()
-        for kind, pattern in _GENERATORS:
-            for m in pattern.finditer(t):
-                s, e = m.span()
-                if (s, kind, e) in seen or taken.find(1, s, e) >= 0:
-                    continue
-                seen.add((s, kind, e))
+        whole = ((m.start(), kind, m.end()) for kind, pattern in _GENERATORS for m in pattern.finditer(t) if kind < 3 or len(_NOT_DIGIT.sub("", m[0])) <= MOST_PHONE)
+        for s, kind, e in dict.fromkeys([*whole, *_parts_of_runs(t)]):
+            if taken.find(1, s, e) < 0:
                 rows.append(features(t, s, e, kind))
                 where.append((i, s, kind, e))
     out = [(b, list(b)) for b in bases]
