@@ -183,3 +183,19 @@ def test_token_files_of_one_repeated_key(spark, tmp_path):
     tokens.write_token_files(df, str(tmp_path / "f"), public_tokenizers.path("word_bpe_49k.json"), 2)
     got = sorted((r.start, r.n_tokens, r.ids_crc32, r.ids) for r in tokens.read_token_files(spark, str(tmp_path / "f")).collect())
     assert [s for s, *_ in got] == np.cumsum([0, *(n for _, n, *_ in got)])[:-1].tolist() and all(zlib.crc32(bytes(i)) == c for _, _, c, i in got)
+
+
+def test_private_spans_beside_numbers():
+    from lumentide.llm import private
+
+    judge = private.fit_judge()
+
+    def found(text):
+        ((_, spans),) = private.found_spans([text], judge)
+        return [(private.KINDS[k], text[s:e]) for s, k, e in spans]
+
+    assert found("in 2024 212-555-0199 call") == [("phone", "212-555-0199")]
+    assert found("212-555-0199 646-555-0123") == [("phone", "212-555-0199"), ("phone", "646-555-0123")]
+    assert found("in the years 2019 2020 2021 and 2022") == []
+    runs = [x for x in private._parts_of_runs("call 212 555 0199 646 now")]
+    assert len({(s, e) for s, _, e in runs}) > 1 and any(a[0] < b[2] and b[0] < a[2] for a in runs for b in runs if a != b)
