@@ -39,12 +39,13 @@ def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
         _, _, a, ra = heapq.heappop(heap)
         _, _, b, rb = heapq.heappop(heap)
         overlap = len(a) + len(b) - windows  # so many windows get something from both
-        if overlap > 0:  # a's smallest sums with b's largest
+        if overlap > 0:  # a's empty windows take b's largest sums, a's smallest sums the rest of b's
+            alone = windows - len(a)
             sums, roots = a.copy(), ra
             at = np.arange(len(a) - 1, len(a) - 1 - overlap, -1)
-            sums[at] += b[:overlap]
-            parent[rb[:overlap]] = ra[at]
-            sums, roots = np.concatenate([sums, b[overlap:]]), np.concatenate([roots, rb[overlap:]])
+            sums[at] += b[alone:]
+            parent[rb[alone:]] = ra[at]
+            sums, roots = np.concatenate([sums, b[:alone]]), np.concatenate([roots, rb[:alone]])
         else:
             sums, roots = np.concatenate([a, b]), np.concatenate([ra, rb])
         by = np.argsort(-sums, kind="stable")
