@@ -76,7 +76,7 @@ def key_cuts(df: DataFrame, key: str, n: int) -> np.ndarray:
     return np.array(got or [], np.int64)
 
 
-#: What a null key counts as where rows are ordered.
+#: What a null key counts as where rows are ordered; a real key of this value comes back as null.
 LOWEST = -(1 << 63)
 
 

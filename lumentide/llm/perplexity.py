@@ -364,10 +364,12 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     in repeated windows. kept: neither base_failed nor outside the band. Null text has no words and fails.
     Texts shorter than an n-gram have no score and fail by their words. An empty table gives no rows.
 
-    Returns key, FEATURES, base_failed, bits (null without score), low, high, kept, and the columns of `also`.
+    Returns key, FEATURES, base_failed, bits (null without score), low, high, kept, and the columns of `also`
+    (those named as one of the results are replaced by it).
     """
     spark = docs.sparkSession
     session_setup(spark)
+    also = tuple(c for c in also if c not in (*FEATURES, "base_failed", "bits", "low", "high", "kept"))
     model = fit_model(docs, text)
     shared = spark.sparkContext.broadcast(model)  # the names of its shards
     extra = [*dict.fromkeys((key, lang, *also))]

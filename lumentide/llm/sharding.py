@@ -61,7 +61,9 @@ def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes docs, with its shard, as one folder for each shard; rows of a shard are dealt over several files. Keys must be unique."""
+    """Writes docs, with its shard, as one folder for each shard; rows of a shard are dealt over several files. Repeated keys are an error."""
+    if not docs.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("a key that several rows share can't tell their shards")
     where = assign_shards(docs, shards, key, text).select(F.col(key).alias("__key"), F.col("shard").alias("__shard"))
     joined = docs.join(where, docs[key].eqNullSafe(where["__key"]), "left").drop("__key")
     joined.repartition(F.col("__shard"), F.pmod(sha(F.col(key)), F.lit(16))).write.partitionBy("__shard").parquet(path)

@@ -199,3 +199,53 @@ def test_private_spans_beside_numbers():
     assert found("in the years 2019 2020 2021 and 2022") == []
     runs = [x for x in private._parts_of_runs("call 212 555 0199 646 now")]
     assert len({(s, e) for s, _, e in runs}) > 1 and any(a[0] < b[2] and b[0] < a[2] for a in runs for b in runs if a != b)
+
+
+def test_written_shards_and_clashing_columns(spark, sf_dir, tmp_path):
+    from lumentide.llm import sharding
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = sharding.write_shards(docs, str(tmp_path / "shards"), 4)
+    assert got.count() == docs.count() and {r[0] for r in got.select("__shard").distinct().collect()} == {0, 1, 2, 3}
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.unionByName(docs), str(tmp_path / "again"), 4)
+    out = perplexity.quality(docs.withColumn("bits", docs.doc_id), also=("bits", "source"))
+    assert out.columns.count("bits") == 1 and dict(out.dtypes)["bits"] == "double" and "source" in out.columns
+
+
+def test_pipeline_packs_every_id_of_its_input(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {r.doc_id: len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect()}
+    rows = corpus_pipeline.packing(spark, docs, sf_dir).collect()
+    pieces = defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append((r.start, r.length))
+        assert r.doc_tokens == want[r.doc_id]
+    for k, v in pieces.items():
+        v.sort()
+        assert [s for s, _ in v] == np.cumsum([0, *(n for _, n in v)])[:-1].tolist() and sum(n for _, n in v) == want[k]
+    windows = defaultdict(list)
+    for r in rows:
+        windows[r.sequence_id].append((r.offset, r.length))
+    assert pieces.keys() == want.keys()
+    for v in windows.values():
+        v.sort()
+        assert [o for o, _ in v] == np.cumsum([0, *(n for _, n in v)])[:-1].tolist() and sum(n for _, n in v) <= 2048
+
+
+def test_blocks_are_dealt_like_plain_differencing():
+    """differencing() against the textbook version on whole tuples of sums."""
+    r = random.Random(2)
+    for _ in range(30):
+        sizes, k = [r.randint(1, 500) for _ in range(r.randint(1, 40))], r.randint(1, 6)
+        parts = [[(s, [i])] + [(0, [])] * (k - 1) for i, s in enumerate(sizes)]
+        while len(parts) > 1:
+            parts.sort(key=lambda p: p[0][0] - p[-1][0])
+            a, b = parts.pop(), parts.pop()
+            parts.append(sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, b[::-1], strict=True)), key=lambda x: -x[0]))
+        plain = [s for s, _ in parts[0]]
+        got = np.bincount(packing.differencing(np.array(sizes), k), sizes, k)
+        assert got.max() - got.min() <= 1.05 * (max(plain) - min(plain)) + max(sizes) * 0.2
