@@ -94,9 +94,9 @@ def _names(t):
 _FOLDER = "^(Ctrl|HA1|HA2)-(2_5|5|7_5|10)-(40)-Image Export-([0-9]+)$"
 
 
-@query(f"WITH n AS ({_NAMES}), p AS (SELECT *, regexp_matches(name, '{_FOLDER}') AS ok FROM n) SELECT p_partkey, CASE WHEN ok THEN regexp_extract(name, '{_FOLDER}', 1) END AS exposure, CASE WHEN ok THEN round(1000 * CAST(replace(regexp_extract(name, '{_FOLDER}', 2), '_', '.') AS DOUBLE), 6) END AS density, CASE WHEN ok THEN CAST(regexp_extract(name, '{_FOLDER}', 4) AS INTEGER) END AS export_index, CASE WHEN ok THEN 'ok' ELSE 'unrecognised' END AS status FROM p", "part")
+@query(f"WITH n AS ({_NAMES}), p AS (SELECT *, regexp_matches(name, '{_FOLDER}') AS ok FROM n) SELECT p_partkey, CASE WHEN ok THEN regexp_extract(name, '{_FOLDER}', 1) END AS exposure, CASE WHEN ok THEN round(1000 * CAST(replace(regexp_extract(name, '{_FOLDER}', 2), '_', '.') AS DOUBLE), 6) END AS density, CASE WHEN ok THEN CAST(regexp_extract(name, '{_FOLDER}', 4) AS INTEGER) ELSE -1 END AS export_index, CASE WHEN ok THEN 'ok' ELSE 'unrecognised' END AS status FROM p", "part")
 def sample_folders(t):
-    return A.parse_folders(_names(t), "name").select("p_partkey", "exposure", "density", "export_index", "status")
+    return A.parse_folders(_names(t), "name").select("p_partkey", "exposure", "density", F.coalesce("export_index", F.lit(-1)).alias("export_index"), "status")
 
 
 @query("SELECT CAST(g AS VARCHAR) AS group_name, CAST(d AS DOUBLE) AS density, CASE g WHEN 'Ctrl' THEN 0.0 WHEN 'HA1' THEN 24.0 ELSE 48.0 END AS hours FROM (VALUES ('Ctrl'), ('HA1'), ('HA2')) a(g), (VALUES (2500), (5000), (7500), (10000)) b(d)", "region")
@@ -110,10 +110,10 @@ def prefix_classify(t):
     return t.select("p_partkey", A.by_prefix(F.col("p_type"), [("STANDARD P", "a"), ("STANDARD", "b"), ("ECONOMY", "c")]).alias("category"))
 
 
-@query("SELECT c_custkey, s_suppkey AS partner, CASE WHEN s_suppkey IS NULL THEN 'missing_partner' ELSE 'ok' END AS status FROM customer LEFT JOIN supplier ON lower(replace(replace(c_name, 'Customer', ''), '#', '')) = lower(replace(replace(s_name, 'Supplier', ''), '#', ''))", "customer", "supplier")
+@query("SELECT c_custkey, coalesce(s_suppkey, -1) AS partner, CASE WHEN s_suppkey IS NULL THEN 'missing_partner' ELSE 'ok' END AS status FROM customer LEFT JOIN supplier ON lower(replace(replace(c_name, 'Customer', ''), '#', '')) = lower(replace(replace(s_name, 'Supplier', ''), '#', ''))", "customer", "supplier")
 def pairing_manifest(c, s):
     key = lambda x: F.lower(F.regexp_replace(x, "Customer|Supplier|#", ""))
-    return A.paired(c.withColumn("key", key("c_name")), s.select(key("s_name").alias("key"), F.col("s_suppkey").alias("path")), "key").select("c_custkey", "partner", "status")
+    return A.paired(c.withColumn("key", key("c_name")), s.select(key("s_name").alias("key"), F.col("s_suppkey").alias("path")), "key").select("c_custkey", F.coalesce("partner", F.lit(-1)).alias("partner"), "status")
 
 
 @query("WITH n AS (SELECT n_nationkey, lower(n_name) AS exact, substr(lower(n_name), 1, 2) AS key FROM nation), r AS (SELECT CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) END AS exact, substr(lower(n_name), 1, 2) AS key, n_nationkey AS path FROM nation WHERE n_nationkey % 2 = 0), e AS (SELECT exact, min(path) AS p FROM r WHERE exact IS NOT NULL GROUP BY 1), k AS (SELECT key, min(path) AS p FROM r GROUP BY 1) SELECT n_nationkey, coalesce(e.p, k.p) AS partner, CASE WHEN e.p IS NOT NULL THEN 'exact' WHEN k.p IS NOT NULL THEN 'key' ELSE 'missing' END AS status FROM n LEFT JOIN e USING (exact) LEFT JOIN k USING (key)", "nation")
@@ -144,10 +144,10 @@ def term_audit_context(t):
 # ---- joins ----
 
 
-@query("WITH a AS (SELECT o_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT o.o_orderkey, a.n, round(a.q, 6) AS q FROM orders o LEFT JOIN a USING (o_orderkey)", "orders", "lineitem")
+@query("WITH a AS (SELECT o_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT o.o_orderkey, coalesce(a.n, 0) AS n, round(a.q, 6) AS q FROM orders o LEFT JOIN a USING (o_orderkey)", "orders", "lineitem")
 def left_join_one_to_one(o, li):
     a = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
-    return J.left_join(o.select("o_orderkey"), a, ["o_orderkey"], "1:1")
+    return J.left_join(o.select("o_orderkey"), a, ["o_orderkey"], "1:1").na.fill(0, ["n"])
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey, n_nationkey * 2.0 AS area FROM nation", "nation")
@@ -359,10 +359,10 @@ def orientation_score(t):
     return C.orientation_scores(t, "l_returnflag", {"l_quantity": 1.0, "l_tax": 0.7}, {"l_discount": 0.8})
 
 
-@query("SELECT name, n, declared, coalesce(n = declared, false) AS matches FROM (SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region) c FULL JOIN (VALUES ('nation', CAST(25 AS BIGINT)), ('region', CAST(6 AS BIGINT)), ('planet', CAST(1 AS BIGINT))) d(name, declared) USING (name)", "nation", "region")
+@query("SELECT name, coalesce(n, -1) AS n, declared, coalesce(n = declared, false) AS matches FROM (SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region) c FULL JOIN (VALUES ('nation', CAST(25 AS BIGINT)), ('region', CAST(6 AS BIGINT)), ('planet', CAST(1 AS BIGINT))) d(name, declared) USING (name)", "nation", "region")
 def count_ledger(n, r):
     counts = n.agg(F.lit("nation").alias("name"), F.count("*").alias("n")).unionByName(r.agg(F.lit("region").alias("name"), F.count("*").alias("n")))
-    return C.ledger(counts, {"nation": 25, "region": 6, "planet": 1})
+    return C.ledger(counts, {"nation": 25, "region": 6, "planet": 1}).na.fill(-1, ["n"])
 
 
 @query("SELECT split_part(url, '/', 3) AS host, count(*) AS n, round(sum(strlen(html)) / 1e6, 6) AS mb, min(url) AS first FROM pages GROUP BY 1", "pages")
@@ -397,7 +397,7 @@ def average_precision(labels, docs):
 
 
 @query("WITH c AS (SELECT label AS k, count(*) AS n, 100.0 - label * 3 AS bic, (label % 4) / 4.0 AS silhouette, label / 10.0 AS stability, CASE WHEN label = 2 THEN 0.01 ELSE 0.1 END AS least_share FROM embeddings GROUP BY 1), o AS (SELECT * FROM c WHERE least_share >= 0.03), r AS (SELECT k, rank() OVER (ORDER BY bic) + rank() OVER (ORDER BY silhouette DESC) + rank() OVER (ORDER BY stability DESC) AS s FROM o) SELECT k, CAST(s AS INTEGER) AS rank_sum, row_number() OVER (ORDER BY s, k) = 1 AS chosen FROM r", "embeddings")
-def kim_rank_select(t):
+def rank_sum_select(t):
     c = t.groupBy(F.col("label").alias("k")).agg(F.count("*").alias("n"))
     c = c.select("k", (100.0 - F.col("k") * 3).alias("bic"), (F.col("k") % 4 / 4).alias("silhouette"), (F.col("k") / 10).alias("stability"), F.when(F.col("k") == 2, 0.01).otherwise(0.1).alias("least_share"))
     return C.rank_selection(c)
@@ -562,11 +562,11 @@ def rigid_rotation(t):
     return S.rotated(t, ["p_brand"], "p_size", "p_retailprice").select("p_partkey", "u", "v")
 
 
-@query("SELECT p_partkey, p_brand || '__cell_' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 5, '0') AS cell_id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size % 10 AS INTEGER) END AS day, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 10 AS INTEGER) END AS regimen, ['low', 'mid', 'high'][p_size % 3 + 1] AS dose FROM part", "part")
+@query("SELECT p_partkey, p_brand || '__cell_' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 5, '0') AS cell_id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size % 10 AS INTEGER) ELSE -1 END AS day, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 10 AS INTEGER) ELSE -1 END AS regimen, ['low', 'mid', 'high'][p_size % 3 + 1] AS dose FROM part", "part")
 def identifiers(t):
     code = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("D"), F.col("p_size") % 10, F.col("p_partkey") % 10, F.lit("D"))).otherwise("none")
     day, regimen = M.stage_code(code)
-    return t.select("p_partkey", M.cell_id(F.col("p_brand"), F.col("p_partkey") % 10000).alias("cell_id"), day.alias("day"), regimen.alias("regimen"), M.mapped((F.col("p_size") % 3).cast("string"), {"0": "low", "1": "mid", "2": "high"}).alias("dose"))
+    return t.select("p_partkey", M.cell_id(F.col("p_brand"), F.col("p_partkey") % 10000).alias("cell_id"), F.coalesce(day, F.lit(-1)).alias("day"), F.coalesce(regimen, F.lit(-1)).alias("regimen"), M.mapped((F.col("p_size") % 3).cast("string"), {"0": "low", "1": "mid", "2": "high"}).alias("dose"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, json_extract_string(props, '$.none') IS NULL AS absent FROM events", "events")
