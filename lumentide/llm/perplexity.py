@@ -158,12 +158,17 @@ class Level:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"open": {}}
 
-    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The count of each of some ascending n-grams (0 where there is none), and the sums of its context."""
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The count of each of some ascending n-grams (0 where there is none), its context's place among theirs, and the contexts' sums."""
         n = np.zeros(len(codes), np.int64)
-        sums = np.zeros((4, len(codes)), np.int64)
-        cut = np.searchsorted(codes, np.array([x.first for x in self.shards[1:]], np.int64) << 8)
-        for i, (lo, hi) in enumerate(zip([0, *cut], [*cut, len(codes)], strict=True)):
+        context = codes >> 8
+        new = np.append(True, context[1:] != context[:-1])[: len(codes)]
+        place = np.cumsum(new) - 1
+        context = context[new]
+        sums = np.zeros((4, len(context)), np.int64)
+        firsts = np.array([x.first for x in self.shards[1:]], np.int64)
+        cut, cut_context = np.searchsorted(codes, firsts << 8), np.searchsorted(context, firsts)  # shards hold whole contexts
+        for i, (lo, hi, a, b) in enumerate(zip([0, *cut], [*cut, len(codes)], [0, *cut_context], [*cut_context, len(context)], strict=True)):
             if lo == hi or i >= len(self.shards):
                 continue
             if i not in self.open:
@@ -172,10 +177,10 @@ class Level:
             some = codes[lo:hi]
             at = np.minimum(np.searchsorted(known, some), len(known) - 1)
             n[lo:hi] = np.where(known[at] == some, counts[at], 0)
-            context = some >> 8
-            at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-            sums[:, lo:hi] = np.where(contexts[at] == context, of[:, at], 0)
-        return n, sums
+            some = context[a:b]
+            at = np.minimum(np.searchsorted(contexts, some), len(contexts) - 1)
+            sums[:, a:b] = np.where(contexts[at] == some, of[:, at], 0)
+        return n, place, sums
 
 
 class KneserNey:
@@ -206,25 +211,29 @@ class KneserNey:
         steps: list[tuple] = []
         for n in range(self.order, 0, -1):
             codes, back = np.unique(keys & ((1 << 8 * n) - 1), return_inverse=True)
-            count, sums = self.levels[n].find(codes)
-            count, sums = count[back], sums[:, back]
+            count, place, sums = self.levels[n].find(codes)
+            count = count[back]
+            context = keys >> 8
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(keys)])  # a text's keys of one context
+            sums = sums[:, place[back[first]]]
             if own is not None:
                 left = np.maximum(count - own, 0)
                 gone = (count > 0) & (left == 0)
-                context = keys >> 8
-                group = np.cumsum(np.append(True, context[1:] != context[:-1]))[: len(keys)] - 1
-                less = [np.bincount(group, count - left)] + [np.bincount(group, 1.0 * (np.minimum(count, 3) == k) - (np.minimum(left, 3) == k)) for k in (1, 2, 3)]
-                count, sums = left, np.maximum(sums - np.array(less, np.int64).reshape(4, -1)[:, group], 0)
+                was, now = np.minimum(count, 3), np.minimum(left, 3)
+                less = [count - left] + [(was == k).astype(np.int64) - (now == k) for k in (1, 2, 3)]
+                count, sums = left, np.maximum(sums - np.stack([np.add.reduceat(x, first) for x in less]) if len(first) else sums, 0)
             shorter, up = np.unique((keys >> shift << shift) | (keys & ((1 << 8 * (n - 1)) - 1)), return_inverse=True)
-            steps.append((count, sums, up, self.levels[n].discount))
+            discount, total = self.levels[n].discount, np.maximum(sums[0], 1)
+            times = np.diff(np.append(first, len(keys)))
+            seen, share, rest = (np.repeat(x, times) for x in (sums[0] > 0, 1 / total, discount[1:] @ sums[1:] / total))
+            steps.append((seen, (count - discount[np.minimum(count, 3)]) * share, rest, up))
             keys = shorter
             if own is not None:
                 own = np.bincount(up, gone, minlength=len(keys)).astype(np.int64)  # each different longer n-gram counted once
         p = np.full(len(keys), 1 / 256)
-        for count, sums, up, discount in reversed(steps):
-            total = np.maximum(sums[0], 1)
+        for seen, own_part, rest, up in reversed(steps):
             p = p[up]
-            p = np.where(sums[0] > 0, (count - discount[np.minimum(count, 3)]) / total + discount[1:] @ sums[1:] / total * p, p)
+            p = np.where(seen, own_part + rest * p, p)
         return np.log(p)
 
     def logp(self, codes: np.ndarray) -> np.ndarray:
