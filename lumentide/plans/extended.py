@@ -483,7 +483,7 @@ def pivot_medians(t):
 # ---- functions ----
 
 
-@query(f"WITH p AS (SELECT p_partkey, p_size * 2.0 AS a, p_size - 25.0 AS b, p_retailprice AS c FROM part) SELECT p_partkey, round(CASE WHEN b <> 0 THEN a / b END, 6) AS div, round(CASE WHEN b > 0 THEN a / b END, 6) AS safe, round(4 * pi() * a / (c * c), 6) AS circularity, round(greatest(a, c) / least(a, c), 6) AS box, round(CASE WHEN a > 0 AND b > 0 THEN a / b END, 6) AS ratio, round(CASE WHEN a > 0 AND b > 0 THEN log2(a / b) END, 6) AS log2, round(CASE WHEN b >= 0 THEN ln(1 + b) END, 6) AS log1p, round(CASE WHEN b > 0 THEN ln(b) END, 6) AS log, round(a * 0.25, 6) AS um, round(a * 0.25 * 0.25, 6) AS um2 FROM p", "part")
+@query(f"WITH p AS (SELECT p_partkey, CAST(p_size * 2 AS DOUBLE) AS a, CAST(p_size - 25 AS DOUBLE) AS b, p_retailprice AS c FROM part) SELECT p_partkey, round(CASE WHEN b <> 0 THEN a / b END, 6) AS div, round(CASE WHEN b > 0 THEN a / b END, 6) AS safe, round(4 * pi() * a / (c * c), 6) AS circularity, round(greatest(a, c) / least(a, c), 6) AS box, round(CASE WHEN a > 0 AND b > 0 THEN a / b END, 6) AS ratio, round(CASE WHEN a > 0 AND b > 0 THEN log2(a / b) END, 6) AS log2, round(CASE WHEN b >= 0 THEN ln(1 + b) END, 6) AS log1p, round(CASE WHEN b > 0 THEN ln(b) END, 6) AS log, round(a * 0.25, 6) AS um, round(a * 0.25 * 0.25, 6) AS um2 FROM p", "part")
 def shape_functions(t):
     p = t.select("p_partkey", (F.col("p_size") * 2.0).alias("a"), (F.col("p_size") - 25.0).alias("b"), F.col("p_retailprice").alias("c"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")

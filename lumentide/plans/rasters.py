@@ -51,7 +51,7 @@ def _voxels(t: DataFrame) -> DataFrame:
     return d.select("image_id", "z", "row", "col", label.cast("int").alias("label"), ((row + col + F.col("z")) % 11).cast("double").alias("v"))
 
 
-@query(f"WITH x AS (SELECT * FROM ({_VOX}) WHERE label > 0), s AS (SELECT label, max(n) AS s FROM (SELECT label, z, count(*) AS n FROM x GROUP BY ALL) GROUP BY 1), f AS (SELECT a.label, sum(w) AS surface FROM x a, (VALUES (1, 0, 0, 0.04), (-1, 0, 0, 0.04), (0, 1, 0, 0.1), (0, -1, 0, 0.1), (0, 0, 1, 0.1), (0, 0, -1, 0.1)) m(dz, dr, dc, w) WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.label = a.label AND b.z = a.z + dz AND b.row = a.row + dr AND b.col = a.col + dc) GROUP BY 1), g AS (SELECT label, count(*) AS n, max(z) - min(z) + 1 AS h, covar_samp(z * 0.5, z * 0.5) + covar_samp(row * 0.2, row * 0.2) + covar_samp(col * 0.2, col * 0.2) AS trace FROM x GROUP BY 1) SELECT label, round(n * 0.02, 6) AS volume, round(h * 0.5, 6) AS height, round(s * 0.04, 6) AS max_section, round(n * 0.02 / (s * 0.04), 6) AS thickness, round(surface, 6) AS surface, round(16 * trace, 6) AS trace, round(cbrt(6 * n * 0.02 / pi()), 6) AS sphere_diameter FROM g JOIN s USING (label) JOIN f USING (label)", "region")
+@query(f"WITH x AS (SELECT * FROM ({_VOX}) WHERE label > 0), s AS (SELECT label, max(n) AS s FROM (SELECT label, z, count(*) AS n FROM x GROUP BY ALL) GROUP BY 1), f AS (SELECT a.label, sum(w) AS surface FROM x a, (VALUES (1, 0, 0, 4e-2), (-1, 0, 0, 4e-2), (0, 1, 0, 1e-1), (0, -1, 0, 1e-1), (0, 0, 1, 1e-1), (0, 0, -1, 1e-1)) m(dz, dr, dc, w) WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.label = a.label AND b.z = a.z + dz AND b.row = a.row + dr AND b.col = a.col + dc) GROUP BY 1), g AS (SELECT label, count(*) AS n, max(z) - min(z) + 1 AS h, covar_samp(z * 0.5, z * 0.5) + covar_samp(row * 0.2, row * 0.2) + covar_samp(col * 0.2, col * 0.2) AS trace FROM x GROUP BY 1) SELECT label, round(n * 2e-2, 6) AS volume, round(h * 5e-1, 6) AS height, round(s * 4e-2, 6) AS max_section, round(n * 2e-2 / (s * 4e-2), 6) AS thickness, round(surface, 6) AS surface, round(16 * trace, 6) AS trace, round(cbrt(6 * n * 2e-2 / pi()), 6) AS sphere_diameter FROM g JOIN s USING (label) JOIN f USING (label)", "region")
 def solid_properties(t):
     s = X.solid_properties(_voxels(t), (0.5, 0.2, 0.2))
     trace = F.pow("axis_1", 2) + F.pow("axis_2", 2) + F.pow("axis_3", 2)  # of the covariance, times 16
