@@ -20,6 +20,8 @@ from .common import dropped, mix64, partitions, segment_hashes, session_setup, s
 ORDER = 5
 #: About how many n-grams one shard of the model holds, so that the task which writes it stays small.
 SHARD_GRAMS = 2_000_000
+#: About how many a shard holds at least where there are more partitions than that needs: each shard costs every lookup a step.
+LEAST_GRAMS = 100_000
 #: What a language's spread is widened by, in bits, divided by its number of different texts: the fewer there are, the less
 #: they say of it. A byte has 8 bits.
 WIDEN_BITS = 8.0
@@ -53,6 +55,20 @@ def _whole(offsets: np.ndarray, m: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) == 0
 
 
+def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of some numbers, ascending, and the place of each number among them."""
+    shift = len(keys).bit_length()
+    if not len(keys) or int(keys.max()) >> (63 - shift):  # no room for a place beside a number
+        return np.unique(keys, return_inverse=True)
+    both = np.sort((keys << shift) | np.arange(len(keys)))  # much faster than sorting places by numbers
+    at = both & ((1 << shift) - 1)
+    both >>= shift
+    new = np.append(True, both[1:] != both[:-1])
+    back = np.empty(len(keys), np.int64)
+    back[at] = np.cumsum(new) - 1
+    return both[new], back
+
+
 def text_key(text: str):
     """A text's hash, of 63 bits; null counts as empty."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 63) - 1))
@@ -127,7 +143,7 @@ class Shard:
 
     def parts(self) -> tuple[np.ndarray, ...]:
         """Codes, counts, contexts, and their sums (4 x contexts). Files are mapped, not read."""
-        whole = self.source if isinstance(self.source, np.ndarray) else np.memmap(_local_file(self.source), np.int64, "r")
+        whole = self.source if isinstance(self.source, np.ndarray) else np.asarray(np.memmap(_local_file(self.source), np.int64, "r"))
         r, c = self.rows, self.contexts
         return whole[:r], whole[r : 2 * r], whole[2 * r : 2 * r + c], whole[2 * r + c :].reshape(4, c)
 
@@ -209,27 +225,35 @@ class KneserNey:
         """
         shift = 8 * self.order
         steps: list[tuple] = []
+        codes, back = _different(keys & ((1 << shift) - 1))
         for n in range(self.order, 0, -1):
-            codes, back = np.unique(keys & ((1 << 8 * n) - 1), return_inverse=True)
-            count, place, sums = self.levels[n].find(codes)
-            count = count[back]
+            found, place, sums = self.levels[n].find(codes)
+            count = found[back]
             context = keys >> 8
-            first = np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(keys)])  # a text's keys of one context
+            new = np.append(True, context[1:] != context[:-1])[: len(keys)]
+            first = np.flatnonzero(new)  # a text's keys of one context
             sums = sums[:, place[back[first]]]
-            if own is not None:
+            if own is not None and len(first):
                 left = np.maximum(count - own, 0)
                 gone = (count > 0) & (left == 0)
-                was, now = np.minimum(count, 3), np.minimum(left, 3)
-                less = [count - left] + [(was == k).astype(np.int64) - (now == k) for k in (1, 2, 3)]
-                count, sums = left, np.maximum(sums - np.stack([np.add.reduceat(x, first) for x in less]) if len(first) else sums, 0)
-            shorter, up = np.unique((keys >> shift << shift) | (keys & ((1 << 8 * (n - 1)) - 1)), return_inverse=True)
+                sums[0] -= np.add.reduceat(count - left, first)
+                rare = np.flatnonzero(left < 3)  # the others stand more than twice before and after
+                group = (np.cumsum(new) - 1)[rare]
+                was, now = np.minimum(count[rare], 3), left[rare]
+                for k in (1, 2, 3):
+                    sums[k] -= np.bincount(group[was == k], minlength=len(first)) - np.bincount(group[now == k], minlength=len(first))
+                count, sums = left, np.maximum(sums, 0)
+            shorter, up = _different((keys >> shift << shift) | (keys & ((1 << 8 * (n - 1)) - 1)))
             discount, total = self.levels[n].discount, np.maximum(sums[0], 1)
             times = np.diff(np.append(first, len(keys)))
             seen, share, rest = (np.repeat(x, times) for x in (sums[0] > 0, 1 / total, discount[1:] @ sums[1:] / total))
             steps.append((seen, (count - discount[np.minimum(count, 3)]) * share, rest, up))
-            keys = shorter
             if own is not None:
-                own = np.bincount(up, gone, minlength=len(keys)).astype(np.int64)  # each different longer n-gram counted once
+                own = np.bincount(up[gone], minlength=len(shorter)) if len(keys) else own  # each different longer n-gram counted once
+            codes, to = _different(codes & ((1 << 8 * (n - 1)) - 1))  # the shorter keys' n-grams by those of the longer: far fewer than keys
+            longer = np.empty(len(shorter), np.int64)
+            longer[up] = back
+            keys, back = shorter, to[longer]
         p = np.full(len(keys), 1 / 256)
         for seen, own_part, rest, up in reversed(steps):
             p = p[up]
@@ -275,7 +299,8 @@ def sharded(grams: DataFrame, name: str) -> tuple[list[Shard], list[int]]:
         row = {"first": int(codes[0]) >> 8, "size": len(codes), "contexts": contexts, "file": file, "few": [int((counts == k).sum()) for k in (1, 2, 3, 4)]}
         yield pa.RecordBatch.from_pylist([row])
 
-    parts = max(partitions(spark), 1 + grams.count() // SHARD_GRAMS)
+    rows = grams.count()
+    parts = max(min(partitions(spark), 1 + rows // LEAST_GRAMS), 1 + rows // SHARD_GRAMS)
     ranges = grams.repartitionByRange(parts, F.shiftright("gram", 8)).sortWithinPartitions("gram")
     got = ranges.mapInArrow(write, "first long, size long, contexts long, file string, few array<long>").collect()
     return [Shard(r["first"], r["size"], r["contexts"], f"{folder}/{r['file']}") for r in got], [sum(r["few"][k] for r in got) for k in range(4)]
@@ -383,25 +408,32 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     shared = spark.sparkContext.broadcast(model)  # the names of its shards
     extra = [*dict.fromkeys((key, lang, *also))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kn = shared.value
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            found, scores = [], []
-            for i, j in _portions(offsets):
-                part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                found.append(text_features(part, bounds))
-                scores.append(kn.score(part, bounds) if kn is not None else (np.zeros(j - i), np.zeros(j - i), np.zeros(j - i, np.int64)))
-            found, (total, squares, n) = ([np.concatenate(x) for x in zip(*y, strict=True)] for y in (found, scores))
-            bits = -total / np.maximum(n, 1) / np.log(2)
-            spread = np.maximum(squares / np.maximum(n, 1) / np.log(2) ** 2 - bits**2, 0)  # variance of the bits of single bytes
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), pa.array(bits, mask=n == 0), pa.array(n, pa.int64()), pa.array(spread), *batch.columns[1:]], names=[*FEATURES, "bits", "n_scored", "spread", "text_key", *(f"c{i}" for i in range(len(extra)))])
-
-    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
-    scored = docs.select(F.col(text).alias("t"), text_key(text).alias("k"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(extra))).mapInArrow(run, f"{', '.join(f + ' long' for f in FEATURES)}, bits double, n_scored long, spread double, text_key long, {kinds}")
-    judged = scored  # columns of `also` can be as large as the texts: such rows are scored again, not stored
-    scored = stored(scored.select("bits", "n_scored", "spread", "text_key", f"c{extra.index(lang)}") if also else scored, "quality")
-    judged = judged if also else scored
+    def score(carried: list[str], features: tuple[str, ...]) -> DataFrame:
+        """Scores with the columns carried, and with the counts of words where they are asked for."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kn = shared.value
+            for batch in batches:
+                data, offsets = text_buffer(batch.column(0))
+                found, scores = [], []
+                for i, j in _portions(offsets):
+                    part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                    found.append(text_features(part, bounds) if features else [])
+                    scores.append(kn.score(part, bounds) if kn is not None else (np.zeros(j - i), np.zeros(j - i), np.zeros(j - i, np.int64)))
+                found, (total, squares, n) = ([np.concatenate(x) for x in zip(*y, strict=True)] for y in (found, scores))
+                bits = -total / np.maximum(n, 1) / np.log(2)
+                spread = np.maximum(squares / np.maximum(n, 1) / np.log(2) ** 2 - bits**2, 0)  # variance of the bits of single bytes
+                arrays = [*(pa.array(x, pa.int64()) for x in found), pa.array(bits, mask=n == 0), pa.array(n, pa.int64()), pa.array(spread), *batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*features, "bits", "n_scored", "spread", "text_key", *places])
+
+        places = {f"c{extra.index(c)}": c for c in carried}
+        kinds = "".join(f", {at} {docs.schema[c].dataType.simpleString()}" for at, c in places.items())
+        taken = docs.select(F.col(text).alias("t"), text_key(text).alias("k"), *(F.col(c).alias(at) for at, c in places.items()))
+        return taken.mapInArrow(run, f"{''.join(f + ' long, ' for f in features)}bits double, n_scored long, spread double, text_key long{kinds}")
+
+    # Columns of `also` can be as large as the texts: such rows are scored again, not stored.
+    scored = stored(score([lang], ()) if also else score(extra, FEATURES), "quality")
+    judged = score(extra, FEATURES) if also else scored
     lang_at = F.col(f"c{extra.index(lang)}")
     quartiles = lambda: F.percentile(F.round("bits", 4), F.array(*map(F.lit, (0.25, 0.5, 0.75))))
     # Exact quantiles of rounded values: what an aggregate holds is a count for each different value, which rounding bounds.
