@@ -104,7 +104,19 @@ def op11_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return difference(docs, later_documents(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pages, op3_fingerprints, op4_quality, op5_private, op6_jaccard, op7_packing, op8_language, op9_token_files, op10_pieces, op11_snapshots)}
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pages, op3_fingerprints, op4_quality, op5_private, op6_jaccard, op7_packing, op8_language, op9_token_files, op10_pieces, op11_snapshots, op12_codes, op13_topk)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Whole sets, every pair that shares a shingle, and what is reachable by links.
 _JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -124,5 +136,17 @@ b AS (SELECT *, row_number() OVER (PARTITION BY text, lang, source ORDER BY doc_
 m AS (SELECT coalesce(b.doc_id, a.doc_id) AS key, a.doc_id AS old_key, CASE WHEN a.doc_id IS NULL THEN 'insert' WHEN b.doc_id IS NULL THEN 'delete' ELSE 'rekey' END AS op, '' AS changed, b.text, b.lang, b.source FROM a FULL JOIN b ON a.i = b.i AND a.text IS NOT DISTINCT FROM b.text AND a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source)
 SELECT key, old_key, op, changed, CASE WHEN op <> 'delete' THEN sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) END AS row_sha256
 FROM (SELECT key, old_key, CASE WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed, text, lang, source FROM p UNION ALL SELECT * FROM m)"""
+_KEPT = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+#: Every entry tried for every part, round after round.
+_CODES_SQL = f"""WITH k AS MATERIALIZED (SELECT vec_id, label, embedding, (len(embedding) // 8)::int AS d FROM embeddings WHERE {_KEPT}),
+x AS MATERIALIZED (SELECT vec_id, ((p - 1) // d)::int AS part, ((p - 1) % d)::int AS pos, floor(4096 * e::double)::bigint AS x FROM (SELECT vec_id, d, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS p FROM k)),
+b0 AS MATERIALIZED (SELECT part, entry, pos, x AS b FROM x JOIN (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1)::int AS entry FROM k QUALIFY entry < 16) USING (vec_id)),
+""" + "".join(f"""a{r} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, s * 16 + entry) AS entry, min(s) AS s FROM (SELECT vec_id, part, entry, sum((x - b) * (x - b)) AS s FROM x JOIN b{r} USING (part, pos) GROUP BY ALL) GROUP BY ALL),
+""" + (f"""b{r + 1} AS MATERIALIZED (SELECT o.part, o.entry, o.pos, coalesce(m.b, o.b) AS b FROM b{r} o LEFT JOIN (SELECT part, entry, pos, floor(sum(x)::double / count(*))::bigint AS b FROM a{r} JOIN x USING (vec_id, part) GROUP BY ALL) m USING (part, entry, pos)),
+""" if r < 6 else "") for r in range(7)) + """c AS (SELECT vec_id, string_agg(format('{:02x}', entry), '' ORDER BY part) AS code, sum(s)::bigint AS error FROM a6 GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, (SELECT sha256(string_agg(b::varchar, ',' ORDER BY part, entry, pos)) FROM b6) AS codebooks_sha256 FROM c JOIN k USING (vec_id)"""
+#: Every query against every row.
+_TOP_SQL = f"""WITH k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) AS x FROM embeddings WHERE {_KEPT})
+SELECT query_id, rank::int AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::bigint AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.x, c.x) DESC, c.vec_id) AS rank FROM k q JOIN k c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id) WHERE rank <= 10"""
 #: The others can't be told in SQL whole (checksums, models, tokenizers); tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op6_jaccard": _JACCARD_SQL, "op11_snapshots": _SNAPSHOT_SQL}
+ORACLES: dict[str, str] = {"op6_jaccard": _JACCARD_SQL, "op11_snapshots": _SNAPSHOT_SQL, "op12_codes": _CODES_SQL, "op13_topk": _TOP_SQL}
