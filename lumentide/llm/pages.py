@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from .common import session_setup
 
-#: Elements nested deeper than this stand beside each other, as in browsers.
-MOST_DEPTH = 400
 #: One piece of markup: comment, declaration, or a tag with its attributes (quoted values may hold >); or a cut-off rest.
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
@@ -60,54 +58,85 @@ def _dropped(tag: str, a: dict[str, str], inside: bool) -> bool:
     return "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "") or a.get("role", "") in _BAD_ROLE
 
 
+class _Open:
+    """The elements that are open where the parser stands, the innermost last, with the places of each tag and of barriers."""
+
+    def __init__(self, root: _Node):
+        self.path = [root]
+        self.places: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
+
+    def push(self, node: _Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in _BARRIER:
+            self.barriers.append(len(self.path))
+        self.path.append(node)
+
+    def close(self, place: int) -> None:
+        """Closes the element at a place with all that is open inside it."""
+        while len(self.path) > place:
+            tag = self.path.pop().tag
+            self.places[tag].pop()
+            if tag in _BARRIER:
+                self.barriers.pop()
+
+    def last(self, *tags: str) -> int:
+        """The innermost place of some tags, 0 where none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def first(self, tags: set[str], after: int) -> int:
+        """The outermost place of some tags inside the element at a place, 0 where none is open."""
+        found = []
+        for t in tags:
+            places = self.places.get(t, [])
+            i = bisect_right(places, after)
+            found += places[i : i + 1]
+        return min(found, default=0)
+
+    def reachable(self, tag: str) -> int:
+        """The innermost place of a tag with no barrier inside it, or 0."""
+        at = self.last(tag)
+        return at if at and (tag in _BARRIER or not self.barriers or self.barriers[-1] < at) else 0
+
+
 def parse(page: str) -> _Node:
     """The page's tree, as far as it matters here: dropped elements are left out with all they hold; tags may be missing.
 
     A dropped element is parsed like others, but isn't among its parent's children, so it ends where others would.
+    A tag whose quoted value never ends reaches to its next >; a < that begins no tag is text. What an element needs
+    to know of those around it is looked up, so a page takes time by its length, however deep it is.
     """
-    root = node = _Node("#root", None)
+    root = _Node("#root", None)
     at, n = 0, len(page)
-    article = depth = 0
-    open_tags: Counter[str] = Counter()
-
-    def close_to(up: _Node) -> None:
-        """Closes what is open below `up`."""
-        nonlocal node, article, depth
-        while node is not up:
-            article -= node.tag in ("article", "main")
-            open_tags[node.tag] -= 1
-            depth -= 1
-            node = node.parent
+    here = _Open(root)
 
     def add(text: str) -> None:
         if text:
-            node.children.append(text)
+            here.path[-1].children.append(text)
 
     while at < n:
-        m = _MARKUP.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
+        add(page[at:start])
+        m = _MARKUP.match(page, start)
+        if m is None or m[2] is not None and m[4] != ">":  # a quote left open, or cut off inside a tag: to the next > if there is one
+            m = _LOOSE_TAG.match(page, start)
+            if m is None:
+                add("<")
+                at = start + 1
+                continue
+            if m[4] != ">":
+                break
         at = m.end()
         if m[2] is None:
             continue
         tag, rest = m[2].lower(), m[3]
-        if m[4] != ">":  # cut off inside a tag, or a quote left open: take the tag to the next > if there is one
-            loose = _LOOSE_TAG.match(page, m.start())
-            at, rest = loose.end(), loose[3]
-            if loose[4] != ">":
-                break
         if m[1]:
-            up = node if open_tags[tag] else root
-            while up is not root and up.tag != tag:
-                if up.tag in _BARRIER and tag not in _BARRIER:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                close_to(up.parent)
+            place = here.reachable(tag)
+            if place:
+                here.close(place)
             continue
         if tag == "br":
             add(" ")
@@ -119,39 +148,26 @@ def parse(page: str) -> _Node:
             at = end.end() if end else n
             continue
         a = {k.lower(): html.unescape(x or y or z) for k, x, y, z in _ATTRIBUTE.findall(rest)} if rest and not rest.isspace() else {}
-        if open_tags["head"] and tag != "head":  # a head whose end tag is missing
-            up = node
-            while up.tag != "head":
-                up = up.parent
-            close_to(up.parent)
-        dropped = _dropped(tag, a, article > 0)
+        if tag != "head" and here.last("head"):  # a head whose end tag is missing
+            here.close(here.last("head"))
+        dropped = _dropped(tag, a, here.last("article", "main") > 0)
         if tag in _BLOCK and tag not in _INLINE:  # a block ends an open paragraph, with what is open inside it
-            up = node if open_tags["p"] else root
-            while up is not root and up.tag not in _BARRIER and up.tag != "p":
-                up = up.parent
-            if up.tag == "p":
-                close_to(up.parent)
+            if place := here.reachable("p"):
+                here.close(place)
             if tag in _CLOSES:
                 ended, stop = _CLOSES[tag]
-                up, last = node, None
-                while up is not root and up.tag not in stop:
-                    if up.tag in ended:
-                        last = up
-                    up = up.parent
-                if last is not None:
-                    close_to(last.parent)
-            if tag in _HEADLINE and node.tag in _HEADLINE:
-                close_to(node.parent)
+                if place := here.first(ended, here.last(*stop)):
+                    here.close(place)
+            if tag in _HEADLINE and here.path[-1].tag in _HEADLINE:
+                here.close(len(here.path) - 1)
         if tag == "hr":
             continue
+        node = here.path[-1]
         child = _Node(tag, node, f"{a.get('class', '')} {a.get('id', '')}".strip(), a.get("role") in ("main", "article") or a.get("itemprop") == "articleBody")
         if not dropped:
             node.children.append(child)
-        if dropped and not rest.endswith("/") or not dropped and not (rest.endswith("/") and tag not in _BLOCK) and depth < MOST_DEPTH:
-            node = child
-            depth += 1
-            open_tags[tag] += 1
-            article += tag in ("article", "main")
+        if not rest.endswith("/") or not dropped and tag in _BLOCK:
+            here.push(child)
     return root
 
 
@@ -160,22 +176,23 @@ def blocks(node: _Node) -> list[tuple[_Node, str, int]]:
     out: list[tuple[_Node, str, int]] = []
     held: list[str] = []
     links = 0
-    owner = node
+    owners = [node]
 
     def flush() -> None:
         nonlocal links
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip(" ")
         if text:
-            out.append((owner, text, links))
+            out.append((owners[-1], text, links))
         held.clear()
         links = 0
 
     stack: list[tuple[_Node, int, int]] = [(node, 0, 0)]
     while stack:
         at, i, in_link = stack.pop()
-        if i == 0 and at.tag in _BLOCK and at is not node:
+        block = at.tag in _BLOCK and at is not node
+        if i == 0 and block:
             flush()
-            owner = at
+            owners.append(at)
         children = at.children
         while i < len(children):
             c = children[i]
@@ -189,16 +206,21 @@ def blocks(node: _Node) -> list[tuple[_Node, str, int]]:
                 stack.append((c, 0, in_link or c.tag == "a"))
                 break
         else:
-            if at.tag in _BLOCK and at is not node:
+            if block:
                 flush()
-                up = at.parent
-                while up is not node and up is not None and up.tag not in _BLOCK:
-                    up = up.parent
-                owner = up or node
+                owners.pop()
     flush()
     return out
 
 
+def _elements(root: _Node) -> list[_Node]:
+    """All elements, outer ones before those inside them."""
+    out = [root]
+    for x in out:
+        out.extend(c for c in x.children if not isinstance(c, str))
+    return out
+
+
 def _weight(node: _Node) -> float:
     base = {"article": 30, "main": 20, "div": 5, "section": 5, "td": 3, "blockquote": 3, "pre": 3, "ul": -3, "ol": -3, "li": -3, "th": -5, "header": -5}.get(node.tag, 0)
     if node.names:
@@ -264,24 +286,28 @@ def main_text(page: str) -> str:
     score: dict[_Node, float] = {}
     size: dict[_Node, int] = {}
     linked: dict[_Node, int] = {}
+    elements = _elements(root)
+    around: dict[_Node, _Node | None] = {root: None}  # the block around each element
+    for x in elements[1:]:
+        around[x] = x.parent if x.parent.tag in _BLOCK or x.parent is root else around[x.parent]
     for owner, text, in_links in found:
         points = _points(text)
-        up = owner.parent if owner.parent is not None and owner.tag in _LEAF else owner
-        level = 0
-        while up is not None and level < 3:
-            if up.tag in _BLOCK or up.tag == "#root":
-                if up not in score:
-                    score[up] = _weight(up)
-                score[up] += points / (1, 2, 3)[level]
-                level += 1
-            up = up.parent
-        up = owner
-        while up is not None:
-            size[up] = size.get(up, 0) + len(text)
-            linked[up] = linked.get(up, 0) + in_links
-            up = up.parent
+        up = around[owner] if owner.parent is not None and owner.tag in _LEAF else owner
+        for level in (1, 2, 3):
+            if up is None:
+                break
+            if up not in score:
+                score[up] = _weight(up)
+            score[up] += points / level
+            up = around[up]
+        size[owner] = size.get(owner, 0) + len(text)
+        linked[owner] = linked.get(owner, 0) + in_links
     if not score:
         return ""
+    for x in reversed(elements):  # inner ones first
+        if x in size and x.parent is not None:
+            size[x.parent] = size.get(x.parent, 0) + size[x]
+            linked[x.parent] = linked.get(x.parent, 0) + linked[x]
     density = lambda x: min(1.0, linked[x] / max(1, size[x]))
     final = {x: s * (1 - density(x)) for x, s in score.items()}
     best = max(final, key=lambda x: (final[x], size[x]))
@@ -326,10 +352,11 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, key: str = "page_id", markup: str = "html", also: tuple[str, ...] = ("url",)) -> DataFrame:
     """The main text of every page: key, the columns of `also`, text (empty if none) and n_chars.
 
-    Null html is empty. An empty table gives no rows; rows that share a key are each handled.
+    Null html is empty. An empty table gives no rows; rows that share a key are each handled. A column of `also` that is
+    named as key, text or n_chars is replaced by the result's.
     """
     session_setup(pages.sparkSession)
-    extra = [key, *also]
+    extra = [key, *dict.fromkeys(c for c in also if c not in (key, "text", "n_chars"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
