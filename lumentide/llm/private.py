@@ -78,10 +78,12 @@ _GENERATORS = [
     (2, re.compile(r"(?<![\w])[0-9]{13,19}(?![\w])")),
     (3, re.compile(r"(?<![\w.+-])(?:\([0-9]{2,5}\)[ ]?|[0-9]{2,5}[ ./-])[0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,4}(?![\w.-]*[0-9])")),
     (3, re.compile(r"(?<![\w.+-])00[1-9][0-9]{0,2}[ ./-]?[0-9]{2,4}(?:[ ./-]?[0-9]{2,4}){1,4}(?![\w])")),
+    (3, re.compile(r"(?<![\w.+-])(?:\([0-9]{2,5}\)[ ]?|[0-9]{2,5}[ ./-])[0-9]{4,9}(?![\w.-]*[0-9])")),
+    (3, re.compile(r"(?<![\w.+-])[0-9]{7,12}(?![\w.-]*[0-9])")),
 ]
 #: Digits of a phone number at most.
 MOST_PHONE = 15
-_RUN = re.compile(r"[0-9(][0-9 ()./_-]*[0-9]")
+_RUN = re.compile(r"[0-9 ()./_-]+")
 _GROUPS = re.compile(r"[0-9]+")
 _NUMERIC = [(kind, pattern) for kind, pattern in _GENERATORS if kind > 1]
 
@@ -95,35 +97,41 @@ def _parts_of_runs(text: str) -> Iterator[Span]:
         groups = [g.span() for g in _GROUPS.finditer(text, *run.span())]
         for i, (start, _) in enumerate(groups) if len(groups) > 1 else ():
             digits = 0
-            for a, end in groups[i:]:
+            for a, end in groups[i : i + 19]:
                 digits += end - a
-                if digits > 19:
+                if digits > 19 or end - a < 2:  # no generator takes a single digit
                     break
                 after = text[end : end + 2]
-                if digits < 8 or after[:1].isalnum() or after[:1] == "_" or (after[:1] in (".", "-", "/") and after[1:].isdigit()):
+                if digits < 7 or after[:1].isalnum() or after[:1] == "_" or (after[:1] in (".", "-", "/") and after[1:].isdigit()):
                     continue
                 for s in (start - 1, start) if text[start - 1 : start] == "(" else (start,):
                     for kind, pattern in _NUMERIC:
-                        if (kind < 3 or digits <= MOST_PHONE) and pattern.fullmatch(text, s, end):
+                        if (digits <= MOST_PHONE if kind == 3 else digits >= 13) and pattern.fullmatch(text, s, end):
                             yield s, kind, end
 
 
 _OPEN = re.compile(r"[0-9@:]|[\[({<] ?(?:at|AT) ?[\])}>]")
-_CUES = [re.compile(p, re.I) for p in (r"e-?mail|mail|contact|write to|@", r"\bip\b|host|server|address|ping|addr", r"card|visa|master|amex|credit|debit|\bcc\b", r"phone|tel\b|tel\.|call|fax|mobile|cell|whatsapp|sms", r"order|isbn|issn|ref|invoice|serial|\bid\b|no\.|number|version|\bv\b|build|token|hash|sha|uuid|doi|page|pp\.|date|code|sku", r"[$€£]|price|total|usd|eur")]
+_CUES = [re.compile(p, re.I) for p in (r"e-?mail|mail|contact|write to|@", r"\bip\b|host|server|address|ping|addr", r"card|visa|master|amex|credit|debit|\bcc\b", r"phone|tel\b|tel\.|call|fax|mobile|cell|whatsapp|sms|my number|reach", r"order|isbn|issn|ref|invoice|serial|\bid\b|no\.|account|version|\bv\b|build|token|hash|sha|uuid|doi|page|pp\.|date|code|sku", r"[$€£]|price|total|usd|eur")]
 _GROUP = re.compile(r"[0-9A-Za-z]+")
 N_FEATURES = 4 + 15 + len(_CUES)
 
 
-def features(text: str, start: int, end: int, kind: int) -> list[float]:
+def cues(text: str, start: int) -> list[float]:
+    """What stands before a candidate."""
+    before = text[max(0, start - 40) : start]
+    return [float(bool(c.search(before))) for c in _CUES]
+
+
+def features(text: str, start: int, end: int, kind: int, cued: list[float] | None = None) -> list[float]:
     """Format of a candidate and what stands around it."""
     s = text[start:end]
     digits = _NOT_DIGIT.sub("", s)
     groups = _GROUP.findall(s)
-    before, after = text[max(0, start - 40) : start], text[end : end + 12]
+    before, after = text[max(0, start - 1) : start], text[end : end + 1]
     last = len(groups[-1]) if groups else 0
     out = [float(kind == k) for k in range(4)]
     out += [end - start, len(digits), len(digits) / max(1, end - start), len(groups), sum(not c.isalnum() for c in s), float(bool(digits) and luhn(digits)), max(map(len, groups), default=0), min(map(len, groups), default=0), float(last), float(s[:1] == "("), float(s[:2] == "00"), s.count(":"), float(before[-1:].isalnum()), float(after[:1].isalnum()), float(len(set(map(len, groups))) == 1)]
-    return out + [float(bool(c.search(before))) for c in _CUES]
+    return out + (cues(text, start) if cued is None else cued)
 
 
 @dataclass
@@ -207,6 +215,10 @@ def made_examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         (3, lambda: f"{r.randint(200, 989)}{(s := r.choice('-. '))}{num(3)}{s}{num(4)}"),
         (3, lambda: f"00{r.randint(1, 99)} {num(3)} {num(3)} {num(4)}"),
         (3, lambda: " ".join(["0" + str(r.randint(1, 9)), *(num(2) for _ in range(4))])),
+        (3, lambda: f"0{num(r.randint(1, 4))}{r.choice(' -/')}{num(r.randint(5, 8))}"),
+        (3, lambda: f"({num(3)}) {num(r.randint(6, 7))}"),
+        (3, lambda: f"0{num(r.randint(8, 10))}"),
+        (3, lambda: f"{num(3)}{r.choice('-. ')}{num(4)}"),
     ]
     no = [
         (0, lambda: f"{word()}@{word()}"),
@@ -224,15 +236,21 @@ def made_examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         (3, lambda: " ".join(num(r.randint(2, 4)) for _ in range(r.randint(3, 5)))),
         (3, lambda: f"{r.randint(10, 999)}.{num(3)}.{num(3)}"),
     ]
+    bare = [  # what only its context tells from a number to call
+        (3, lambda: num(r.randint(7, 12))),
+        (3, lambda: f"{num(r.randint(2, 5))}{r.choice(' -/.')}{num(r.randint(4, 9))}"),
+        (3, lambda: f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}"),
+    ]
     own = ["email: ", "ip address ", "card number: ", "phone: "]
-    calls = {3: ["tel. ", "call ", "phone ", "fax: ", "mobile "], 2: ["visa ", "card ", "credit card "], 1: ["server ", "ip ", "host "], 0: ["mail ", "contact ", "write to "]}
+    calls = {3: ["tel. ", "call ", "phone ", "fax: ", "mobile ", "call me at ", "cell: ", "my phone number is ", "reach us by telephone on "], 2: ["visa ", "card ", "credit card "], 1: ["server ", "ip ", "host "], 0: ["mail ", "contact ", "write to "]}
     other = ["order no. ", "isbn ", "ref ", "version ", "serial ", "total $", "page ", "date ", "token = ", "id "]
     xs, ks, ys = [], [], []
     while len(ys) < n:
         good = r.random() < 0.5
-        kind, make = r.choice(yes if good else no)
+        plain = not good and r.random() < 0.2
+        kind, make = r.choice(yes if good else bare if plain else no)
         value = make()
-        if not good and r.random() < 0.15:  # a span too wide: true data and a number beside it
+        if not good and not plain and r.random() < 0.15:  # a span too wide: true data and a number beside it
             kind, make = r.choice([x for x in yes if x[0] > 1])
             beside = r.choice([str(r.randint(1900, 2030)), num(r.randint(2, 4)), make()])
             value = " ".join(r.sample([make(), beside], 2))
@@ -240,7 +258,7 @@ def made_examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
         if good:
             lead = r.choice([own[kind], *calls[kind]]) if draw < 0.6 else word() + " "
         else:
-            lead = r.choice(other) if draw < 0.5 else (word() + " " if draw < 0.95 else r.choice(calls[kind]))
+            lead = r.choice(other) if draw < 0.5 else (word() + " " if draw < 0.95 or plain else r.choice(calls[kind]))
         before = " ".join(word() for _ in range(r.randint(0, 8))) + " " + lead
         text = before + value + r.choice([" ", ".", ",", ") ", ""]) + " ".join(word() for _ in range(r.randint(0, 5)))
         xs.append(features(text, len(before), len(before) + len(value), kind))
@@ -286,30 +304,60 @@ def fit_judge(examples: int = 6000, precision: float = 0.995, seed: int = 5) ->
     return judge
 
 
+#: Candidates that are judged at a time.
+_PORTION = 1 << 14
+
+
+def _candidates(text: str) -> Iterator[Span]:
+    """All that the generators propose; digits that fail Luhn's sum, or are too few or many for a card, are no card."""
+    whole = ((m.start(), kind, m.end()) for kind, pattern in _GENERATORS for m in pattern.finditer(text))
+    for s, kind, e in (x for part in (whole, _parts_of_runs(text)) for x in part):
+        if kind > 1:
+            digits = _NOT_DIGIT.sub("", text[s:e])
+            if len(digits) > MOST_PHONE if kind == 3 else not 13 <= len(digits) <= 19 or not luhn(digits):
+                continue
+        yield s, kind, e
+
+
 def found_spans(texts: list[str], judge: Judge) -> list[tuple[list[Span], list[Span]]]:
-    """Base spans and all spans of each text. Added spans overlap neither base ones nor each other; the surest wins."""
+    """Base spans and all spans of each text. Added spans overlap neither base ones nor each other; the surest wins.
+
+    Candidates are judged some at a time, and those under their threshold forgotten, so memory goes by what is found.
+    """
     bases = [base_spans(t) if t else [] for t in texts]
-    rows, where = [], []
     masks: dict[int, bytearray] = {}  # characters that a span holds
+    sure: list[tuple[float, int, int, int, int]] = []
+    rows: list[list[float]] = []
+    where: list[tuple[int, int, int, int]] = []
+
+    def decide() -> None:
+        if rows:
+            p = judge.probability(np.array(rows))
+            for j in np.flatnonzero(p >= np.array(judge.thresholds)[[w[2] for w in where]]):
+                sure.append((-float(p[j]), *where[j]))
+            rows.clear()
+            where.clear()
+
     for i, (t, base) in enumerate(zip(texts, bases, strict=True)):
         if not t or not _OPEN.search(t):
             continue
         taken = masks[i] = bytearray(len(t))
         for s, _, e in base:
             taken[s:e] = b"\1" * (e - s)
-        whole = ((m.start(), kind, m.end()) for kind, pattern in _GENERATORS for m in pattern.finditer(t) if kind < 3 or len(_NOT_DIGIT.sub("", m[0])) <= MOST_PHONE)
-        for s, kind, e in dict.fromkeys([*whole, *_parts_of_runs(t)]):
+        last, cued = -1, None
+        for s, kind, e in _candidates(t):
             if taken.find(1, s, e) < 0:
-                rows.append(features(t, s, e, kind))
+                last, cued = s, cued if s == last else cues(t, s)
+                rows.append(features(t, s, e, kind, cued))
                 where.append((i, s, kind, e))
+                if len(rows) == _PORTION:
+                    decide()
+    decide()
     out = [(b, list(b)) for b in bases]
-    if rows:
-        p = judge.probability(np.array(rows))
-        for j in np.lexsort(([w[1] for w in where], -p)):
-            i, s, kind, e = where[j]
-            if p[j] >= judge.thresholds[kind] and masks[i].find(1, s, e) < 0:
-                masks[i][s:e] = b"\1" * (e - s)
-                out[i][1].append((s, kind, e))
+    for _, i, s, kind, e in sorted(sure, key=lambda x: (x[0], x[2])):
+        if masks[i].find(1, s, e) < 0:
+            masks[i][s:e] = b"\1" * (e - s)
+            out[i][1].append((s, kind, e))
     return [(b, sorted(a)) for b, a in out]
 
 
