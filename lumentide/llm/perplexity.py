@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, mix64, partitions, segment_hashes, session_setup, shared_dir, stored, text_buffer, word_bounds
+from .copies import near_copies, text_key
 
 #: How many UTF-8 bytes an n-gram has, at every size of input.
 ORDER = 5
@@ -69,15 +70,10 @@ def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[new], back
 
 
-def text_key(text: str):
-    """A text's hash, of 63 bits; null counts as empty."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 63) - 1))
-
-
 def count_grams(docs: DataFrame, order: int, text: str = "text", copies: "Level | None" = None) -> DataFrame:
     """How often each n-gram stands in the different texts: (gram, n). Tasks count what they read, Spark adds up.
 
-    A text that `copies` has m times counts as 1/m each time, so that all its copies count once.
+    A text for which `copies` has m counts as 1/m each time, so that all its copies and near copies count as one text.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +264,7 @@ class KneserNey:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: the sum of log probabilities by a model of the other texts, that of their squares, and how many bytes they are of (those with a full context).
 
-        The texts must be among those that the model was counted over.
+        The texts must be among those that the model was counted over, and what their families count as is what each has itself.
         """
         rows = len(offsets) - 1
         codes = gram_codes(data, self.order).view(np.int64)
@@ -306,13 +302,12 @@ def sharded(grams: DataFrame, name: str) -> tuple[list[Shard], list[int]]:
     return [Shard(r["first"], r["size"], r["contexts"], f"{folder}/{r['file']}") for r in got], [sum(r["few"][k] for r in got) for k in range(4)]
 
 
-def fit_model(docs: DataFrame, text: str = "text", order: int = ORDER) -> KneserNey | None:
-    """Counts the different texts' n-grams in Spark and writes the model to the shared folder; None where there are none."""
+def fit_model(docs: DataFrame, text: str = "text", order: int = ORDER, families: DataFrame | None = None) -> KneserNey | None:
+    """Counts the n-grams of families of near copies in Spark and writes the model to the shared folder; None where there are none."""
     session_setup(docs.sparkSession)
     levels = {}
-    again = stored(docs.select(text_key(text).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "copies")
-    shards, few = sharded(again, "copies")
-    dropped(again)
+    families = near_copies(docs, text) if families is None else families
+    shards, few = sharded(families.select(F.col("text_key").alias("gram"), (F.col("rows") * F.col("texts")).alias("n")), "copies")
     grams = stored(count_grams(docs, order, text, Level(shards, few) if shards else None), "grams")
     for n in range(order, 0, -1):
         shards, few = sharded(grams, f"grams{n}")
@@ -387,9 +382,9 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", reach: tuple[float, float] = (REACH_DOWN, REACH_UP), also: tuple[str, ...] = ()) -> DataFrame:
     """Scores every whole text and decides which documents stay.
 
-    A byte n-gram model with modified Kneser-Ney smoothing is counted over all different texts, each once however many
-    copies it has. A document's bits a byte are those of its bytes with a full context, by the counts of the other
-    texts alone. Quartiles, too, take each different text of a language once. Each language's band reaches `reach` interquartile ranges below the lower
+    A byte n-gram model with modified Kneser-Ney smoothing is counted over all texts, each family of near copies
+    (copies.near_copies) as one text however large it is. A document's bits a byte are those of its bytes with a full context, by the
+    counts less its own, which stand for its family's. Quartiles, too, take each family once in a language, by its mean. Each language's band reaches `reach` interquartile ranges below the lower
     and above the upper quartile of its texts; the fewer texts a language has, the
     wider its band, and it is never that of other languages.
     For texts shorter than the language's median one the band is wider by REACH_ERRORS standard errors of a mean of so
@@ -404,7 +399,8 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     spark = docs.sparkSession
     session_setup(spark)
     also = tuple(c for c in also if c not in (*FEATURES, "base_failed", "bits", "low", "high", "kept"))
-    model = fit_model(docs, text)
+    families = near_copies(docs, text)
+    model = fit_model(docs, text, families=families)
     shared = spark.sparkContext.broadcast(model)  # the names of its shards
     extra = [*dict.fromkeys((key, lang, *also))]
 
@@ -438,6 +434,8 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     quartiles = lambda: F.percentile(F.round("bits", 4), F.array(*map(F.lit, (0.25, 0.5, 0.75))))
     # Exact quantiles of rounded values: what an aggregate holds is a count for each different value, which rounding bounds.
     different = scored.where("bits is not null").groupBy(lang_at.alias("l"), "text_key").agg(*(F.min(c).alias(c) for c in ("bits", "n_scored", "spread")))
+    related = families.where("texts > 1").select("text_key", "family")
+    different = different.join(related, "text_key", "left").groupBy("l", F.coalesce("family", "text_key").alias("family")).agg(*(F.mean(c).alias(c) for c in ("bits", "n_scored", "spread")))
     bands = different.groupBy("l").agg(F.count("bits").alias("n"), quartiles().alias("q"), F.percentile("n_scored", 0.5).alias("mid_n_scored"), F.percentile(F.round("spread", 4), 0.5).alias("mid_spread"))
     q = F.col("q")
     # A band is no narrower than a twentieth of a bit: where all documents are alike, none is out of the way.
