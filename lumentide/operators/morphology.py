@@ -1,4 +1,4 @@
-"""Whole-image operations that need an image in one place: one image to a task, in numpy."""
+"""Operations on an image in one place, in numpy: what tiles do inside, textures, own segmentation models (an image to a task)."""
 
 from __future__ import annotations
 
@@ -50,7 +50,7 @@ def components(mask: np.ndarray) -> np.ndarray:
             runs.append((a, b, i))
         before = runs
     flat = np.array([root(i) for i in range(len(parent))])
-    return np.unique(flat[out], return_inverse=True)[1].reshape(mask.shape) if mask.any() else out
+    return np.unique(flat, return_inverse=True)[1][out]  # 0 is among them, whether or not the image has a pixel of it
 
 
 def distance(mask: np.ndarray) -> np.ndarray:
@@ -101,35 +101,6 @@ def _grid(frame: pd.DataFrame, value: str) -> tuple[np.ndarray, int, int]:
     return out, r0, c0
 
 
-def colony_support(px: DataFrame, **sizes: int) -> DataFrame:
-    """Adds inside: whether a pixel lies in its image's colony region. An image is in one task; images are alike in size."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        grid, r0, c0 = _grid(frame, "label")
-        region = colony(grid > 0, **sizes)
-        return frame.assign(inside=region[frame["row"] - r0, frame["col"] - c0])
-
-    return px.groupBy("image_id").applyInPandas(run, ", ".join(f"{n} {t}" for n, t in px.dtypes) + ", inside boolean")
-
-
-def edge_distances(px: DataFrame, um: float, diameter: float = 12.0, dilate: int = 8, close: int = 12, holes: int = 20000, least: int = 15000) -> DataFrame:
-    """Each label's median and least distance to the colony's edge in micrometres, and its status: edge band (within 2.4 diameters or
-    16 um), inner (beyond 2.8 diameters or 18 um), between, or outside."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        grid, r0, c0 = _grid(frame, "label")
-        region = colony(grid > 0, dilate, close, holes, least)
-        d = distance(np.pad(region, 1))[1:-1, 1:-1] * um
-        own = frame[frame["label"] > 0]
-        g = pd.DataFrame({"label": own["label"], "d": d[own["row"] - r0, own["col"] - c0]}).groupby("label")["d"]
-        out = pd.DataFrame({"edge_median": g.median(), "edge_least": g.min()}).reset_index()
-        band, inner = max(16.0, 2.4 * diameter), max(18.0, 2.8 * diameter)
-        out["status"] = np.select([out["edge_median"] <= 0, out["edge_median"] <= band, out["edge_median"] >= inner], ["outside", "edge_band", "inner"], "between")
-        return out.assign(image_id=frame["image_id"].iloc[0])
-
-    return px.groupBy("image_id").applyInPandas(run, "image_id string, label int, edge_median double, edge_least double, status string").select("image_id", "label", "edge_median", "edge_least", "status")
-
-
 def texture(px: DataFrame, bins: int = 18, share: float = 0.5) -> DataFrame:
     """Of each image: tissue share (above the median of what has signal), entropy of gradient orientations (bits, weighted by size), and
     structure-tensor coherence."""

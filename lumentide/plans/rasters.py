@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumentide.operators import raster as X
+from lumentide.operators import tiles as T
 from lumentide.plans.catalogue import query
 
 #: Pixels of a block's side, and blocks beside each other.
@@ -129,3 +130,27 @@ def phenotype_mask(t):
 
 
 
+
+
+@query(f"WITH RECURSIVE p AS ({_IMG}), m AS MATERIALIZED (SELECT row, col FROM p WHERE label > 0), r AS (SELECT row, col, CAST(row AS BIGINT) * 2147483648 + col AS id FROM m UNION SELECT m.row, m.col, r.id FROM r, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) s(a, b) JOIN m ON m.row = r.row + a AND m.col = r.col + b) SELECT row, col, min(id) AS component FROM r GROUP BY ALL", "supplier")
+def tiled_components(t):
+    return T.tiled_components(_image(t).where("label > 0"), tile=24).select("row", "col", "component")
+
+
+@query(f"WITH p AS ({_IMG}), m AS MATERIALIZED (SELECT row, col FROM p WHERE label > 0) SELECT m.row, m.col, CAST(min(a * a + b * b) AS BIGINT) AS square FROM m, range(-7, 8) x(a), range(-7, 8) y(b) WHERE NOT EXISTS (SELECT 1 FROM m n WHERE n.row = m.row + a AND n.col = m.col + b) GROUP BY ALL", "supplier")
+def distance_map(t):
+    return T.distances(_image(t).where("label > 0"), stripe=8).select("row", "col", "square")
+
+
+#: Sizes for discs in blocks of 16 pixels: neighbours of the larger ones grow together, over tiles.
+_COLONY = {"dilate": 2, "close": 3, "holes": 40, "least": 100, "tile": 24}
+
+
+@query(None, "supplier")
+def colony_support(t):
+    return T.colony_support(_image(t), **_COLONY).select("row", "col", "label", "inside")
+
+
+@query(None, "supplier")
+def edge_distances(t):
+    return T.edge_distances(_image(t), 0.5, **_COLONY).drop("image_id")

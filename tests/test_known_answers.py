@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumentide.functions import measures as M
 from lumentide.models import learners, mixtures, prepare, thresholds
 from lumentide.operators import compare as C
-from lumentide.operators import metrics, morphology, pairing, quantiles, raster, schema, spatial, summaries
+from lumentide.operators import metrics, morphology, pairing, quantiles, raster, schema, spatial, summaries, tiles
 from lumentide.operators import quality as Q
 from lumentide.operators import text as T
 from lumentide.sources import images, inventory, tables
@@ -115,9 +115,9 @@ def test_colony_and_edges(spark):
     label = np.zeros((60, 60), int)
     label[20:40, 20:40] = np.arange(400).reshape(20, 20) % 2 + 1
     px = pixels(spark, label)
-    inside = morphology.colony_support(px, dilate=2, close=2, holes=50, least=100).where("inside")
+    inside = tiles.colony_support(px, dilate=2, close=2, holes=50, least=100).where("inside")
     assert inside.where("label > 0").count() == 400 and inside.count() > 400
-    e = morphology.edge_distances(px, 1.0, 2.0, 2, 2, 50, 100).collect()
+    e = tiles.edge_distances(px, 1.0, 2.0, 2, 2, 50, 100).collect()
     assert {r.label for r in e} == {1, 2} and all(r.edge_least > 0 and r.status == "edge_band" for r in e)
     assert morphology.texture(pixels(spark, label, np.indices((60, 60))[1])).first().coherence > 0.99
 
