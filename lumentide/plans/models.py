@@ -74,6 +74,36 @@ def gbt(labels, docs):
     return scored(d, boosted_trees(d, ["chars", "marks"], "quality", 5, 3), ["chars", "marks"]).select("doc_id", "probability")
 
 
+def _quality_features(labels, docs):
+    """Features of labelled documents; texts under 200 characters have no count of words, which is then missing."""
+    marks, words = F.length(F.regexp_replace("text", "[^,.;]", "")), F.size(F.split("text", r"\s+"))
+    d = labels.join(docs, "doc_id").where(F.col("quality").isNotNull())
+    return d.select("doc_id", "quality", F.col("n_chars").cast("double").alias("chars"), marks.cast("double").alias("marks"), F.when(F.length("text") >= 200, words.cast("double")).alias("words"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held"))
+
+
+def _quality_trees(d):
+    from lumentide.models.boosting import fit
+
+    return fit(d, ["chars", "marks", "words"], "quality", rounds=5, depth=3, held="held")
+
+
+@query(None, "labels", "documents")
+def tree_importances(labels, docs):
+    from lumentide.models.boosting import importances
+
+    d = _quality_features(labels, docs)
+    return importances(d.sparkSession, _quality_trees(d))
+
+
+@query(None, "labels", "documents")
+def tree_attributions(labels, docs):
+    from lumentide.models.boosting import attributions, scored
+
+    d = _quality_features(labels, docs)
+    model = _quality_trees(d)
+    return attributions(d, model, ["doc_id"]).join(scored(d, model, ["doc_id"]), "doc_id")
+
+
 @query(None, "region")
 def sobol(t):
     from lumentide.models.learners import sobol as run
