@@ -1,11 +1,10 @@
-"""Cluster centres, boosted trees, importances and sensitivity, over pyspark.ml and plain expressions."""
+"""Cluster centres, boosted trees and importances, over pyspark.ml and plain expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -68,22 +67,6 @@ def attribution_summary(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select(*features).unpivot([], features, "feature", "value").groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_abs"), F.avg("value").alias("mean"), F.stddev_pop(F.abs("value")).alias("std_abs"))
 
 
-def sobol(spark: SparkSession, bounds: dict[str, tuple[float, float]], score: Callable[[dict[str, Column]], Column], n: int = 1024, seed: int = 42) -> DataFrame:
-    """First-order and total sensitivity of a score to each of its inputs, by paired samples made of hashes.
-
-    Of two samples A and B, the score is taken at A, B, and at A with one input from B; indices come from one aggregate.
-    """
-    names = list(bounds)
-    unit = lambda tag: (F.pmod(F.xxhash64("id", F.lit(tag), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    width = lambda f, u: bounds[f][0] + (bounds[f][1] - bounds[f][0]) * u
-    d = spark.range(n).select("id", *(width(f, unit(f"a{f}")).alias(f"a_{f}") for f in names), *(width(f, unit(f"b{f}")).alias(f"b_{f}") for f in names))
-    at = lambda side, swap=None: score({f: F.col(f"{'b' if f == swap else side}_{f}") for f in names})
-    d = d.select(at("a").alias("fa"), at("b").alias("fb"), *(at("a", f).alias(f"f_{f}") for f in names))
-    both = F.nullif((F.var_pop("fa") + F.var_pop("fb")) / 2, F.lit(0.0))
-    row = d.agg(*(e for f in names for e in ((F.avg(F.col("fb") * (F.col(f"f_{f}") - F.col("fa"))) / both).alias(f"s_{f}"), (F.avg(F.pow(F.col("fa") - F.col(f"f_{f}"), 2)) / 2 / both).alias(f"t_{f}"))))
-    return row.select(F.explode(F.array(*(F.struct(F.lit(f).alias("input"), F.col(f"s_{f}").alias("first"), F.col(f"t_{f}").alias("total")) for f in names))).alias("x")).select("x.*")
-
-
 @dataclass
 class Inference:
     """How a trained model is applied: inputs, where labels come from, and batch-wise or plain scaling as parameters."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,15 +110,47 @@ def equal_count_trend(df: DataFrame, by: str, x: str, y: str, bins: int = 8) ->
     return d.groupBy(by, "bin").agg(F.count("*").alias("n"), F.median(x).alias("x"), F.median(F.log2(y)).alias("y"))
 
 
+#: Differences up to which the distribution of a rank sum is counted; above, its normal form is used.
+EXACT_RANKS = 50
+
+
+def rank_sum_p(ranks: list[float], counts: list[int], w: float) -> float:
+    """The two-sided probability of a signed rank sum at least as far out as w, by counting all signs; counts: ranks of each value."""
+    doubled = [round(2 * r) for r, n in zip(ranks, counts, strict=True) for _ in range(int(n))]
+    ways = np.zeros(sum(doubled) + 1)
+    ways[0] = 1.0
+    for r in doubled:
+        ways[r:] = ways[r:] + ways[: len(ways) - r]
+    share = np.cumsum(ways) / ways.sum()
+    at = round(2 * w)
+    return float(min(1.0, 2 * min(share[at], 1 - (share[at - 1] if at else 0.0))))
+
+
 def signed_rank(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Wilcoxon's rank sums of the positive and negative differences, zeros left out, ties averaged, and the normal deviate."""
-    d = df.where(F.col(value) != 0).withColumn("_a", F.abs(F.col(value)))
-    d = d.withColumn("_r", average_rank("_a", by))
-    ties = d.groupBy(by, "_a").agg(F.count("*").cast("double").alias("_t")).groupBy(by).agg(F.sum(F.pow("_t", 3) - F.col("_t")).alias("_ties"))
-    s = d.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(value) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(value) < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"))
+    """Wilcoxon's rank sums of the positive and negative differences, zeros and nulls left out, ties averaged, the normal deviate z, and the two-sided p.
+
+    p counts all signs of the ranks, ties included, where a group has EXACT_RANKS differences at most; above, it is the normal
+    form's. Ranks come from counts of each different size, which is all that a window over a group holds. z and p are null
+    where there is no spread.
+    """
+    sizes = df.where(F.col(value) != 0).groupBy(by, F.abs(F.col(value)).alias("_a")).agg(F.count("*").alias("_t"), F.count_if(F.col(value) > 0).alias("_p"))
+    sizes = sizes.withColumn("_r", F.sum("_t").over(Window.partitionBy(by).orderBy("_a")) - (F.col("_t") - 1) / 2)
+    s = sizes.groupBy(by).agg(
+        F.sum("_t").alias("n"), F.sum(F.col("_r") * F.col("_p")).alias("w_plus"), F.sum(F.col("_r") * (F.col("_t") - F.col("_p"))).alias("w_minus"), F.sum(F.pow(F.col("_t").cast("double"), 3) - F.col("_t")).alias("_ties"),
+    )
+    small = sizes.join(s.where(F.col("n") <= EXACT_RANKS).select(by), by, "left_semi").groupBy(by).agg(F.collect_list(F.struct("_r", "_t")).alias("_ranks"))  # EXACT_RANKS at most
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
-    return s.join(ties, by).select(by, "n", "w_plus", "w_minus", ((F.col("w_plus") - n * (n + 1) / 4) / F.nullif(spread, F.lit(0.0))).alias("z"))
+
+    @F.pandas_udf("double")
+    def p_value(w: pd.Series, z: pd.Series, ranks: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for x, d, r, c in zip(w, z, ranks, counts, strict=True):
+            out.append(rank_sum_p(list(r), list(c), x) if r is not None else None if pd.isna(d) else math.erfc(abs(d) / math.sqrt(2)))
+        return pd.Series(out, dtype="float64")
+
+    s = s.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4) / F.nullif(spread, F.lit(0.0))).join(small, by, "left")
+    return s.select(by, "n", "w_plus", "w_minus", "z", p_value("w_plus", "z", F.col("_ranks._r"), F.col("_ranks._t")).alias("p"))
 
 
 def shares(df: DataFrame, by: list[str], category: str) -> DataFrame:

@@ -340,7 +340,13 @@ def residual_spearman(t):
 
 @query("WITH d AS (SELECT l_returnflag, round(l_quantity - 25, 0) AS v FROM lineitem WHERE round(l_quantity - 25, 0) <> 0), r AS (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY abs(v)) + (count(*) OVER (PARTITION BY l_returnflag, abs(v)) - 1) / 2 AS r FROM d), t AS (SELECT l_returnflag, sum(power(c, 3) - c) AS ties FROM (SELECT l_returnflag, abs(v), count(*) AS c FROM d GROUP BY ALL) GROUP BY 1), s AS (SELECT l_returnflag, count(*) AS n, sum(CASE WHEN v > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN v < 0 THEN r ELSE 0 END) AS w_minus FROM r GROUP BY 1) SELECT l_returnflag, n, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM s JOIN t USING (l_returnflag)", "lineitem")
 def signed_rank(t):
-    return C.signed_rank(t.withColumn("v", F.round(F.col("l_quantity") - 25, 0)), "l_returnflag", "v")
+    return C.signed_rank(t.withColumn("v", F.round(F.col("l_quantity") - 25, 0)), "l_returnflag", "v").drop("p")
+
+
+@query("WITH RECURSIVE d AS (SELECT s_suppkey // 8 AS g, s_suppkey, round((s_acctbal - 4500) / 1000, 0) AS v FROM supplier WHERE round((s_acctbal - 4500) / 1000, 0) <> 0), r AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY s_suppkey) AS i, rank() OVER (PARTITION BY g ORDER BY abs(v)) + (count(*) OVER (PARTITION BY g, abs(v)) - 1) / 2 AS r FROM d), w AS (SELECT g, count(*) AS n, sum(CASE WHEN v > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN v < 0 THEN r ELSE 0 END) AS w_minus FROM r GROUP BY 1), e AS (SELECT g, CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS s FROM w UNION ALL SELECT e.g, r.i, e.s + r.r * x.x FROM e JOIN r ON r.g = e.g AND r.i = e.i + 1, (VALUES (0), (1)) x(x)) SELECT w.g, any_value(n) AS n, round(any_value(w_plus), 6) AS w_plus, round(any_value(w_minus), 6) AS w_minus, round(least(1, 2 * least(avg(CASE WHEN s <= w_plus THEN 1.0 ELSE 0 END), avg(CASE WHEN s >= w_plus THEN 1.0 ELSE 0 END))), 6) AS p FROM e JOIN w ON w.g = e.g AND e.i = w.n GROUP BY 1", "supplier")
+def signed_rank_exact(t):
+    d = t.select(F.expr("s_suppkey div 8").alias("g"), F.round((F.col("s_acctbal") - 4500) / 1000, 0).alias("v"))
+    return C.signed_rank(d, "g", "v").drop("z")
 
 
 @query("WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) AS p FROM n) SELECT user_id, CAST(sum(n) AS BIGINT) AS n, round(-sum(p * ln(p)) / ln(5), 6) AS entropy, round(1 - sum(p * p), 6) AS simpson FROM p GROUP BY 1", "events")

@@ -104,11 +104,16 @@ def tree_attributions(labels, docs):
     return attributions(d, model, ["doc_id"]).join(scored(d, model, ["doc_id"]), "doc_id")
 
 
-@query(None, "region")
-def sobol(t):
-    from lumentide.models.learners import sobol as run
-
-    return run(t.sparkSession, {"a": (0.0, 1.0), "b": (0.0, 1.0), "c": (0.0, 1.0)}, lambda x: 4 * x["a"] + 2 * x["b"] * x["b"], 4096)
+@query(None, "labels", "documents")
+def sobol(labels, docs):
+    """Of the trees fitted on documents, over the middle nine tenths of each feature."""
+    from lumentide.models.boosting import scored
+    from lumentide.models.sensitivity import design, sensitivity
+
+    d, names = _quality_features(labels, docs), ["chars", "marks", "words"]
+    ends = d.agg(*(F.percentile_approx(f, [0.05, 0.95]).alias(f) for f in names)).first()
+    points = design(d.sparkSession, {f: tuple(ends[f] or (0.0, 0.0)) for f in names}, 1024)
+    return sensitivity(scored(points, _quality_trees(d), ["id", "block"]), names, "margin")
 
 
 _V = "SELECT vec_id, label, embedding AS e FROM embeddings"

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumentide.functions.cubes import CORNERS, cube_areas
 from lumentide.operators import raster as X
 from lumentide.operators import tiles as T
 from lumentide.plans.catalogue import query
@@ -52,6 +53,8 @@ def solidity(t):
     return X.shape_properties(_image(t)).select("label", "area", "hull_area", "solidity")
 
 
+_CORNERS = ", ".join(str((*c, 1 << i)) for i, c in enumerate(CORNERS))
+_AREAS = ", ".join(f"({i}, {a!r}::double)" for i, a in enumerate(cube_areas(0.5, 0.2, 0.2)))
 _VOX = f"SELECT 'f' AS image_id, z, row, col, CAST(CASE WHEN {_DISC} + 2 * power(z - 4, 2) <= power(3 + nation % 3, 2) THEN k + 1 ELSE 0 END AS INTEGER) AS label, CAST((row + col + z) % 11 AS DOUBLE) AS v FROM ({_BASE}), (SELECT CAST(range AS INTEGER) AS z FROM range(9))"
 
 
@@ -61,7 +64,7 @@ def _voxels(t: DataFrame) -> DataFrame:
     return d.select(F.lit("f").alias("image_id"), "z", "row", "col", label.cast("int").alias("label"), ((F.col("row") + F.col("col") + F.col("z")) % 11).cast("double").alias("v"))
 
 
-@query(f"WITH x AS (SELECT * FROM ({_VOX}) WHERE label > 0), s AS (SELECT label, max(n) AS s FROM (SELECT label, z, count(*) AS n FROM x GROUP BY ALL) GROUP BY 1), f AS (SELECT a.label, sum(w) AS surface FROM x a, (VALUES (1, 0, 0, 4e-2), (-1, 0, 0, 4e-2), (0, 1, 0, 1e-1), (0, -1, 0, 1e-1), (0, 0, 1, 1e-1), (0, 0, -1, 1e-1)) m(dz, dr, dc, w) WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.label = a.label AND b.z = a.z + dz AND b.row = a.row + dr AND b.col = a.col + dc) GROUP BY 1), g AS (SELECT label, count(*) AS n, max(z) - min(z) + 1 AS h, covar_samp(z * 0.5, z * 0.5) + covar_samp(row * 0.2, row * 0.2) + covar_samp(col * 0.2, col * 0.2) AS trace FROM x GROUP BY 1) SELECT label, round(n * 2e-2, 6) AS volume, round(h * 5e-1, 6) AS height, round(s * 4e-2, 6) AS max_section, round(n * 2e-2 / (s * 4e-2), 6) AS thickness, round(surface, 6) AS surface, round(16 * trace, 6) AS trace, round(cbrt(6 * n * 2e-2 / pi()), 6) AS sphere_diameter FROM g JOIN s USING (label) JOIN f USING (label)", "supplier")
+@query(f"WITH x AS (SELECT * FROM ({_VOX}) WHERE label > 0), s AS (SELECT label, max(n) AS s FROM (SELECT label, z, count(*) AS n FROM x GROUP BY ALL) GROUP BY 1), u AS (SELECT label, z - b.cz AS z, row - b.cr AS r, col - b.cc AS c, sum(bit) AS code FROM x, (VALUES {_CORNERS}) b(cz, cr, cc, bit) GROUP BY ALL), f AS (SELECT label, sum(area) AS surface FROM u JOIN (VALUES {_AREAS}) a(code, area) USING (code) GROUP BY 1), g AS (SELECT label, count(*) AS n, max(z) - min(z) + 1 AS h, covar_samp(z * 0.5, z * 0.5) + covar_samp(row * 0.2, row * 0.2) + covar_samp(col * 0.2, col * 0.2) AS trace FROM x GROUP BY 1) SELECT label, round(n * 2e-2, 6) AS volume, round(h * 5e-1, 6) AS height, round(s * 4e-2, 6) AS max_section, round(n * 2e-2 / (s * 4e-2), 6) AS thickness, round(surface, 6) AS surface, round(16 * trace, 6) AS trace, round(cbrt(6 * n * 2e-2 / pi()), 6) AS sphere_diameter FROM g JOIN s USING (label) JOIN f USING (label)", "supplier")
 def solid_properties(t):
     s = X.solid_properties(_voxels(t), (0.5, 0.2, 0.2))
     trace = F.pow("axis_1", 2) + F.pow("axis_2", 2) + F.pow("axis_3", 2)  # of the covariance, times 16

@@ -3,15 +3,18 @@
 import io
 import json
 import math
+import random
 import zipfile
+from itertools import product
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lumentide.functions import cubes
 from lumentide.functions import measures as M
-from lumentide.models import learners, mixtures, prepare, thresholds
+from lumentide.models import learners, mixtures, prepare, sensitivity, thresholds
 from lumentide.operators import compare as C
 from lumentide.operators import metrics, morphology, pairing, quantiles, raster, schema, spatial, summaries, tiles
 from lumentide.operators import quality as Q
@@ -183,8 +186,6 @@ def test_clusters_trees_and_sensitivity(spark):
     model = learners.boosted_trees(train, ["a", "b"], "y", 3, 2)
     got = learners.Inference(["a", "b"], ["id"]).run(test, model)
     assert got.where("(probability > 0.5) <> (y = 1)").isEmpty() and {r.feature: r.gain for r in learners.importances(spark, model, ["a", "b"]).collect()}["a"] > 0.9
-    s = {r.input: r for r in learners.sobol(spark, {"a": (0.0, 1.0), "b": (0.0, 1.0), "c": (0.0, 1.0)}, lambda v: 4 * v["a"] + 2 * v["b"], 20_000).collect()}
-    assert abs(s["a"].first - 0.8) < 0.05 and abs(s["b"].total - 0.2) < 0.05 and abs(s["c"].total) < 1e-9
     with pytest.raises(ValueError):
         learners.Inference(["a"], ["id"], scaling="group")
 
@@ -217,6 +218,58 @@ def test_signed_rank_and_extremes(spark):
     df = spark.createDataFrame([("a", v) for v in (1.0, -2.0, 3.0, 4.0, 0.0, 4.0)], "g string, v double")
     r = C.signed_rank(df, "g", "v").first()
     assert (r.n, r.w_plus, r.w_minus) == (5, 13.0, 2.0)
+    # the two-sided p by all signs, with ties; the normal form where there are many
+    rnd = random.Random(3)
+    rows = [(f"g{n}", float(rnd.randint(-4, 5))) for n in range(1, 13) for _ in range(n)] + [("many", rnd.gauss(0.3, 1)) for _ in range(400)] + [("none", None), ("zero", 0.0)]
+    got = {r.g: r for r in C.signed_rank(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    for g in {r[0] for r in rows} - {"none", "zero"}:
+        v = np.array([x for h, x in rows if h == g and x])
+        if not len(v):
+            assert g not in got
+            continue
+        ranks = np.array([(np.abs(v) < a).sum() + ((np.abs(v) == a).sum() + 1) / 2 for a in np.abs(v)])
+        w = ranks[v > 0].sum()
+        if len(v) <= 12:
+            sums = np.array([sum(r for r, s in zip(ranks, signs) if s) for signs in product((0, 1), repeat=len(v))])
+            want = min(1.0, 2 * min((sums <= w).mean(), (sums >= w).mean()))
+        else:
+            want = math.erfc(abs(got[g].z) / math.sqrt(2))
+        assert got[g].w_plus == w and abs(got[g].p - want) < 1e-9
+    assert "zero" not in got and "none" not in got
+
+
+def test_sensitivity_of_known_functions(spark):
+    bounds = {"a": (0.0, 1.0), "b": (-1.0, 1.0), "c": (2.0, 3.0), "d": (0.0, 1.0)}
+    points = sensitivity.design(spark, bounds, 1024)
+    assert points.count() == 1024 * 10 and {r.block for r in points.select("block").distinct().collect()} == {"a", "b", *(f"{s}_{f}" for s in "ab" for f in "abcd")}
+    first = np.array([[float(r.x), float(r.y)] for r in spark.range(256).select("id", sensitivity.sequence_point(F.col("id"), 0).alias("x"), sensitivity.sequence_point(F.col("id"), 5).alias("y")).orderBy("id").collect()])
+    for k in range(9):  # each half, quarter, ... holds as many points, and so do boxes of both
+        boxes = set(zip((first[:, 0] * 2**k).astype(int), (first[:, 1] * 1).astype(int)))
+        assert len(boxes) == 2**k and len(set((first[:, 1] * 256).astype(int))) == 256
+    got = {r.input: r for r in sensitivity.sensitivity(points.withColumn("score", 4 * F.col("a") + F.col("b") + 7), list(bounds)).collect()}
+    for f, want in (("a", 16 / 20), ("b", 4 / 20), ("c", 0), ("d", 0)):
+        assert abs(got[f].first - want) < 0.005 and abs(got[f].total - want) < 0.005
+    # a product: of the variances 1/12 * (1/3) + ..., known in closed form
+    got = {r.input: r for r in sensitivity.sensitivity(points.withColumn("score", F.col("a") * F.col("b")), list(bounds)).collect()}
+    whole = 1 / 9  # of a * b: mean 0, second moments 1/3 * 1/3
+    assert abs(got["a"].first) < 0.005 and abs(got["b"].first - (1 / 12) / whole) < 0.005
+    assert abs(got["a"].total - (1 / 36) / whole) < 0.005 and abs(got["b"].total - 1) < 0.005
+    assert all(r.first is None for r in sensitivity.sensitivity(points.withColumn("score", F.lit(1.0)), ["a"]).collect())
+
+
+def test_surfaces_by_cubes(spark):
+    areas = cubes.cube_areas(1.0, 1.0, 1.0)
+    assert areas[0] == areas[255] == 0 and all(abs(areas[i] - areas[255 - i]) < 1e-9 for i in range(256) if bin(i).count("1") in (1, 2, 3) and len(cubes._loops([bool(i >> k & 1) for k in range(8)])) == 1)
+    box = [("i", z, r, c, 1, 1.0) for z in range(4) for r in range(5) for c in range(6)]
+    g = np.argwhere((np.indices((25, 25, 25)) - 12).__pow__(2).sum(0) <= 100)
+    ball = [("i", int(z), int(r), int(c), 2, 1.0) for z, r, c in g + 40]
+    vx = spark.createDataFrame(box + ball, "image_id string, z int, row int, col int, label int, v double")
+    got = {r.label: r for r in raster.solid_properties(vx, (1.0, 1.0, 1.0)).collect()}
+    flat, edges = 2 * (3 * 4 + 3 * 5 + 4 * 5), 4 * (3 + 4 + 5) * 0.5**0.5
+    assert abs(got[1].surface - (flat + edges + 8 * 3**0.5 / 8)) < 1e-9
+    assert 1.0 < got[2].surface / (4 * math.pi * 100) < 1.09 and 0.9 < got[2].sphericity < 1.0
+    wide = {r.label: r for r in raster.solid_properties(vx, (2.0, 2.0, 2.0)).collect()}
+    assert abs(wide[2].surface - 4 * got[2].surface) < 1e-6
 
 
 def test_containment_and_one_to_one(spark):
