@@ -7,60 +7,126 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Values of a group that the cubic search takes; larger groups are thinned to evenly spaced order statistics.
-MOST_VALUES = 400
 
+class _Steps:
+    """Step functions of least squared error over ascending different values with counts.
 
-def step_threshold(values: np.ndarray) -> float:
-    """The threshold between two states of values.
+    The best first level for the values from i on ends the later, the later i is; so of all i the middle one is searched first, and
+    what it finds bounds the search on either side. A level of that search is one pass over arrays.
+    """
+
+    def __init__(self, x: np.ndarray, counts: np.ndarray):
+        self.x, self.n = x - np.average(x, weights=counts), len(x)  # about the mean, so that sums of squares stay exact
+        self.c = np.append(0.0, np.cumsum(counts))
+        self.s = np.append(0.0, np.cumsum(self.x * counts))
+        self.q = np.append(0.0, np.cumsum(self.x**2 * counts))
+
+    def error(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of one level for the values from i to before j."""
+        s = self.s[j] - self.s[i]
+        return np.maximum(self.q[j] - self.q[i] - s * s / (self.c[j] - self.c[i]), 0.0)
+
+    def alone(self) -> np.ndarray:
+        """The cost of the values from i on, i = 0 to n - 1, as one level."""
+        return self.error(np.arange(self.n), np.full(self.n, self.n))
+
+    def split(self, cost: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+        """The cost with one level more than `cost` has (its own number is `levels`), and where the first level then ends.
+
+        The values from i on must be at least levels + 1, so the last i for which there is a result is n - levels - 1.
+        """
+        last = self.n - levels - 1
+        out, end = np.full(self.n, np.inf), np.full(self.n, -1)
+        low, high = np.zeros(1, np.int64), np.full(1, last, np.int64)  # the i of each part
+        least, most = np.full(1, 1, np.int64), np.full(1, self.n - levels, np.int64)  # where their first level may end
+        while len(low):
+            mid = (low + high) // 2
+            a, b = np.maximum(least, mid + 1), most
+            size = b - a + 1
+            part = np.repeat(np.arange(len(mid)), size)
+            first = np.cumsum(size) - size
+            j = np.arange(size.sum()) - first[part] + a[part]
+            total = self.error(mid[part], j) + cost[j]
+            best = np.minimum.reduceat(total, first)
+            hit = np.flatnonzero(total == best[part])
+            found = j[hit[np.unique(part[hit], return_index=True)[1]]]
+            out[mid], end[mid] = best, found
+            left, right = low < mid, mid < high
+            low, high, least, most = (np.concatenate(x) for x in ((low[left], mid[right] + 1), (mid[left] - 1, high[right]), (least[left], found[right]), (found[left], most[right])))
+        return out, end
+
+
+def step_threshold(values: np.ndarray, counts: np.ndarray | None = None) -> float:
+    """The threshold between two states of values; counts says how often each stands.
 
     For each number of jumps the step function of least squared error is found; of its jumps the strongest (height over the
-    error of the values about the jump's middle) votes for its place; the median place gives the threshold.
+    error of the values about the jump's middle) votes for its place; the median place gives the threshold. Jumps beyond one between
+    all different values have no height and don't change the vote. The time goes by the square of how many different values
+    there are, the memory by that number to the power 1.5: of the costs every sqrt-th is kept, and those between are made again.
     """
-    x = np.sort(np.asarray(values, float))
-    n = len(x)
-    if n < 3 or not np.isfinite(x).all() or x[0] == x[-1]:
+    values = np.asarray(values, float)
+    x, back = np.unique(values, return_inverse=True)
+    weight = np.bincount(back, counts if counts is None else np.asarray(counts, float)).astype(float)
+    n = int(weight.sum())
+    if n < 3 or not np.isfinite(x).all() or len(x) < 2:
         raise ValueError("needs three finite values that differ")
-    s, q = np.append(0, np.cumsum(x)), np.append(0, np.cumsum(x * x))
-    i, j = np.meshgrid(np.arange(n + 1), np.arange(n + 1), indexing="ij")
-    with np.errstate(divide="ignore", invalid="ignore"):
-        error = np.where(j > i, q[j] - q[i] - (s[j] - s[i]) ** 2 / (j - i), np.inf)  # error[i, j]: one level for x[i:j]
-    cost, back = error[:, n].copy(), []
-    for _ in range(n - 2):  # cost[i]: the best for x[i:] with one jump more
-        table = error[:, :n] + cost[None, :n]
-        nxt = table.argmin(1)
-        back.append(nxt)
-        cost = np.append(table[np.arange(n + 1), nxt], np.inf)[: n + 1]
-    mean = lambda a, b: (s[b] - s[a]) / (b - a)
-    votes = []
-    for jumps in range(1, n - 1):
-        at, places = 0, []
-        for level in range(jumps - 1, -1, -1):
-            at = int(back[level][at])
-            places.append(at)
-        bounds = [0, *places, n]
-        best = max(range(1, jumps + 1), key=lambda k: ((mean(bounds[k], bounds[k + 1]) - mean(bounds[k - 1], bounds[k])) / max(float(q[n] - 2 * (m := (x[bounds[k] - 1] + x[bounds[k]]) / 2) * s[n] + n * m * m), np.finfo(float).tiny), -k))  # noqa: B023
-        votes.append(bounds[best])
-    at = int(np.floor(np.median(votes)))
-    return float((x[at] + x[at - 1]) / 2)
+    steps = _Steps(x, weight)
+    most = min(n - 2, len(x) - 1)  # jumps
+    stride = max(1, int(most**0.5))
+    kept, cost = {0: steps.alone()}, steps.alone()
+    for k in range(1, most + 1):
+        cost, _ = steps.split(cost, k)
+        if k % stride == 0:
+            kept[k] = cost
+    mean = lambda a, b: (steps.s[b] - steps.s[a]) / (steps.c[b] - steps.c[a])
+    middle = (steps.x[1:] + steps.x[:-1]) / 2
+    about = np.maximum(steps.q[-1] - 2 * middle * steps.s[-1] + n * middle * middle, np.finfo(float).tiny)  # the error about each jump's middle
+    # all numbers of jumps at once, each with the last two bounds of its levels and its strongest jump so far
+    before, now = np.zeros(most + 1, np.int64), np.zeros(most + 1, np.int64)
+    strength, vote = np.full(most + 1, -np.inf), np.zeros(most + 1, np.int64)
+
+    def judge(some: np.ndarray, after: np.ndarray) -> None:
+        found = (mean(now[some], after) - mean(before[some], now[some])) / about[now[some] - 1]
+        better = found > strength[some]
+        strength[some[better]], vote[some[better]] = found[better], now[some[better]]
+
+    for begin in sorted(kept, reverse=True):
+        ends, cost = {}, kept[begin]
+        for k in range(begin + 1, min(begin + stride, most) + 1):
+            cost, ends[k] = steps.split(cost, k)
+        for k in sorted(ends, reverse=True):
+            some = np.arange(k, most + 1)  # the fewer jumps come in later, each from the start
+            after = ends[k][now[some]]
+            judge(some[1:], after[1:])
+            before[some], now[some] = now[some], after
+    some = np.arange(1, most + 1)
+    judge(some, np.full(most, len(x)))
+    votes, times = vote[1:], np.ones(most, np.int64)
+    times[-1] = n - 1 - most
+    places = np.cumsum(weight)[votes - 1]  # how many values lie below each vote's jump
+    order = np.argsort(places, kind="stable")
+    upto = np.cumsum(times[order])  # the median of all votes, of which the last number of jumps has many
+    middles = [places[order][np.searchsorted(upto, m, side="right")] for m in ((n - 3) // 2, (n - 2) // 2)]
+    at = int((middles[0] + middles[1]) // 2)
+    i = int(np.searchsorted(np.cumsum(weight), at, side="left"))  # the value that the at-th one is
+    j = int(np.searchsorted(np.cumsum(weight), at + 1, side="left"))
+    return float((x[i] + x[j]) / 2)
 
 
 def binarised(df: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
     """Adds each group's threshold and whether a value lies above it; groups with fewer than three or only equal values get null.
 
-    A group's values are thinned to MOST_VALUES order statistics before they meet in one task.
+    What meets in a task are a group's different values with their counts, added up beforehand. Nulls have no part and no state.
     """
-    probs = F.array(*(F.lit(i / (MOST_VALUES - 1)) for i in range(MOST_VALUES)))
-    g = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"), F.percentile(value, probs).alias("_q"))
-    few = df.where(F.col(value).isNotNull()).join(F.broadcast(g.where(F.col("_n") <= MOST_VALUES).select(*by)), by, "left_semi").groupBy(*by).agg(F.collect_list(F.col(value).cast("double")).alias("_few"))  # at most MOST_VALUES
-
-    @F.pandas_udf("double")
-    def threshold(few: pd.Series, many: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(few, many, strict=True):
-            v = np.asarray(b if a is None else a, float)
-            out.append(step_threshold(v) if len(v) >= 3 and v.min() < v.max() else None)
-        return pd.Series(out, dtype="float64")
-
-    cuts = g.join(few, by, "left").select(*by, threshold("_few", "_q").alias("threshold"))
-    return df.join(F.broadcast(cuts), by, "left").withColumn("high", F.col(value) > F.col("threshold"))
+    some = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counted = some.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    kinds = dict(df.dtypes)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        v, n = frame["_v"].to_numpy(float), frame["_n"].to_numpy(np.int64)
+        fits = n.sum() >= 3 and len(v) > 1 and np.isfinite(v).all()
+        return frame[by].iloc[:1].assign(threshold=step_threshold(v, n) if fits else np.nan)
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "threshold double"])
+    cuts = counted.groupBy(*by).applyInPandas(run, schema).withColumn("threshold", F.nanvl("threshold", F.lit(None).cast("double")))
+    return df.join(cuts, by, "left").withColumn("high", F.col(value) > F.col("threshold"))
