@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumentide.operators.tables import stored
+
 
 def kmeans(df: DataFrame, vector: str, k: int, starts: int = 20, seed: int = 42) -> DataFrame:
     """Adds cluster, of the best of some starts by the sum of squared distances."""
@@ -26,7 +28,7 @@ def dispersion_indices(df: DataFrame, vector: str, label: str) -> DataFrame:
     centre = e.groupBy("l", "i").agg(F.avg("v").alias("c")).groupBy("l").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("c"))
     whole = e.groupBy("i").agg(F.avg("v").alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("w"))
     gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, v: t + v)
-    s = d.join(F.broadcast(centre), "l").groupBy("l").agg(F.count("*").alias("n"), F.sum(gap("x", "c")).alias("within"), F.avg(F.sqrt(gap("x", "c"))).alias("s"), F.first("c").alias("c"))
+    s = d.join(stored(centre, "centres"), "l").groupBy("l").agg(F.count("*").alias("n"), F.sum(gap("x", "c")).alias("within"), F.avg(F.sqrt(gap("x", "c"))).alias("s"), F.first("c").alias("c"))
     k, n = F.count("*"), F.sum("n")
     ch = s.crossJoin(F.broadcast(whole)).agg(((F.sum(F.col("n") * gap("c", "w")) / (k - 1)) / (F.sum("within") / (n - k))).alias("calinski_harabasz"))
     a, b = s.select("l", "s", "c").alias("a"), s.select("l", "s", "c").alias("b")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumentide.functions.measures import log2_ratio
 from lumentide.operators.summaries import average_rank, pearson
+from lumentide.operators.tables import stored
 
 
 def quartiles(x: Column | str) -> tuple[Column, Column, Column]:
@@ -80,7 +81,8 @@ def marker_dispersion(df: DataFrame, grid: DataFrame, stratum: str, group: str,
     x = F.when(valid, F.col(marker))
     lo, mid, hi = quartiles(x)
     s = df.groupBy(stratum, group).agg(F.count("*").alias("n"), F.avg(valid.cast("double")).alias("valid"), lo.alias("q25"), mid.alias("median"), hi.alias("q75"))
-    d = df.where(valid).join(F.broadcast(s.select(stratum, group, "median")), [stratum, group])
+    s = stored(s, "marker-summary")
+    d = df.where(valid).join(s.select(stratum, group, "median"), [stratum, group])
     mad = d.groupBy(stratum, group).agg(F.median(F.abs(F.col(marker) - F.col("median"))).alias("mad"))
     c = mad.where(F.col(group) == control).select(stratum, F.col("mad").alias("_c"))
     out = grid.join(s, [stratum, group], "left").join(mad, [stratum, group], "left").join(c, stratum, "left")
@@ -96,7 +98,7 @@ def residual_spearman(df: DataFrame, by: str, x: str, y: str, least: int = 10) -
     """Spearman's rho of what is left of x and y after their group's medians, per group of at least `least` rows."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     m = d.groupBy(by).agg(F.median(x).alias("_mx"), F.median(y).alias("_my"), F.count("*").alias("_n")).where(F.col("_n") >= least)
-    d = d.join(F.broadcast(m), by).select(by, (F.col(x) - F.col("_mx")).alias("rx"), (F.col(y) - F.col("_my")).alias("ry"))
+    d = d.join(stored(m, "medians"), by).select(by, (F.col(x) - F.col("_mx")).alias("rx"), (F.col(y) - F.col("_my")).alias("ry"))
     d = d.withColumn("ax", average_rank("rx", by)).withColumn("ay", average_rank("ry", by))
     return d.groupBy(by).agg(F.count("*").alias("n"), pearson("ax", "ay").alias("rho"))
 
@@ -105,7 +107,7 @@ def equal_count_trend(df: DataFrame, by: str, x: str, y: str, bins: int = 8) ->
     """Median x and median log2 y in bins between x's quantiles (right-closed, repeated edges dropped), per group."""
     probs = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
     edges = df.groupBy(by).agg(F.array_distinct(F.percentile(x, probs)).alias("_e"))
-    d = df.join(F.broadcast(edges), by)
+    d = df.join(stored(edges, "edges"), by)
     d = d.withColumn("bin", F.greatest(F.size(F.filter("_e", lambda e: e < F.col(x))), F.lit(1))).where(F.col(y) > 0)
     return d.groupBy(by, "bin").agg(F.count("*").alias("n"), F.median(x).alias("x"), F.median(F.log2(y)).alias("y"))
 
@@ -174,7 +176,7 @@ def block_distances(df: DataFrame, field: str, row: str, col: str, category: str
     inside = (F.col("block_row").between(0, blocks - 1)) & (F.col("block_col").between(0, blocks - 1))
     part = df.withColumn("block_row", at(row)).withColumn("block_col", at(col)).where(inside).groupBy(field, "block_row", "block_col", category).agg(F.count("*").alias("k"))
     # one row for each field, block and category: a grid of summaries, not of rows
-    full = df.select(field).distinct().crossJoin(F.broadcast(grid)).crossJoin(F.broadcast(cats))
+    full = df.select(field).distinct().crossJoin(grid).crossJoin(stored(cats, "categories"))
     full = full.join(part, [field, "block_row", "block_col", category], "left").join(whole.select(field, category, "q"), [field, category], "left")
     w = Window.partitionBy(field, "block_row", "block_col")
     full = full.withColumn("n", F.coalesce(F.sum("k").over(w), F.lit(0)))
@@ -208,7 +210,7 @@ def extremes(summary: DataFrame, by: str, name: str, value: str, k: int = 2) ->
 def ledger(counts: DataFrame, declared: dict[str, int]) -> DataFrame:
     """Recomputed counts (name, n) against declared ones; what is missing on either side doesn't match."""
     d = counts.sparkSession.createDataFrame(list(declared.items()), "name string, declared long")
-    return counts.join(F.broadcast(d), "name", "full_outer").select("name", "n", "declared", F.coalesce(F.col("n") == F.col("declared"), F.lit(False)).alias("matches"))
+    return counts.join(d, "name", "full_outer").select("name", "n", "declared", F.coalesce(F.col("n") == F.col("declared"), F.lit(False)).alias("matches"))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, uncertain: str = "uncertain") -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumentide.operators.quantiles import counted
+from lumentide.operators.tables import new_path, stored
 
 
 def average_precision(df: DataFrame, score: str, truth: str) -> DataFrame:
@@ -45,35 +50,50 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(((F.col("x") - e) / F.nullif((F.col("r") + F.col("c")) / 2 - e, F.lit(0.0))).alias("ari"))
 
 
-#: Rows up to which exact pairwise distances are taken.
-SMALL = 20_000
-
-
-def silhouette_small(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """Mean silhouette of Euclidean distances, over all pairs of a table of at most SMALL rows; larger ones are refused (see silhouette)."""
-    import numpy as np
-    import pyarrow as pa
-
-    rows = df.select(key, label, F.transform(vector, lambda x: x.cast("double")).alias("x"))
-    if rows.count() > SMALL:
-        raise ValueError(f"more than {SMALL} rows: use silhouette()")
-    got = rows.toArrow()
-    x, names, labels = np.array(got.column(2).to_pylist(), float), got.column(0).to_pylist(), np.unique(np.array(got.column(1).to_pylist()), return_inverse=True)[1]
-    k = int(labels.max()) + 1 if len(labels) else 0
-    whole = df.sparkSession.sparkContext.broadcast((x, labels, {n: i for i, n in enumerate(names)}))
-
-    def run(batches):
-        every, own, at = whole.value
-        size = np.bincount(own, minlength=k)
-        for batch in batches:
-            out = []
-            for n in batch.column(0).to_pylist():
-                i = at[n]
-                d = np.bincount(own, np.sqrt(((every - every[i]) ** 2).sum(1)), k)
-                a = d[own[i]] / (size[own[i]] - 1) if size[own[i]] > 1 else None
-                others = [d[c] / size[c] for c in range(k) if c != own[i] and size[c]]
-                b = min(others) if others else None
-                out.append(0.0 if a is None or b is None or max(a, b) == 0 else (b - a) / max(a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["s"])
-
-    return rows.select(key).mapInArrow(run, "s double").agg(F.avg("s").alias("silhouette"))
+#: Rows that every other row is held against at a time.
+BLOCK = 4096
+
+
+def silhouette_exact(df: DataFrame, vector: str, label: str, block: int = BLOCK) -> DataFrame:
+    """Mean silhouette of Euclidean distances, over all pairs of rows, in blocks.
+
+    A block of rows at a time, of about `block`, goes to all tasks, which add up their rows' distances to it by cluster; the sums of
+    all blocks are added up by row and cluster. The time goes by the square of the rows, the memory doesn't. A row alone in its cluster,
+    or with a single cluster about, counts 0; rows with a null label or vector have no part.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(label).cast("string").alias("own"), F.transform(vector, lambda x: x.cast("double")).alias("x"))
+    rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "silhouette-rows")
+    blocks = -(-rows.count() // block)
+    if not blocks:
+        return rows.agg(F.avg(F.size("x")).alias("silhouette"))
+    rows = stored(rows.withColumn("b", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int")), "silhouette-blocks")
+    path = new_path(spark, "silhouette-sums")
+    for b in range(blocks):
+        some = rows.where(F.col("b") == b).select("own", "x").toArrow()
+        if not some.num_rows:
+            continue
+        labels, at = np.unique(np.array(some["own"].to_pylist(), object), return_inverse=True)
+        there = np.stack([v.values.to_numpy(zero_copy_only=False) for v in some["x"]])
+
+        def run(batches: Iterator[pa.RecordBatch], labels=labels, at=at, there=there) -> Iterator[pa.RecordBatch]:
+            square = (there**2).sum(axis=1)
+            for whole in batches:
+                for start in range(0, whole.num_rows, 512):
+                    batch = whole.slice(start, 512)
+                    x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in batch.column(1)])
+                    near = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + square[None] - 2 * x @ there.T, 0))
+                    close = near < 1e-4 * np.sqrt(1 + square)[None]  # too close for the difference of squares
+                    for i, j in zip(*np.nonzero(close), strict=True):
+                        near[i, j] = np.sqrt(((x[i] - there[j]) ** 2).sum())
+                    sums = np.stack([near[:, at == c].sum(axis=1) for c in range(len(labels))], axis=1)
+                    n = len(x)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), len(labels))), pa.array(np.tile(labels, n), pa.string()), pa.array(sums.ravel())], ["rid", "other", "d"])
+
+        rows.select("rid", "x").mapInArrow(run, "rid long, other string, d double").write.mode("append").parquet(path)
+    sums = spark.read.schema("rid long, other string, d double").parquet(path).groupBy("rid", "other").agg(F.sum("d").alias("d"))
+    sizes = stored(rows.groupBy(F.col("own").alias("other")).agg(F.count("*").alias("n")), "silhouette-sizes")
+    d = sums.join(sizes, "other").join(rows.select("rid", "own"), "rid")
+    inside = F.col("own") == F.col("other")
+    each = d.groupBy("rid").agg(F.max(F.when(inside & (F.col("n") > 1), F.col("d") / (F.col("n") - 1))).alias("a"), F.min(F.when(~inside, F.col("d") / F.col("n"))).alias("b"))
+    return each.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))).alias("silhouette"))

@@ -110,10 +110,9 @@ def parse_folders(df: DataFrame, name: str, groups: tuple[str, ...] = ("Ctrl", "
     return df.withColumns({"exposure": part(1), "density": density, "export_index": part(4).cast("int"), "status": F.when(ok, "ok").otherwise("unrecognised")})
 
 
-def design_grid(spark, groups: list[tuple[str, float]], densities: list[float]) -> DataFrame:
-    """Every group at every density: two literal lists."""
-    g = spark.createDataFrame(groups, "group_name string, hours double")
-    return g.withColumn("density", F.explode(F.array(*map(F.lit, densities)))).select("group_name", "density", "hours")
+def design_grid(groups: DataFrame, densities: list[float]) -> DataFrame:
+    """Every group (group_name, hours) at every density of a list."""
+    return groups.withColumn("density", F.explode(F.array(*map(F.lit, densities)))).select("group_name", "density", "hours")
 
 
 def by_prefix(c: Column, rules: list[tuple[str, str]], other: str = "unclassified") -> Column:

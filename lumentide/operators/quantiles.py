@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumentide.operators.tables import stored
+
 #: Ranges that a group's values are cut into.
 RANGES = 256
 
@@ -18,8 +20,8 @@ def _cuts(df: DataFrame, by: list[str], column: str) -> DataFrame:
 def _ranged(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """df with _b, the range of its value: the number of cut points below it."""
     cuts = _cuts(df, by, column)
-    cuts = cuts.select(*(F.col(c).alias(f"_{c}") for c in by), "_cuts")
-    joined = df.join(F.broadcast(cuts), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]) if by else df.crossJoin(F.broadcast(cuts))
+    cuts = stored(cuts.select(*(F.col(c).alias(f"_{c}") for c in by), "_cuts"), "cuts")
+    joined = df.join(cuts, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]) if by else df.crossJoin(F.broadcast(cuts))
     return joined.withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col(column)))).drop("_cuts", *(f"_{c}" for c in by))
 
 
@@ -35,7 +37,7 @@ def counted(df: DataFrame, by: list[str], column: str) -> DataFrame:
     ranges = ranges.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_b").alias("_r"), low.alias("_low"))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "_b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     on = [F.col("_b") == F.col("_r"), *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by)]
-    return n.withColumn("_i", inside).join(F.broadcast(ranges), on).select(*by, "value", "n", (F.col("_low") + F.col("_i")).alias("before"))
+    return n.withColumn("_i", inside).join(stored(ranges, "ranges"), on).select(*by, "value", "n", (F.col("_low") + F.col("_i")).alias("before"))
 
 
 def spread_quantiles(df: DataFrame, by: list[str], column: str, probs: tuple[float, ...]) -> DataFrame:
@@ -43,8 +45,8 @@ def spread_quantiles(df: DataFrame, by: list[str], column: str, probs: tuple[flo
     c = counted(df, by, column)
     total = df.where(F.col(column).isNotNull()).groupBy(*by).agg(F.count("*").alias("_t"))
     on = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in by]
-    total = total.select(*(F.col(x).alias(f"_{x}") for x in by), "_t")
-    c = c.join(F.broadcast(total), on) if by else c.crossJoin(F.broadcast(total))
+    total = stored(total.select(*(F.col(x).alias(f"_{x}") for x in by), "_t"), "totals")
+    c = c.join(total, on) if by else c.crossJoin(F.broadcast(total))
 
     def at(p: float, up: bool):
         place = F.lit(p) * (F.col("_t") - 1)

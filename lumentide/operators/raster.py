@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumentide.functions.cubes import CORNERS, cube_areas
+from lumentide.operators.tables import stored
 
 
 def region_properties(px: DataFrame) -> DataFrame:
@@ -227,7 +228,8 @@ def background(px: DataFrame, distance: int, least: int = 100, share: float = 0.
     size = px.groupBy("image_id").agg(F.count("*").alias("size"))
     far = far_pixels(px, distance).select("image_id", "v")
     m = far.groupBy("image_id").agg(F.count("*").alias("pixels"), F.median("v").alias("bg"))
-    mad = far.join(F.broadcast(m), "image_id").groupBy("image_id").agg(F.median(F.abs(F.col("v") - F.col("bg"))).alias("mad"))
+    m = stored(m, "background-medians")
+    mad = far.join(m, "image_id").groupBy("image_id").agg(F.median(F.abs(F.col("v") - F.col("bg"))).alias("mad"))
     j = size.join(m, "image_id", "left").join(mad, "image_id", "left").withColumn("pixels", F.coalesce("pixels", F.lit(0)).cast("long"))
     ok = F.col("pixels") >= F.greatest(F.lit(least), F.ceil(share * F.col("size")))
     return j.select("image_id", "pixels", ok.alias("adequate"), F.when(ok, F.col("bg")).alias("background"), F.when(ok, F.greatest(F.lit(floor), 1.4826 * F.col("mad"))).alias("noise"))
@@ -245,14 +247,14 @@ def marker_ratios(px: DataFrame, outer: int, distance: int, inner: int = 0, satu
     inside = px.where("label > 0")
     nucleus = inside.groupBy(*key).agg(*two("nuclear"), F.avg(F.col("row").cast("double")).alias("_r"), F.avg(F.col("col").cast("double")).alias("_c"))
     ring = ring_labels(px, outer, inner).join(px.select("image_id", "row", "col", "v"), ["image_id", "row", "col"])
-    bg = background(px, distance, background_least)
+    bg = stored(background(px, distance, background_least), "backgrounds")
     around = ring.groupBy(*key).agg(*two("ring"))
-    at = ring.join(nucleus.select(*key, "_r", "_c"), key).join(F.broadcast(bg.select("image_id", "background", "noise")), "image_id")
+    at = ring.join(nucleus.select(*key, "_r", "_c"), key).join(bg.select("image_id", "background", "noise"), "image_id")
     sector = F.least(F.lit(sectors - 1), F.floor((F.atan2(F.col("row") - F.col("_r"), F.col("col") - F.col("_c")) + F.pi()) / (2 * F.pi()) * sectors).cast("int"))
     above = (F.col("v") > F.col("background") + snr * F.col("noise")).cast("double")
     by_sector = at.groupBy(*key, sector.alias("sector")).agg(F.count("*").alias("n"), F.sum(above).alias("above"))
     support = by_sector.groupBy(*key).agg(F.count_if((F.col("n") >= 3) & (F.col("above") >= 0.5 * F.col("n"))).alias("supported_sectors"), (F.sum("above") / F.sum("n")).alias("signal_fraction"))
-    j = nucleus.drop("_r", "_c").join(around, key, "left").join(support, key, "left").join(F.broadcast(bg.drop("pixels")), "image_id", "left")
+    j = nucleus.drop("_r", "_c").join(around, key, "left").join(support, key, "left").join(bg.drop("pixels"), "image_id", "left")
     positive = lambda a, b: F.when((a > 0) & (b > 0), a / F.nullif(b, F.lit(0.0)))
     n, r, b = F.col("nuclear_median"), F.col("ring_median"), F.col("background")
     sampled = F.coalesce(F.col("ring_px"), F.lit(0)) >= least_pixels

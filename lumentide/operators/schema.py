@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Parts of names that must never enter a morphology model.
-FORBIDDEN = ("oct4", "af488", "yap", "group", "dose", "time", "density", "day", "replicate", "sample")
+FORBIDDEN = (
+    "oct4", "oct_4", "oct-4", "af488", "yap", "experimental_group",
+    "ha_exposure", "ha_concentration", "seeding_density", "culture_day",
+    "treatment", "time", "dose", "replicate", "sample",
+)
 
 
 def refuse_leakage(columns: list[str], forbidden: tuple[str, ...] = FORBIDDEN) -> None:

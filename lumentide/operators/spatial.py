@@ -54,7 +54,7 @@ def nearest_pairs(points: DataFrame, k: int = 6) -> DataFrame:
         wide = lambda df: df.withColumn("side", F.col("side") * factor)  # noqa: B023, E731
         pairs = _near_pairs(wide(todo), wide(everyone), "side").withColumn("rank", F.row_number().over(order))
         pairs = pairs.withColumn("r", F.max(F.when(F.col("rank") <= k, F.col("d"))).over(near)).where(F.col("d") <= F.col("r") + TIE)
-        pairs = pairs.withColumn("got", F.max("rank").over(near)).join(F.broadcast(fields.select("field", "want", "extent")) if factor == 1.0 else fields.select("field", "want", "extent"), "field")
+        pairs = pairs.withColumn("got", F.max("rank").over(near)).join(fields.select("field", "want", "extent"), "field")
         pairs = stored(pairs.withColumn("settled", (F.col("side") > F.col("extent")) | ((F.col("got") >= F.col("want")) & (F.col("r") + 2 * TIE < F.col("side")))), "near")
         part = pairs.where("settled").drop("got", "want", "extent", "settled", "side")
         done = part if done is None else done.unionByName(part)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumentide.functions.measures import finite, log2_ratio
+from lumentide.operators.tables import stored
+
 
 QUANTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 
@@ -66,21 +68,20 @@ def control_effects(df: DataFrame, stratum: str, group: str, control: str, featu
 
 def dispersion(df: DataFrame, stratum: str, group: str, control: str, feature: str) -> DataFrame:
     """Median absolute deviation from the group's median, and its gain -log2(mad / control's)."""
-    centres = df.groupBy(stratum, group).agg(F.median(feature).alias("_m"))  # a row for each group, joined back: no window holds a group
-    d = df.join(F.broadcast(centres), [stratum, group]).groupBy(stratum, group).agg(F.median(F.abs(F.col(feature) - F.col("_m"))).alias("mad"))
+    centres = stored(df.groupBy(stratum, group).agg(F.median(feature).alias("_m")), "centres")  # a row for each group, joined back: no window holds a group
+    d = df.join(centres, [stratum, group]).groupBy(stratum, group).agg(F.median(F.abs(F.col(feature) - F.col("_m"))).alias("mad"))
     c = d.where(F.col(group) == control).select(stratum, F.col("mad").alias("_c"))
     return d.join(c, stratum, "left").select(stratum, group, "mad", (-log2_ratio(F.col("mad"), F.col("_c"))).alias("gain"))
 
 
 def multivariate_dispersion(df: DataFrame, stratum: str, group: str, control: str, features: list[str]) -> DataFrame:
     """Median distance of cells to their group's centre over control-scaled features, and its gain against the control."""
-    stats = df.where(F.col(group) == control).groupBy(stratum).agg(*(F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{f}_q") for f in features))
-    stats = stats.select(stratum, *(e for f in features for e in (F.col(f"{f}_q")[1].alias(f"{f}_m"), (F.col(f"{f}_q")[2] - F.col(f"{f}_q")[0]).alias(f"{f}_i"))))
-    scaled = df.join(F.broadcast(stats), stratum)  # a row for each stratum
-    scaled = scaled.select(stratum, group, *(F.when(F.col(f"{f}_i") > 1e-12, (F.col(f) - F.col(f"{f}_m")) / F.col(f"{f}_i")).alias(f) for f in features))
-    centres = scaled.groupBy(stratum, group).agg(*(F.median(f).alias(f"{f}_c") for f in features))
-    scaled = scaled.join(F.broadcast(centres), [stratum, group])
-    parts = [F.pow(F.col(f) - F.col(f"{f}_c"), 2) for f in features]
+    # Scaling is linear, so a group's scaled centre is that of its raw median: one aggregate tells scales and centres.
+    quartiles = stored(df.groupBy(stratum, group).agg(*(F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{f}_q") for f in features)), "quartiles")
+    scales = quartiles.where(F.col(group) == control).select(stratum, *((F.col(f"{f}_q")[2] - F.col(f"{f}_q")[0]).alias(f"{f}_i") for f in features))
+    centres = stored(quartiles.select(stratum, group, *(F.col(f"{f}_q")[1].alias(f"{f}_c") for f in features)).join(scales, stratum), "centres")
+    scaled = df.join(centres, [stratum, group])
+    parts = [F.when(F.col(f"{f}_i") > 1e-12, F.pow((F.col(f) - F.col(f"{f}_c")) / F.col(f"{f}_i"), 2)) for f in features]
     n = sum((p.isNotNull().cast("int") for p in parts[1:]), parts[0].isNotNull().cast("int"))
     s = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
     d = scaled.withColumn("_r", F.when(n > 0, F.sqrt(s / n))).groupBy(stratum, group).agg(F.median("_r").alias("dispersion"))

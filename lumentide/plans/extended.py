@@ -10,6 +10,7 @@ from lumentide.operators import joins as J
 from lumentide.operators import pairing as A
 from lumentide.operators import quality as Q
 from lumentide.operators import summaries as S
+from lumentide.operators.tables import stored
 from lumentide.plans.catalogue import _FEATURES, _PIX, R, _pixels, query
 
 # ---- filters ----
@@ -69,7 +70,11 @@ def prune_features(t):
     return Q.usable_features(_wide(t), list("abcdef"))
 
 
-@query("SELECT * FROM (VALUES ('b', 'a'), ('c', 'a')) AS v(dropped, kept)", "lineitem")
+_NEAR = "coalesce(abs({b} - {a}) <= 1e-12 + 1e-9 * abs({a}), {a} IS NULL AND {b} IS NULL)"
+_SAME = " UNION ALL ".join(f"SELECT '{b}' AS dropped, '{a}' AS kept FROM w HAVING bool_and({_NEAR.format(a=a, b=b)}) OR bool_and({_NEAR.format(a=f'(CASE WHEN {a} > -1 THEN ln(1 + {a}) END)', b=b)})" for i, b in enumerate("abcd") for a in "abcd"[:i])
+
+
+@query(f"WITH w AS ({_WIDE}), s AS ({_SAME}) SELECT dropped, min(kept) AS kept FROM s GROUP BY 1", "lineitem")
 def duplicate_features(t):
     return Q.duplicate_features(_wide(t), list("abcd"))
 
@@ -99,10 +104,10 @@ def sample_folders(t):
     return A.parse_folders(_names(t), "name").select("p_partkey", "exposure", "density", F.coalesce("export_index", F.lit(-1)).alias("export_index"), "status")
 
 
-@query("SELECT CAST(g AS VARCHAR) AS group_name, CAST(d AS DOUBLE) AS density, CASE g WHEN 'Ctrl' THEN 0.0 WHEN 'HA1' THEN 24.0 ELSE 48.0 END AS hours FROM (VALUES ('Ctrl'), ('HA1'), ('HA2')) a(g), (VALUES (2500), (5000), (7500), (10000)) b(d)", "region")
+@query("WITH g AS (SELECT c_mktsegment AS group_name, CAST(count(*) AS DOUBLE) AS hours FROM customer GROUP BY 1) SELECT group_name, CAST(d AS DOUBLE) AS density, hours FROM g, (VALUES (2500), (5000), (7500), (10000)) b(d)", "customer")
 def design_grid(t):
-    spark = t.sparkSession
-    return A.design_grid(spark, [("Ctrl", 0.0), ("HA1", 24.0), ("HA2", 48.0)], [2500.0, 5000.0, 7500.0, 10000.0])
+    groups = t.groupBy(F.col("c_mktsegment").alias("group_name")).agg(F.count("*").cast("double").alias("hours"))
+    return A.design_grid(groups, [2500.0, 5000.0, 7500.0, 10000.0])
 
 
 @query("SELECT p_partkey, CASE WHEN p_type LIKE 'STANDARD P%' THEN 'a' WHEN p_type LIKE 'STANDARD%' THEN 'b' WHEN p_type LIKE 'ECONOMY%' THEN 'c' ELSE 'unclassified' END AS category FROM part", "part")
@@ -206,7 +211,7 @@ def best_plane(t, li):
 @query("WITH b AS (SELECT user_id, CAST(least(floor(value / 20), 4) AS INTEGER) AS bin, value FROM events WHERE value IS NOT NULL), m AS (SELECT bin, median(value) AS m FROM b GROUP BY 1) SELECT user_id, round(max(m), 6) AS level FROM b JOIN m USING (bin) GROUP BY 1", "events")
 def bin_map_join(t):
     b = t.where("value IS NOT NULL").select("user_id", F.least(F.floor(F.col("value") / 20), F.lit(4)).cast("int").alias("bin"), "value")
-    return b.join(F.broadcast(b.groupBy("bin").agg(F.median("value").alias("m"))), "bin").groupBy("user_id").agg(F.max("m").alias("level"))
+    return b.join(stored(b.groupBy("bin").agg(F.median("value").alias("m")), "bin-medians"), "bin").groupBy("user_id").agg(F.max("m").alias("level"))
 
 
 @query("WITH a AS (SELECT l_suppkey, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1), b AS (SELECT l_suppkey, corr(l_quantity, l_discount) AS r FROM lineitem GROUP BY 1) SELECT l_suppkey, round(a.r, 6) AS old, round(b.r, 6) AS new, round(b.r - a.r, 6) AS change FROM a JOIN b USING (l_suppkey)", "lineitem")
@@ -555,7 +560,7 @@ def positive_normalise(t):
     whole = F.percentile("value", F.array(F.lit(0.01), F.lit(0.995)))
     q = t.where("value > 0").groupBy("event_type").agg(F.get(whole, F.lit(0)).alias("lo"), F.get(whole, F.lit(1)).alias("hi"))
     x = (F.col("value") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6))
-    return t.join(F.broadcast(q), "event_type").select("event_id", F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)).alias("unit"))
+    return t.join(stored(q, "stretch-ends"), "event_type").select("event_id", F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)).alias("unit"))
 
 
 @query("WITH z AS (SELECT l_suppkey, (l_quantity - avg(l_quantity) OVER w) / nullif(stddev_pop(l_quantity) OVER w, 0) AS a, (l_tax - avg(l_tax) OVER w) / nullif(stddev_pop(l_tax) OVER w, 0) AS b FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)) SELECT l_suppkey, round(avg(a * b), 6) AS r FROM z GROUP BY 1", "lineitem")

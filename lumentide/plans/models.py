@@ -126,7 +126,7 @@ def silhouette_squared(t):
 
 @query("WITH v AS (SELECT vec_id, label, embedding AS e FROM embeddings), d AS (SELECT a.vec_id, a.label AS own, b.label AS l, sum(list_distance(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[]))) AS s, count(*) AS n FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY ALL), s AS (SELECT vec_id, max(CASE WHEN l = own THEN s / n END) AS a, min(CASE WHEN l <> own THEN s / n END) AS b FROM d GROUP BY 1) SELECT round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 5) AS silhouette FROM s", "embeddings")
 def silhouette_small(t):
-    return metrics.silhouette_small(t, "vec_id", "embedding", "label").select(F.round("silhouette", 5).alias("silhouette"))
+    return metrics.silhouette_exact(t, "embedding", "label").select(F.round("silhouette", 5).alias("silhouette"))
 
 
 @query(None, "embeddings")

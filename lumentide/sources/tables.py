@@ -29,18 +29,32 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = No
     return df.select(*(missing(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
-def probed_encoding(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS, most: int = 1 << 16) -> str:
-    """The first encoding that reads a file's first bytes; a byte order mark tells UTF-8."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, most).alias("h")).first()
-    raw = bytes(head.h) if head else b""
-    if raw.startswith(codecs.BOM_UTF8):
-        return "utf-8"
-    for e in encodings:
+def probed_encoding(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> str:
+    """The first encoding that reads all of a file, or all files, of a path; a byte order mark tells UTF-8. Files are tried in tasks."""
+
+    def fits(raw: bytes, encoding: str) -> bool:
+        if raw.startswith(codecs.BOM_UTF8):
+            return encoding == "utf-8"
+        decoder, step = codecs.getincrementaldecoder(encoding)(), 1 << 20
         try:
-            codecs.getincrementaldecoder(e)().decode(raw, final=len(raw) < most)
-            return e
+            for i in range(0, len(raw) + 1, step):
+                decoder.decode(raw[i : i + step], final=i + step > len(raw))
         except UnicodeDecodeError:
-            continue
+            return False
+        return True
+
+    known = ("utf-8", *(e for e in encodings if e not in ("utf-8", "utf8", "utf-8-sig")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array([[fits(raw.as_py(), e) for e in known]], pa.list_(pa.bool_()))], ["fits"])
+
+    tried = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "fits array<boolean>")
+    row = tried.agg(*(F.bool_and(F.get("fits", F.lit(i))).alias(f"e{i}") for i in range(len(known)))).first()
+    for i, e in enumerate(known):
+        if row[i] is None or row[i]:
+            return e
     raise ValueError(f"none of {encodings} reads {path}")
 
 

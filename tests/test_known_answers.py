@@ -180,7 +180,7 @@ def test_clusters_trees_and_sensitivity(spark):
     df = spark.createDataFrame([(i, v.tolist(), int(i >= 60), float(v[0]), float(rng.random())) for i, v in enumerate(x)], "id long, x array<double>, y int, a double, b double")
     k = learners.kmeans(df, "x", 2, 2)
     assert metrics.adjusted_rand(k, "y", "cluster").first().ari == 1.0 and learners.dispersion_indices(k, "x", "cluster").first().davies_bouldin < 0.5
-    assert metrics.silhouette_small(k, "id", "x", "cluster").first().silhouette > 0.8
+    assert metrics.silhouette_exact(k, "x", "cluster", block=50).first().silhouette > 0.8
     train, test = learners.split(df, "id", "y")
     assert train.count() + test.count() == 120
     model = learners.boosted_trees(train, ["a", "b"], "y", 3, 2)
