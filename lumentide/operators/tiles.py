@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .morphology import components, eroded, shifted_or
+from .morphology import components, eroded, shifted_or, thinned
 from .tables import stored
 
 #: Pixels of a tile's side.
@@ -42,8 +42,8 @@ def _tile(tile: int) -> list:
     return [F.floor(F.col("row") / tile).cast("int").alias("ty"), F.floor(F.col("col") / tile).cast("int").alias("tx")]
 
 
-def tiled_components(mask: DataFrame, tile: int = TILE) -> DataFrame:
-    """The 4-connected component of each pixel of mask (image_id, row, col): component is row * 2^31 + col of its first pixel in row order.
+def tiled_components(mask: DataFrame, tile: int = TILE, eight: bool = False) -> DataFrame:
+    """The 4-connected (or 8-connected) component of each pixel of mask (image_id, row, col): component is row * 2^31 + col of its first pixel in row order.
 
     Tiles find their own components by runs; those that touch over a tile's edge are joined by the edge pixels alone.
     Rows and columns are not negative; repeated pixels count once; an empty table gives no rows.
@@ -55,18 +55,20 @@ def tiled_components(mask: DataFrame, tile: int = TILE) -> DataFrame:
         grid = np.zeros((int(frame["row"].max()) - r0 + 1, int(frame["col"].max()) - c0 + 1), bool)
         grid[frame["row"] - r0, frame["col"] - c0] = True
         r, c = np.nonzero(grid)
-        own = components(grid)[r, c]
+        own = components(grid, eight)[r, c]
         first = np.full(own.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, own, (r + r0).astype(np.int64) << 31 | (c + c0))
         return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "row": (r + r0).astype("int32"), "col": (c + c0).astype("int32"), "component": first[own]})
 
     tiles = mask.select(F.col("image_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).withColumns({"ty": _tile(tile)[0], "tx": _tile(tile)[1]})
     local = stored(tiles.groupBy("image_id", "ty", "tx").applyInPandas(run, f"image_id {kind}, row int, col int, component long"), "tile-components")
+    side = lambda c, d: F.col(c) % tile == (tile - 1 if d > 0 else 0)
+    border = local.where(side("row", 0) | side("row", 1) | side("col", 0) | side("col", 1))
     edges = None
-    for at, (dr, dc) in (("row", (1, 0)), ("col", (0, 1))):
-        here = local.where(F.col(at) % tile == tile - 1).select("image_id", (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), F.col("component").alias("a"))
-        there = local.where(F.col(at) % tile == 0).select(*_KEY, F.col("component").alias("b"))
-        found = here.join(there, _KEY).select("image_id", "a", "b")
+    for dr, dc in ((1, 0), (0, 1), *(((1, 1), (1, -1)) if eight else ())):
+        leaves = side("row", dr) if dr and not dc else side("col", dc) if dc and not dr else side("row", dr) | side("col", dc)
+        here = border.where(leaves).select("image_id", (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), F.col("component").alias("a"))
+        found = here.join(border.select(*_KEY, F.col("component").alias("b")), _KEY).select("image_id", "a", "b")
         edges = found if edges is None else edges.union(found)
     edges = stored(edges.distinct(), "tile-edges")
     if edges.isEmpty():
@@ -75,6 +77,17 @@ def tiled_components(mask: DataFrame, tile: int = TILE) -> DataFrame:
     return local.join(joined, ["image_id", "component"], "left").select(*_KEY, F.coalesce("comp", "component").alias("component"))
 
 
+def _with_halo(px: DataFrame, tile: int, halo: int) -> DataFrame:
+    """Each pixel with every tile (ty, tx) in which, or in whose halo, it lies."""
+    around = -(-halo // tile)  # tiles that a halo reaches into, on either side
+    reach = range(-around, around + 1)
+    moves = F.array(*(F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a in reach for b in reach))
+    px = px.select(F.col("image_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    px = px.select(*_KEY, F.explode(moves).alias("m"), *_tile(tile)).select(*_KEY, (F.col("ty") + F.col("m.y")).alias("ty"), (F.col("tx") + F.col("m.x")).alias("tx"))
+    near = lambda c, t: F.col(c).between(F.col(t) * tile - halo, (F.col(t) + 1) * tile - 1 + halo)
+    return px.where(near("row", "ty") & near("col", "tx"))
+
+
 def _bounds(px: DataFrame) -> DataFrame:
     return px.groupBy("image_id").agg(F.min("row").cast("int").alias("r0"), F.max("row").cast("int").alias("r1"), F.min("col").cast("int").alias("c0"), F.max("col").cast("int").alias("c1"))
 
@@ -87,15 +100,10 @@ def closed_mask(px: DataFrame, dilate: int, close: int, tile: int = TILE) -> Dat
     """
     kind = dict(px.dtypes)["image_id"]
     halo = dilate + 2 * close
-    around = -(-halo // tile)  # tiles that a halo reaches into, on either side
-    reach = range(-around, around + 1)
-    moves = F.array(*(F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a in reach for b in reach))
-    seeds = px.where("label > 0").select(F.col("image_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
-    seeds = seeds.select(*_KEY, F.explode(moves).alias("m"), *_tile(tile)).select(*_KEY, (F.col("ty") + F.col("m.y")).alias("ty"), (F.col("tx") + F.col("m.x")).alias("tx"))
-    near = lambda c, t: F.col(c).between(F.col(t) * tile - halo, (F.col(t) + 1) * tile - 1 + halo)
+    seeds = _with_halo(px.where("label > 0"), tile, halo)
     bounds = stored(_bounds(px), "image-bounds")
     every = bounds.select("image_id", F.explode(F.expr(f"sequence(r0 div {tile}, r1 div {tile})")).alias("ty"), "c0", "c1").select("image_id", "ty", F.explode(F.expr(f"sequence(c0 div {tile}, c1 div {tile})")).alias("tx"))
-    rows = seeds.where(near("row", "ty") & near("col", "tx")).unionByName(every, allowMissingColumns=True).join(bounds, "image_id")
+    rows = seeds.unionByName(every, allowMissingColumns=True).join(bounds, "image_id")
     inside_box = (F.col("ty") * tile <= F.col("r1")) & ((F.col("ty") + 1) * tile > F.col("r0")) & (F.col("tx") * tile <= F.col("c1")) & ((F.col("tx") + 1) * tile > F.col("c0"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -210,3 +218,41 @@ def edge_distances(px: DataFrame, um: float, diameter: float = 12.0, dilate: int
     band, inner = max(16.0, 2.4 * diameter), max(18.0, 2.8 * diameter)
     m = F.col("edge_median")
     return out.withColumn("status", F.when(m <= 0, "outside").when(m <= band, "edge_band").when(m >= inner, "inner").otherwise("between"))
+
+
+def skeleton(mask: DataFrame, tile: int = TILE, rounds: int = 16) -> DataFrame:
+    """The pixels (image_id, row, col) that are left when mask is thinned to lines (morphology.thinned).
+
+    A pass does `rounds` rounds in each tile, with a halo of two pixels for each round, in which what is beyond doesn't reach the tile; passes
+    go on until nothing changes.
+    """
+    kind, halo = dict(mask.dtypes)["image_id"], 2 * rounds
+    now = stored(mask.select("image_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct(), "skeleton")
+    many = now.count()
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        _, ty, tx = key
+        top, left, size = int(ty) * tile - halo, int(tx) * tile - halo, tile + 2 * halo
+        grid = np.zeros((size, size), bool)
+        grid[frame["row"] - top, frame["col"] - left] = True
+        r, c = np.nonzero(thinned(grid, rounds)[halo : halo + tile, halo : halo + tile])
+        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "row": (r + int(ty) * tile).astype("int32"), "col": (c + int(tx) * tile).astype("int32")})
+
+    while many:
+        now = stored(_with_halo(now, tile, halo).groupBy("image_id", "ty", "tx").applyInPandas(run, f"image_id {kind}, row int, col int"), "skeleton")
+        many, before = now.count(), many
+        if many == before:
+            break
+    return now
+
+
+def skeleton_continuity(mask: DataFrame, tissue: DataFrame | None = None, tile: int = TILE, lengths: tuple[int, ...] = (20, 50)) -> DataFrame:
+    """Of each image's edges, thinned to lines: pixels, the share of them in 8-connected lines of at least some lengths, the lines' median length,
+    and, where the tissue's pixels are given, pixels for each 10,000 of these."""
+    lines = tiled_components(skeleton(mask, tile), tile, eight=True).groupBy("image_id", "component").agg(F.count("*").alias("n"))
+    share = [(F.sum(F.when(F.col("n") >= k, F.col("n")).otherwise(0)) / F.sum("n")).alias(f"share_{k}") for k in lengths]
+    out = lines.groupBy("image_id").agg(F.sum("n").alias("pixels"), F.count("*").alias("lines"), F.median("n").alias("median_length"), *share)
+    if tissue is None:
+        return out
+    size = tissue.groupBy("image_id").agg(F.count("*").alias("_t"))
+    return size.join(out, "image_id", "left").withColumn("per_10000", F.coalesce("pixels", F.lit(0)) * 10_000.0 / F.col("_t")).drop("_t")

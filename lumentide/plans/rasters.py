@@ -157,3 +157,10 @@ def colony_support(t):
 @query(None, "supplier")
 def edge_distances(t):
     return T.edge_distances(_image(t), 0.5, **_COLONY).drop("image_id")
+
+
+@query(None, "supplier")
+def skeleton_continuity(t):
+    """Of the discs grown together, as a network of thick lines."""
+    network = T.closed_mask(_image(t), 3, 2, tile=24).where("inside")
+    return T.skeleton_continuity(network.select("image_id", "row", "col"), _image(t), tile=24).drop("image_id")

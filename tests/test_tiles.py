@@ -79,3 +79,32 @@ def test_queries_equal_the_image_in_memory(spark, sf_dir):
         d = depth[grid == label]
         assert abs(row.edge_median - np.median(d)) < 1e-6 and abs(row.edge_least - d.min()) < 1e-6
         assert row.status == ("outside" if np.median(d) <= 0 else "edge_band")
+
+
+def test_skeletons_over_tiles(spark):
+    some = (*grids(), M.shifted_or(grids()[2] > 0, 4).astype(int))
+    px = table(spark, *some).where("label > 0")
+    got = T.skeleton(px, tile=16, rounds=3).toPandas()
+    lines = {r.image_id: r for r in T.skeleton_continuity(px, px, tile=16).collect()}
+    for i, g in enumerate(some):
+        mine = got[got.image_id == f"i{i}"]
+        want = M.thinned(g > 0)
+        assert sorted(zip(mine.row - 5 * i, mine.col - 3 * i)) == [tuple(x) for x in np.argwhere(want).tolist()]
+        if g.any():
+            sizes = np.bincount(M.components(want, eight=True).ravel())[1:]
+            row = lines[f"i{i}"]
+            assert (row.pixels, row.lines, row.median_length) == (sizes.sum(), len(sizes), np.median(sizes))
+            assert abs(row.share_20 - sizes[sizes >= 20].sum() / sizes.sum()) < 1e-12 and abs(row.per_10000 - sizes.sum() / g.sum() * 1e4) < 1e-9
+
+
+def test_thinning_keeps_what_is_connected():
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        mask = M.shifted_or(r.random((40, 50)) < 0.02, int(r.integers(1, 4)))
+        thin = M.thinned(mask)
+        assert not (thin & ~mask).any() and M.components(thin, True).max() == M.components(mask, True).max()
+        assert (M.thinned(thin) == thin).all()
+    bar = np.zeros((11, 40), bool)
+    bar[3:8, 3:37] = True
+    thin = M.thinned(bar)
+    assert thin.sum(axis=0).max() == 1 and thin[5].sum() > 25 and thin.sum() == thin[5].sum()
