@@ -74,19 +74,32 @@ def dispersion(df: DataFrame, stratum: str, group: str, control: str, feature: s
     return d.join(c, stratum, "left").select(stratum, group, "mad", (-log2_ratio(F.col("mad"), F.col("_c"))).alias("gain"))
 
 
-def multivariate_dispersion(df: DataFrame, stratum: str, group: str, control: str, features: list[str]) -> DataFrame:
-    """Median distance of cells to their group's centre over control-scaled features, and its gain against the control."""
+def panel_dispersions(df: DataFrame, stratum: str, group: str, control: str, panels: dict[str, list[str]]) -> DataFrame:
+    """For each named panel of features: the median distance of cells to their group's centre over control-scaled features, and its
+    gain against the control. All panels come from the same two scans.
+    """
+    features = list(dict.fromkeys(f for fs in panels.values() for f in fs))
     # Scaling is linear, so a group's scaled centre is that of its raw median: one aggregate tells scales and centres.
     quartiles = stored(df.groupBy(stratum, group).agg(*(F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{f}_q") for f in features)), "quartiles")
     scales = quartiles.where(F.col(group) == control).select(stratum, *((F.col(f"{f}_q")[2] - F.col(f"{f}_q")[0]).alias(f"{f}_i") for f in features))
     centres = stored(quartiles.select(stratum, group, *(F.col(f"{f}_q")[1].alias(f"{f}_c") for f in features)).join(scales, stratum), "centres")
     scaled = df.join(centres, [stratum, group])
-    parts = [F.when(F.col(f"{f}_i") > 1e-12, F.pow((F.col(f) - F.col(f"{f}_c")) / F.col(f"{f}_i"), 2)) for f in features]
-    n = sum((p.isNotNull().cast("int") for p in parts[1:]), parts[0].isNotNull().cast("int"))
-    s = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
-    d = scaled.withColumn("_r", F.when(n > 0, F.sqrt(s / n))).groupBy(stratum, group).agg(F.median("_r").alias("dispersion"))
-    c = d.where(F.col(group) == control).select(stratum, F.col("dispersion").alias("_c"))
-    return d.join(c, stratum, "left").select(stratum, group, "dispersion", (-log2_ratio(F.col("dispersion"), F.col("_c"))).alias("gain"))
+
+    def distance(panel: list[str]) -> Column:
+        parts = [F.when(F.col(f"{f}_i") > 1e-12, F.pow((F.col(f) - F.col(f"{f}_c")) / F.col(f"{f}_i"), 2)) for f in panel]
+        n = sum((p.isNotNull().cast("int") for p in parts[1:]), parts[0].isNotNull().cast("int"))
+        s = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
+        return F.when(n > 0, F.sqrt(s / n))
+
+    d = scaled.select(stratum, group, *(distance(fs).alias(f"_r{i}") for i, fs in enumerate(panels.values()))).groupBy(stratum, group).agg(*(F.median(f"_r{i}").alias(f"_r{i}") for i in range(len(panels))))
+    d = stored(d.select(stratum, group, F.explode(F.array(*(F.struct(F.lit(name).alias("panel"), F.col(f"_r{i}").alias("dispersion")) for i, name in enumerate(panels)))).alias("x")).select("x.panel", stratum, group, "x.dispersion"), "dispersions")
+    c = d.where(F.col(group) == control).select("panel", stratum, F.col("dispersion").alias("_c"))
+    return d.join(c, ["panel", stratum], "left").select("panel", stratum, group, "dispersion", (-log2_ratio(F.col("dispersion"), F.col("_c"))).alias("gain"))
+
+
+def multivariate_dispersion(df: DataFrame, stratum: str, group: str, control: str, features: list[str]) -> DataFrame:
+    """panel_dispersions of one panel."""
+    return panel_dispersions(df, stratum, group, control, {"all": features}).drop("panel")
 
 
 def upper_threshold(df: DataFrame, column: str, k: float = 3.0, fallback: float = 0.95) -> DataFrame:

@@ -196,8 +196,8 @@ def uniformity_multivariate(t):
 
 @query(" UNION ALL ".join(f"(WITH {_multi_sql([g for g in _FEATURES if g != f])} SELECT '{f}' AS omitted, l_linestatus, l_returnflag, {R('dispersion', 'gain')} FROM o)" for f in _FEATURES), "lineitem")
 def uniformity_leave_one_out(t):
-    parts = [S.multivariate_dispersion(t, "l_linestatus", "l_returnflag", "A", [g for g in _FEATURES if g != f]).select(F.lit(f).alias("omitted"), "*") for f in _FEATURES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    panels = {f: [g for g in _FEATURES if g != f] for f in _FEATURES}
+    return S.panel_dispersions(t, "l_linestatus", "l_returnflag", "A", panels).withColumnRenamed("panel", "omitted")
 
 
 _RANKS = "SELECT {by}l_quantity x, l_extendedprice y, rank() OVER ({p}ORDER BY l_quantity) + (count(*) OVER (PARTITION BY {by}l_quantity) - 1) / 2 rx, rank() OVER ({p}ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY {by}l_extendedprice) - 1) / 2 ry FROM lineitem"
