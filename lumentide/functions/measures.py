@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -143,6 +144,15 @@ def pixel_size_um(text: Column, unit: Column, resolution: Column, manual: Column
     return F.coalesce(named, tagged, manual)
 
 
+def in_micrometres(df: DataFrame, um: Column, keep: bool = False) -> DataFrame:
+    """Columns in pixels (`_px`), square (`_px2`) or cubic pixels (`_px3`) as `_um`, `_um2` and `_um3`; null where the pixel's size is
+    not known or not above 0. A converted column replaces one that has its name already."""
+    powers = {c: int(c.rpartition("_px")[2] or 1) for c in df.columns if re.search("_px[23]?$", c)}
+    known = F.when(um > 0, um)
+    made = {re.sub("_px([23]?)$", r"_um\1", c): F.col(c) * F.pow(known, F.lit(p)) for c, p in powers.items()}
+    return df.withColumns(made).drop(*([] if keep else powers))
+
+
 def suffix_number(c: Column) -> Column:
     """The number at a name's end, for sorting `P 2` before `P 10`; null if none."""
     return F.nullif(F.regexp_extract(c, r"([0-9]+)$", 1), F.lit("")).cast("long")

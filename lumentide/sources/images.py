@@ -1,11 +1,13 @@
-"""Images as pixel tables. Files come through binaryFile; each task decodes its own. NumPy and PGM/PPM files are read here; for
-others a decoder is given."""
+"""Images as pixel tables. Files come through binaryFile; each task decodes its own. NumPy, PNG, PGM/PPM and tagged image files (their first
+page; see containers for the others) are read here; for others a decoder is given."""
 
 from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,12 +15,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumentide.sources.containers import blocks_of, decoded_block, directories
+
 #: Pixels in one batch of rows.
 PIXELS = 1 << 18
 
 
+def decoded_png(raw: bytes) -> np.ndarray:
+    """A PNG file of 1 to 16 bits, grey, colour or with a palette (then its colours), with or without alpha; not interlaced."""
+    if raw[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG file")
+    at, data, palette = 8, b"", None
+    width = height = bits = colour = 0
+    while at < len(raw):
+        n, kind = struct.unpack(">I4s", raw[at : at + 8])
+        body = raw[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            width, height, bits, colour, _, _, interlaced = struct.unpack(">IIBBBBB", body)
+            if interlaced:
+                raise ValueError("interlaced PNG files are not read")
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            data += body
+        elif kind == b"IEND":
+            break
+        at += n + 12
+    samples = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    line, step = -(-width * samples * bits // 8), max(1, samples * bits // 8)
+    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, line + 1)
+    out, above = np.zeros((height, line), np.uint8), np.zeros(line, np.int64)
+    for r in range(height):
+        how, x = lines[r, 0], lines[r, 1:].astype(np.int64)
+        if how == 1:  # what is to the left was taken off: sums by each byte's place in a pixel
+            padded = np.append(x, np.zeros(-line % step, np.int64)).reshape(-1, step)
+            x = np.cumsum(padded, axis=0).ravel()[:line]
+        elif how == 2:
+            x = x + above
+        elif how in (3, 4):
+            for i in range(line):
+                left, up, corner = x[i - step] if i >= step else 0, above[i], above[i - step] if i >= step else 0
+                if how == 3:
+                    x[i] = (x[i] + (left + up) // 2) & 255
+                else:  # the neighbour nearest to left + up - corner
+                    a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                    x[i] = (x[i] + (left if a <= b and a <= c else up if b <= c else corner)) & 255
+        elif how > 4:
+            raise ValueError("a PNG line with an unknown filter")
+        out[r] = above = x & 255
+    if bits == 16:
+        a = out.view(">u2").astype(np.uint16).reshape(height, width, samples)
+    elif bits == 8:
+        a = out.reshape(height, width, samples)
+    else:
+        each = np.unpackbits(out, axis=1)[:, : width * bits].reshape(height, width, bits)
+        a = (each @ (1 << np.arange(bits)[::-1])).astype(np.uint8)[:, :, None]
+    if palette is not None and colour == 3:
+        return palette[a[:, :, 0]]
+    return a[:, :, 0] if samples == 1 else a
+
+
 def decoded(name: str, raw: bytes) -> np.ndarray:
-    """The array in a .npy, .npz (labels, raw_labels or the only one) or binary PGM/PPM file."""
+    """The array in a .npy, .npz (labels, raw_labels or the only one), .png, tagged image (first page) or binary PGM/PPM file."""
+    if name.endswith(".png"):
+        return decoded_png(raw)
+    if name.endswith((".tif", ".tiff")):
+        page = next(directories(lambda at, n: raw[at : at + n]))
+        out = None
+        for offset, size, row, col, rows, columns, sample in blocks_of(page):
+            a = decoded_block(raw[offset : offset + size], page, rows, columns)
+            if out is None:
+                out = np.zeros((page["height"][0], page["width"][0], page.get("samples", (1,))[0]), a.dtype.newbyteorder("="))
+            a = a[: out.shape[0] - row, : out.shape[1] - col]
+            out[row : row + a.shape[0], col : col + a.shape[1], sample : sample + a.shape[2]] = a
+        return out[:, :, 0] if out.shape[2] == 1 else out
     if name.endswith(".npy"):
         return np.load(io.BytesIO(raw), allow_pickle=False)
     if name.endswith(".npz"):

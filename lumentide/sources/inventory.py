@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumentide.operators.pairing import by_prefix
 
+#: Bytes of a file that a task holds at a time.
+PART = 1 << 22
+
 
 def listing(spark: SparkSession, path: str, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """Every file below path: rel_path, suffix, size_bytes, and a category by prefix; contents are not read."""
@@ -23,12 +32,29 @@ def summary(files: DataFrame, by: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, roles: list[tuple[str, str]]) -> DataFrame:
-    """Every file's checksum, kind by suffix, and role by a part of its name; a broken one (no bytes) is told by its status."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """Every file's checksum, kind by suffix, and role by a part of its name; a broken one (no bytes) is told by its status.
+
+    Tasks read their files in parts, so a file can be of any size.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for p in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", p))
+                total = hashlib.sha256()
+                with store.open_input_stream(at) as stream:
+                    while part := stream.read(PART):
+                        total.update(part)
+                sums.append(total.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], ["path", "length", "sha256"])
+
+    files = listed.mapInArrow(run, "path string, length long, sha256 string")
     name = F.lower("path")
     role = F.coalesce(*(F.when(name.contains(part), what) for part, what in roles), F.lit("other"))
     kind = F.when(name.rlike(r"\.(py|r|sh|ps1|mjs)$"), "code").when(name.rlike(r"\.(png|jpe?g|tiff?|gif|svg)$"), "image").when(name.rlike(r"\.(csv|parquet|json|xlsx)$"), "table").otherwise("other")
-    return files.select("path", kind.alias("kind"), role.alias("role"), F.sha2("content", 256).alias("sha256"), F.when(F.col("length") == 0, "empty").otherwise("ok").alias("status"))
+    return files.select("path", kind.alias("kind"), role.alias("role"), "sha256", F.when(F.col("length") == 0, "empty").otherwise("ok").alias("status"))
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:
