@@ -436,7 +436,7 @@ def test_pipeline_stages_by_plain_loops(spark, sf_dir):
         for c in perplexity.gram_codes(np.frombuffer(t, np.uint8), 5).tolist():
             weights[c] += 1 / family[t][1]
     codes = np.array(sorted(weights), np.uint64)
-    model = perplexity.KneserNey(codes, np.array([max(1, int(weights[c] + 0.5 + 1e-9)) for c in codes.tolist()], np.int64), 5)
+    model = perplexity.KneserNey(codes, np.array([max(1, int(weights[c] + 0.5 + 1e-6)) for c in codes.tolist()], np.int64), 5)
     total, squares, n = model.score(np.frombuffer(b"".join(different), np.uint8), np.cumsum([0, *map(len, different)]))
     bits = -total / np.maximum(n, 1) / np.log(2)
     spread = squares / np.maximum(n, 1) / np.log(2) ** 2 - bits**2
