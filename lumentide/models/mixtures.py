@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumentide.operators.tables import stored
+
 REG = 1e-6
 
 
@@ -52,7 +54,8 @@ class Mixture:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), float).reshape(len(column), -1)
+    """Arrays of one length without nulls, a row each."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def fit_mixtures(df: DataFrame, vector: str, ks: list[int], starts: int = 5, seed: int = 42, steps: int = 100, tolerance: float = 1e-4) -> dict[int, Mixture]:
@@ -61,7 +64,7 @@ def fit_mixtures(df: DataFrame, vector: str, ks: list[int], starts: int = 5, see
     Every step is one pass in which each task adds up the moments of all open models over its rows; what travels is a
     few numbers for each component. Starts are rows chosen by hash, so the fit does not depend on partitions.
     """
-    rows = df.select(F.transform(vector, lambda x: x.cast("double")).alias("x")).where("x IS NOT NULL")
+    rows = stored(df.select(F.transform(vector, lambda x: x.cast("double")).alias("x")).where("x IS NOT NULL"), "mixture-rows")  # read once for each pass
     most = max(ks) * starts
     firsts = [np.array(r.x) for r in rows.distinct().orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(most).collect()]
     if not firsts:
@@ -152,17 +155,20 @@ def stability(df: DataFrame, key: str, vector: str, model: Mixture, seeds: tuple
     return out
 
 
-def compare_panels(df: DataFrame, key: str, panels: dict[str, list[str]], ks: list[int], starts: int = 2) -> list[dict]:
-    """Each panel of features scaled, searched and judged: chosen k, least share, mean posterior, stability."""
+def compare_panels(df: DataFrame, key: str, panels: dict[str, list[str]], ks: list[int], starts: int = 2, seeds: tuple[int, ...] = (7, 19, 73)) -> list[dict]:
+    """Each panel of features scaled, searched and judged: chosen k, least share, mean posterior, mean stability over refits from other seeds,
+    and the Euclidean silhouette of its labels."""
     from lumentide.models.prepare import impute_scale
+    from lumentide.operators.metrics import silhouette_exact
 
     out = []
     for name, features in panels.items():
-        d = impute_scale(df.select(key, *features), features).select(key, F.array(*features).alias("x"))
+        d = stored(impute_scale(df.select(key, *features), features).select(key, F.array(*features).alias("x")), "panel")
         model, table = search(d, "x", ks, starts)
         row = next(r for r in table if r["k"] == model.k)
-        mean = assigned(d, "x", model).agg(F.avg("max_posterior")).first()[0]
-        out.append({"panel": name, "k": model.k, "least_share": row["least_share"], "posterior": mean, "stability": float(np.mean(stability(d, key, "x", model, (7,))))})
+        labelled = stored(assigned(d, "x", model).select("x", "component", "max_posterior"), "panel-labels")
+        mean, silhouette = labelled.agg(F.avg("max_posterior")).first()[0], silhouette_exact(labelled, "x", "component").first()[0]
+        out.append({"panel": name, "k": model.k, "least_share": row["least_share"], "posterior": mean, "stability": float(np.mean(stability(d, key, "x", model, seeds))), "silhouette": silhouette})
     return out
 
 

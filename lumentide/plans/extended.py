@@ -139,7 +139,7 @@ def pixel_size(t):
     return t.select("p_partkey", M.pixel_size_um(F.when(k == 0, 'x PhysicalSizeX="0.25"'), F.when(k == 1, 2).when(k == 2, 3), F.col("p_size").cast("double"), F.lit(0.5)).alias("um"))
 
 
-@query("SELECT p_partkey, round(p_size * s, 6) AS width_um, round(p_retailprice * s * s, 6) AS area_um2 FROM (SELECT *, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 3 * 0.25 END AS s FROM part)", "part")
+@query("SELECT p_partkey, round(p_size * s, 6) AS width_um, round(p_retailprice * s * s, 6) AS area_um2 FROM (SELECT *, CASE WHEN p_partkey % 3 > 0 THEN CAST(p_partkey % 3 * 0.25 AS DOUBLE) END AS s FROM part)", "part")
 def micrometre_columns(t):
     d = t.select("p_partkey", F.col("p_size").alias("width_px"), F.col("p_retailprice").alias("area_px2"), (F.col("p_partkey") % 3 * 0.25).alias("s"))
     return M.in_micrometres(d, F.col("s")).drop("s")

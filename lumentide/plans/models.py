@@ -116,6 +116,17 @@ def sobol(labels, docs):
     return sensitivity(scored(points, _quality_trees(d), ["id", "block"]), names, "margin")
 
 
+@query(None, "embeddings")
+def panel_comparison(t):
+    """Two panels of the vectors' first components, searched over two and three clusters."""
+    from lumentide.models.mixtures import compare_panels
+
+    names = [f"e{i}" for i in range(4)]
+    d = t.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)))
+    rows = compare_panels(d, "vec_id", {"all": names, "half": names[:2]}, [2, 3], 1, (7,))
+    return t.sparkSession.createDataFrame([tuple(r.values()) for r in rows], "panel string, k int, least_share double, posterior double, stability double, silhouette double")
+
+
 _V = "SELECT vec_id, label, embedding AS e FROM embeddings"
 
 
