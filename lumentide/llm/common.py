@@ -132,27 +132,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * _MIX)
 _R = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LOW = 1 << 12  # exponents are taken apart into this many low values and the rest, so that tables stay small
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = 1 << max(16, n - 1).bit_length() if n > 65536 else 65536
-        inverse = pow(_R, -1, 1 << 64)
-        for i, base in enumerate((_R, inverse)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _POWERS[i] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS
+def _tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base to the powers 0 to _LOW - 1, and to the multiples of _LOW up to n."""
+    high = np.full(n // _LOW + 1, pow(base, _LOW, 1 << 64), np.uint64)
+    low = np.full(_LOW, base, np.uint64)
+    high[0] = low[0] = 1
+    return np.cumprod(low, dtype=np.uint64), np.cumprod(high, dtype=np.uint64)
+
+
+_INVERSE = pow(_R, -1, 1 << 64)
 
 
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of data[start:end] for each pair: equal for equal bytes wherever they stand."""
     n = len(data)
-    power, inverse = _powers(n + 1)
+    low, high = _tables(_R, n)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * power[:n], dtype=np.uint64, out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * inverse[starts]
+    for i, power in enumerate(high):  # nothing as long as the data is kept but the sums
+        part = data[i * _LOW : (i + 1) * _LOW]
+        np.multiply(_TABLE[part], low[: len(part)], out=prefix[1 + i * _LOW : 1 + i * _LOW + len(part)])
+        prefix[1 + i * _LOW : 1 + i * _LOW + len(part)] *= power
+    np.cumsum(prefix, out=prefix)
+    low, high = _tables(_INVERSE, n)
+    h = (prefix[ends] - prefix[starts]) * (low[starts & (_LOW - 1)] * high[starts >> 12])
     return mix64(h ^ ((ends - starts).astype(np.uint64) * _MIX))
 
 
