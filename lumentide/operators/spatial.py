@@ -13,7 +13,10 @@ TIE = 1e-8
 
 
 def _near_pairs(points: DataFrame, others: DataFrame, side) -> DataFrame:
-    """Pairs (i, j) of one field whose cells touch, with their distance; side is a length or a column of both frames."""
+    """Pairs (i, j) of one field whose cells touch, with their distance; side is a length or a column of both frames.
+
+    The join is merged, as a broadcast of the points would have to fit into the driver, whatever their file's size.
+    """
     side = F.col(side) if isinstance(side, str) else F.lit(side)
     cell = lambda c: F.floor(F.col(c) / side).cast("long")
     a = points.select("field", F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), side.alias("side"), cell("x").alias("cx"), cell("y").alias("cy"))
@@ -21,7 +24,7 @@ def _near_pairs(points: DataFrame, others: DataFrame, side) -> DataFrame:
     a = a.withColumn("s", F.explode(steps)).withColumns({"cx": F.col("cx") + F.col("s.dx"), "cy": F.col("cy") + F.col("s.dy")}).drop("s")
     b = others.select("field", F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), cell("x").alias("cx"), cell("y").alias("cy"))
     dist = F.sqrt(F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2))
-    return a.join(b, ["field", "cx", "cy"]).where("i <> j").select("field", "i", "j", "side", "xi", "yi", "xj", "yj", dist.alias("d"))
+    return a.join(b.hint("merge"), ["field", "cx", "cy"]).where("i <> j").select("field", "i", "j", "side", "xi", "yi", "xj", "yj", dist.alias("d"))
 
 
 def within_radius(points: DataFrame, radius: float) -> DataFrame:
