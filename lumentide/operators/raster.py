@@ -1,4 +1,8 @@
-"""Label images as pixel tables (image_id, row, col, label[, v])."""
+"""Label images as pixel tables (image_id, row, col, label[, v]).
+
+Joins of pixels or labels are merged (hint "merge"): Spark takes rows made by explode for as small as the table they are made of, and
+would send them to the driver and to every executor.
+"""
 
 from __future__ import annotations
 
@@ -30,14 +34,14 @@ def separate_touching(px: DataFrame) -> DataFrame:
     near = px.where("label > 0").select("image_id", F.explode(steps).alias("s"), "row", "col", F.col("label").alias("other")).select("image_id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"), "other")
     span = near.groupBy("image_id", "row", "col").agg(F.min("other").alias("lo"), F.max("other").alias("hi"))
     hit = (F.col("label") > 0) & ((F.col("lo") != F.col("label")) | (F.col("hi") != F.col("label")))
-    return px.join(span, ["image_id", "row", "col"], "left").withColumn("label", F.when(F.coalesce(hit, F.lit(False)), F.lit(0)).otherwise(F.col("label"))).drop("lo", "hi")
+    return px.join(span.hint("merge"), ["image_id", "row", "col"], "left").withColumn("label", F.when(F.coalesce(hit, F.lit(False)), F.lit(0)).otherwise(F.col("label"))).drop("lo", "hi")
 
 
 def boundary(px: DataFrame) -> DataFrame:
     """Pixels that differ from the one below or the one to the right."""
     below = px.select("image_id", (F.col("row") - 1).alias("row"), "col", F.col("label").alias("_d"))
     right = px.select("image_id", "row", (F.col("col") - 1).alias("col"), F.col("label").alias("_r"))
-    j = px.join(below, ["image_id", "row", "col"], "left").join(right, ["image_id", "row", "col"], "left")
+    j = px.join(below.hint("merge"), ["image_id", "row", "col"], "left").join(right.hint("merge"), ["image_id", "row", "col"], "left")
     return j.where((F.col("label") != F.col("_d")) | (F.col("label") != F.col("_r"))).drop("_d", "_r")
 
 
@@ -45,13 +49,13 @@ def relabel(px: DataFrame) -> DataFrame:
     """Labels of each image made 1, 2, ... in order; 0 stays."""
     names = px.where("label > 0").select("image_id", "label").distinct()
     names = names.withColumn("_n", F.row_number().over(Window.partitionBy("image_id").orderBy("label")))
-    return px.join(names, ["image_id", "label"], "left").withColumn("label", F.coalesce("_n", F.lit(0))).drop("_n")
+    return px.join(names.hint("merge"), ["image_id", "label"], "left").withColumn("label", F.coalesce("_n", F.lit(0))).drop("_n")
 
 
 def without_border(px: DataFrame, height: int, width: int) -> DataFrame:
     """Leaves out the labels that reach the image's border."""
     edge = px.where((F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == height - 1) | (F.col("col") == width - 1)).select("image_id", "label").distinct()
-    return px.join(edge, ["image_id", "label"], "left_anti")
+    return px.join(edge.hint("merge"), ["image_id", "label"], "left_anti")
 
 
 def saturation_audit(px: DataFrame, by: str, v: str, top: float, floor: float, area: float) -> DataFrame:
@@ -79,7 +83,7 @@ def border_pixels(px: DataFrame) -> DataFrame:
     """Pixels of labels that have one of their four neighbours outside the label."""
     inner = px.where("label > 0").select("image_id", "label", "row", "col")
     n = _same_neighbours(inner, _FOUR, "_n")
-    return inner.join(n, ["image_id", "label", "row", "col"], "left").where(F.coalesce("_n", F.lit(0)) < 4).drop("_n")
+    return inner.join(n.hint("merge"), ["image_id", "label", "row", "col"], "left").where(F.coalesce("_n", F.lit(0)) < 4).drop("_n")
 
 
 def perimeters(px: DataFrame) -> DataFrame:
@@ -87,7 +91,7 @@ def perimeters(px: DataFrame) -> DataFrame:
     root 2, mixed their mean (a published 4-neighbour estimate)."""
     b = border_pixels(px)
     key = ["image_id", "label", "row", "col"]
-    n = b.join(_same_neighbours(b, _FOUR, "_a"), key, "left").join(_same_neighbours(b, _DIAGONAL, "_d"), key, "left")
+    n = b.join(_same_neighbours(b, _FOUR, "_a").hint("merge"), key, "left").join(_same_neighbours(b, _DIAGONAL, "_d").hint("merge"), key, "left")
     code = 1 + 2 * F.coalesce("_a", F.lit(0)) + 10 * F.coalesce("_d", F.lit(0))
     # The weights of the estimate.
     weight = F.when(code.isin(5, 7, 15, 17, 25, 27), 1.0).when(code.isin(21, 33), F.sqrt(F.lit(2.0))).when(code.isin(13, 23), (1 + F.sqrt(F.lit(2.0))) / 2).otherwise(0.0)
@@ -127,7 +131,7 @@ def hull_areas(px: DataFrame) -> DataFrame:
 
 def shape_properties(px: DataFrame) -> DataFrame:
     """region_properties with perimeter, circularity, equivalent diameter, aspect ratio and solidity."""
-    out = region_properties(px).join(perimeters(px), ["image_id", "label"], "left").join(hull_areas(px), ["image_id", "label"], "left")
+    out = region_properties(px).join(perimeters(px).hint("merge"), ["image_id", "label"], "left").join(hull_areas(px).hint("merge"), ["image_id", "label"], "left")
     area, perimeter = F.col("area"), F.col("perimeter")
     return out.withColumns({"diameter": F.sqrt(4 * area / F.pi()), "circularity": F.when(perimeter > 0, 4 * F.pi() * area / F.pow(F.nullif(perimeter, F.lit(0.0)), 2)), "aspect_ratio": F.when(F.col("minor") > 0, F.col("major") / F.nullif(F.col("minor"), F.lit(0.0))), "solidity": area / F.col("hull_area")})
 
@@ -156,7 +160,7 @@ def solid_properties(vx: DataFrame, spacing: tuple[float, float, float]) -> Data
     cubes = cubes.groupBy(*key, (F.col("z") - F.col("s.z")).alias("z"), (F.col("row") - F.col("s.r")).alias("r"), (F.col("col") - F.col("s.c")).alias("c")).agg(F.sum("s.bit").cast("int").alias("code"))
     areas = F.array(*map(F.lit, cube_areas(dz, dy, dx)))
     surface = cubes.groupBy(*key).agg(F.sum(F.get(areas, F.col("code"))).alias("surface"))
-    out = g.join(section, key).join(surface, key, "left")
+    out = g.join(section.hint("merge"), key).join(surface.hint("merge"), key, "left")
     volume = F.col("n") * dz * dy * dx
     return out.select(*key, volume.alias("volume"), (F.col("_h") * dz).alias("height"), (F.col("_s") * dy * dx).alias("max_section"), (volume / (F.col("_s") * dy * dx)).alias("thickness"), "centroid_z", "centroid_y", "centroid_x", axis(big).alias("axis_1"), axis(3 * q - big - small).alias("axis_2"), axis(small).alias("axis_3"), "surface", (F.pow(F.pi(), 1 / 3) * F.pow(6 * volume, 2 / 3) / F.nullif(F.col("surface"), F.lit(0.0))).alias("sphericity"), F.cbrt(6 * volume / F.pi()).alias("sphere_diameter"))
 
@@ -167,14 +171,14 @@ def sections(vx: DataFrame) -> DataFrame:
     planes = v.groupBy("image_id", "label", "z").agg(F.count("*").alias("area"))
     best = planes.groupBy("image_id", "label").agg(F.max(F.struct("area", -F.col("z"))).alias("s")).select("image_id", "label", (-F.col("s.col2")).alias("z"), F.col("s.area").alias("area"))
     shadow = v.select("image_id", "label", "row", "col").distinct().groupBy("image_id", "label").agg(F.count("*").alias("projection"))
-    return best.join(shadow, ["image_id", "label"])
+    return best.join(shadow.hint("merge"), ["image_id", "label"])
 
 
 def without_faces(vx: DataFrame, depth: int, height: int, width: int) -> DataFrame:
     """Leaves out 3-D labels that reach any face of the stack."""
     at = lambda c, n: (F.col(c) == 0) | (F.col(c) == n - 1)
     edge = vx.where(at("z", depth) | at("row", height) | at("col", width)).select("image_id", "label").distinct()
-    return vx.join(edge, ["image_id", "label"], "left_anti")
+    return vx.join(edge.hint("merge"), ["image_id", "label"], "left_anti")
 
 
 def area_filter(px: DataFrame, um: float, low: float, high: float) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +186,16 @@ def area_filter(px: DataFrame, um: float, low: float, high: float) -> tuple[Data
     area = px.where("label > 0").groupBy("image_id", "label").agg((F.count("*") * um * um).alias("um2")).where(F.col("um2").between(low, high))
     whole = F.percentile("um2", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     stats = area.groupBy("image_id").agg(F.count("*").alias("n"), F.get(whole, F.lit(1)).alias("median"), F.get(whole, F.lit(0)).alias("q25"), F.get(whole, F.lit(2)).alias("q75"))
-    return px.join(area.select("image_id", "label"), ["image_id", "label"], "left_semi"), stats
+    return px.join(area.select("image_id", "label").hint("merge"), ["image_id", "label"], "left_semi"), stats
+
+
+def _nearest(reach: DataFrame, at: list[str], label: str) -> DataFrame:
+    """Of each place the least _d (an int) and, among those, the least label. One long is hashed where a struct would be sorted; label is the labels' type."""
+    if label in ("int", "smallint", "tinyint"):
+        m = reach.groupBy(*at).agg(F.min(F.shiftleft(F.col("_d").cast("long"), 32) + F.col("label")).alias("m"))
+        return m.select(*at, F.shiftright("m", 32).cast("int").alias("_d"), (F.col("m") % F.lit(1 << 32)).cast(label).alias("label"))
+    m = reach.groupBy(*at).agg(F.min(F.struct("_d", "label")).alias("m"))
+    return m.select(*at, F.col("m._d").alias("_d"), F.col("m.label").alias("label"))
 
 
 def expanded(px: DataFrame, distance: int) -> DataFrame:
@@ -196,13 +209,13 @@ def expanded(px: DataFrame, distance: int) -> DataFrame:
     steps = [(a, b) for a in range(-distance, distance + 1) for b in range(-distance, distance + 1) if 0 < a * a + b * b <= distance * distance]
     reach = border_pixels(px).select("image_id", "label", "row", "col", F.explode(_offsets(steps)).alias("s"))
     reach = reach.select("image_id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"), "label", (F.col("s.r") * F.col("s.r") + F.col("s.c") * F.col("s.c")).alias("_d"))
-    near = inner.unionByName(reach).groupBy("image_id", "row", "col").agg(F.min(F.struct("_d", "label")).alias("m")).select("image_id", "row", "col", F.col("m.label").alias("label"))
-    return near.join(px.select("image_id", "row", "col"), ["image_id", "row", "col"], "left_semi")  # inside the image
+    near = _nearest(inner.unionByName(reach), ["image_id", "row", "col"], dict(px.dtypes)["label"]).drop("_d")
+    return near.join(px.select("image_id", "row", "col").hint("merge"), ["image_id", "row", "col"], "left_semi")  # inside the image
 
 
 def ring_labels(px: DataFrame, outer: int, inner: int = 0) -> DataFrame:
     """Pixels of each label's ring: within outer, beyond inner, of no label themselves."""
-    held = expanded(px, inner).select("image_id", "row", "col")
+    held = expanded(px, inner).select("image_id", "row", "col").hint("merge")
     return expanded(px, outer).join(held, ["image_id", "row", "col"], "left_anti")
 
 
@@ -220,7 +233,7 @@ def far_pixels(px: DataFrame, distance: int) -> DataFrame:
     merged = both.groupBy("image_id", "row", "_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_g").alias("m")
     p = px.alias("p")
     on = (F.col("p.image_id") == F.col("m.image_id")) & (F.col("p.row") == F.col("m.row")) & F.col("p.col").between(F.col("m.lo"), F.col("m.hi"))
-    return p.join(merged, on, "left_anti")
+    return p.join(merged.hint("merge"), on, "left_anti")
 
 
 def background(px: DataFrame, distance: int, least: int = 100, share: float = 0.005, floor: float = 1.0) -> DataFrame:
@@ -246,15 +259,15 @@ def marker_ratios(px: DataFrame, outer: int, distance: int, inner: int = 0, satu
     two = lambda n: (F.count("*").alias(f"{n}_px"), F.median("v").alias(f"{n}_median"), F.avg("v").alias(f"{n}_mean"), F.avg((F.col("v") >= saturation).cast("double")).alias(f"{n}_saturated"))
     inside = px.where("label > 0")
     nucleus = inside.groupBy(*key).agg(*two("nuclear"), F.avg(F.col("row").cast("double")).alias("_r"), F.avg(F.col("col").cast("double")).alias("_c"))
-    ring = ring_labels(px, outer, inner).join(px.select("image_id", "row", "col", "v"), ["image_id", "row", "col"])
+    ring = ring_labels(px, outer, inner).join(px.select("image_id", "row", "col", "v").hint("merge"), ["image_id", "row", "col"])
     bg = stored(background(px, distance, background_least), "backgrounds")
     around = ring.groupBy(*key).agg(*two("ring"))
-    at = ring.join(nucleus.select(*key, "_r", "_c"), key).join(bg.select("image_id", "background", "noise"), "image_id")
+    at = ring.join(nucleus.select(*key, "_r", "_c").hint("merge"), key).join(bg.select("image_id", "background", "noise"), "image_id")
     sector = F.least(F.lit(sectors - 1), F.floor((F.atan2(F.col("row") - F.col("_r"), F.col("col") - F.col("_c")) + F.pi()) / (2 * F.pi()) * sectors).cast("int"))
     above = (F.col("v") > F.col("background") + snr * F.col("noise")).cast("double")
     by_sector = at.groupBy(*key, sector.alias("sector")).agg(F.count("*").alias("n"), F.sum(above).alias("above"))
     support = by_sector.groupBy(*key).agg(F.count_if((F.col("n") >= 3) & (F.col("above") >= 0.5 * F.col("n"))).alias("supported_sectors"), (F.sum("above") / F.sum("n")).alias("signal_fraction"))
-    j = nucleus.drop("_r", "_c").join(around, key, "left").join(support, key, "left").join(bg.drop("pixels"), "image_id", "left")
+    j = nucleus.drop("_r", "_c").join(around.hint("merge"), key, "left").join(support.hint("merge"), key, "left").join(bg.drop("pixels"), "image_id", "left")
     positive = lambda a, b: F.when((a > 0) & (b > 0), a / F.nullif(b, F.lit(0.0)))
     n, r, b = F.col("nuclear_median"), F.col("ring_median"), F.col("background")
     sampled = F.coalesce(F.col("ring_px"), F.lit(0)) >= least_pixels
@@ -289,11 +302,11 @@ def local_fraction(px: DataFrame, points: DataFrame, radius: int) -> DataFrame:
     sums = px.select("image_id", "row", "col", F.sum((F.col("label") > 0).cast("long")).over(w).alias("s"))
     width = px.groupBy("image_id", "row").agg(F.min("col").alias("first"), F.max("col").alias("end"))
     p = points.select("image_id", "id", F.explode(rows).alias("s"), "row", "col").select("image_id", "id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") - F.col("s.w") - 1).alias("a"), (F.col("col") + F.col("s.w")).alias("b"))
-    p = p.join(width, ["image_id", "row"]).withColumn("b", F.least("b", "end"))
-    end = p.join(sums.select("image_id", "row", F.col("col").alias("b"), F.col("s").alias("sb")), ["image_id", "row", "b"], "left").join(sums.select("image_id", "row", F.col("col").alias("a"), F.col("s").alias("sa")), ["image_id", "row", "a"], "left")
+    p = p.join(width.hint("merge"), ["image_id", "row"]).withColumn("b", F.least("b", "end"))
+    end = p.join(sums.select("image_id", "row", F.col("col").alias("b"), F.col("s").alias("sb")).hint("merge"), ["image_id", "row", "b"], "left").join(sums.select("image_id", "row", F.col("col").alias("a"), F.col("s").alias("sa")).hint("merge"), ["image_id", "row", "a"], "left")
     disc = sum(2 * isqrt(radius * radius - d * d) + 1 for d in range(-radius, radius + 1))
     inside = end.groupBy("image_id", "id").agg(F.sum(F.coalesce("sb", F.lit(0)) - F.coalesce("sa", F.lit(0))).alias("n"))
-    return points.select("image_id", "id").join(inside, ["image_id", "id"], "left").select("image_id", "id", (F.coalesce("n", F.lit(0)) / F.lit(float(disc))).alias("fraction"))
+    return points.select("image_id", "id").join(inside.hint("merge"), ["image_id", "id"], "left").select("image_id", "id", (F.coalesce("n", F.lit(0)) / F.lit(float(disc))).alias("fraction"))
 
 
 def shell(vx: DataFrame, spacing: tuple[float, float, float], near: float, far: float) -> DataFrame:
@@ -301,12 +314,13 @@ def shell(vx: DataFrame, spacing: tuple[float, float, float], near: float, far:
     dz, dy, dx = spacing
     reach = [int(far / s + 1e-9) for s in spacing]
     steps = [(a, b, c, (a * dz) ** 2 + (b * dy) ** 2 + (c * dx) ** 2) for a in range(-reach[0], reach[0] + 1) for b in range(-reach[1], reach[1] + 1) for c in range(-reach[2], reach[2] + 1)]
-    moves = F.array(*(F.struct(F.lit(a).alias("z"), F.lit(b).alias("r"), F.lit(c).alias("c"), F.lit(d).alias("d")) for a, b, c, d in steps if 0 < d <= far * far + 1e-9))
+    lengths = sorted({d for *_, d in steps if 0 < d <= far * far + 1e-9})
+    moves = F.array(*(F.struct(F.lit(a).alias("z"), F.lit(b).alias("r"), F.lit(c).alias("c"), F.lit(lengths.index(d)).alias("d")) for a, b, c, d in steps if 0 < d <= far * far + 1e-9))
     out = vx.where("label > 0").select("image_id", "label", F.explode(moves).alias("s"), "z", "row", "col")
-    out = out.select("image_id", (F.col("z") + F.col("s.z")).alias("z"), (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"), "label", F.col("s.d").alias("d"))
-    nearest = out.groupBy("image_id", "z", "row", "col").agg(F.min(F.struct("d", "label")).alias("m")).where(F.col("m.d") >= near * near - 1e-9)
+    out = out.select("image_id", (F.col("z") + F.col("s.z")).alias("z"), (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"), "label", F.col("s.d").alias("_d"))
+    nearest = _nearest(out, ["image_id", "z", "row", "col"], dict(vx.dtypes)["label"]).where(F.col("_d") >= sum(d < near * near - 1e-9 for d in lengths))
     empty = vx.where("label = 0").select("image_id", "z", "row", "col", "v")
-    return empty.join(nearest, ["image_id", "z", "row", "col"]).select("image_id", "z", "row", "col", "v", F.col("m.label").alias("label"))
+    return empty.join(nearest.hint("merge"), ["image_id", "z", "row", "col"]).select("image_id", "z", "row", "col", "v", "label")
 
 
 def phenotype_mask(px: DataFrame, cells: DataFrame, height: int, width: int, buffer: int = 0) -> DataFrame:

@@ -14,6 +14,8 @@ from lumentide.plans.catalogue import query
 #: Pixels of a block's side, and blocks beside each other.
 _BLOCK, _ACROSS = 16, 4
 _WIDTH = _BLOCK * _ACROSS
+#: Suppliers whose pixels a task makes.
+_A_TASK = 500
 _BASE = f"SELECT s_suppkey AS k, s_nationkey AS nation, CAST(floor(abs(s_acctbal)) AS BIGINT) % 5 AS more, CAST(s_suppkey // {_ACROSS} * {_BLOCK} + i // {_BLOCK} AS INTEGER) AS row, CAST(s_suppkey % {_ACROSS} * {_BLOCK} + i % {_BLOCK} AS INTEGER) AS col FROM supplier, (SELECT range AS i FROM range({_BLOCK * _BLOCK}))"
 _DISC = "power(row % 16 - CASE WHEN row < 16 AND col < 16 THEN 2 ELSE 8 END, 2) + power(col % 16 - 8, 2)"
 _IMG = f"SELECT 'f' AS image_id, row, col, CAST(CASE WHEN {_DISC} <= power(3 + nation % 3, 2) THEN k + 1 ELSE 0 END AS INTEGER) AS label, CAST((row * 7 + col * 13) % 50 + more + CASE WHEN {_DISC} <= power(3 + nation % 3, 2) THEN 100 ELSE 20 END AS DOUBLE) AS v, CAST((row * 3 + col) % 17 AS DOUBLE) AS v2 FROM ({_BASE})"
@@ -21,6 +23,7 @@ _IMG = f"SELECT 'f' AS image_id, row, col, CAST(CASE WHEN {_DISC} <= power(3 + n
 
 def _blocks(t: DataFrame) -> DataFrame:
     """Each supplier's pixels: k, nation, more, row, col and the squared distance from its disc's middle."""
+    t = t.repartition(max(1, -(-t.count() // _A_TASK)), "s_suppkey")  # else the tasks are as few as the small table's files
     t = t.select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("nation"), (F.floor(F.abs("s_acctbal")) % 5).alias("more"), F.explode(F.sequence(F.lit(0), F.lit(_BLOCK * _BLOCK - 1))).alias("i"))
     row, col = F.expr(f"k div {_ACROSS} * {_BLOCK} + i div {_BLOCK}").cast("int"), (F.col("k") % _ACROSS * _BLOCK + F.col("i") % _BLOCK).cast("int")
     t = t.select("k", "nation", "more", row.alias("row"), col.alias("col"))
