@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumentide.functions.measures import log2_ratio
 from lumentide.operators.summaries import average_rank, pearson
-from lumentide.operators.tables import stored
+from lumentide.operators.tables import dealt, stored
 
 
 def quartiles(x: Column | str) -> tuple[Column, Column, Column]:
@@ -96,7 +96,7 @@ def gain_summary(gains: DataFrame, by: list[str], value: str = "gain") -> DataFr
 
 def residual_spearman(df: DataFrame, by: str, x: str, y: str, least: int = 10) -> DataFrame:
     """Spearman's rho of what is left of x and y after their group's medians, per group of at least `least` rows."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = dealt(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, x, y), by)
     m = d.groupBy(by).agg(F.median(x).alias("_mx"), F.median(y).alias("_my"), F.count("*").alias("_n")).where(F.col("_n") >= least)
     d = d.join(stored(m, "medians"), by).select(by, (F.col(x) - F.col("_mx")).alias("rx"), (F.col(y) - F.col("_my")).alias("ry"))
     d = d.withColumn("ax", average_rank("rx", by)).withColumn("ay", average_rank("ry", by))

@@ -10,6 +10,7 @@ from lumentide.operators import joins as J
 from lumentide.operators import pairing as A
 from lumentide.operators import quality as Q
 from lumentide.operators import summaries as S
+from lumentide.operators.tables import dealt
 from lumentide.operators.tables import stored
 from lumentide.plans.catalogue import _FEATURES, _PIX, R, _pixels, query
 
@@ -457,6 +458,7 @@ def preview_topk(t):
 def rank_pooling(t):
     from pyspark.sql import Window
 
+    t = dealt(t.select("l_suppkey", "l_quantity", "l_tax"), "l_suppkey")
     n = F.count("*").over(Window.partitionBy("l_suppkey"))
     r = t.select((S.average_rank("l_quantity", "l_suppkey") / n).alias("a"), (S.average_rank("l_tax", "l_suppkey") / n).alias("b"))
     return r.groupBy(F.least(F.floor(F.col("a") * 10), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg("b").alias("b"))
