@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumentide.functions.measures import finite
+from lumentide.operators.quantiles import exact_quantiles
 
 
 def impute_scale(df: DataFrame, features: list[str], low: float = 0.25, high: float = 0.75, fit_on: DataFrame | None = None) -> DataFrame:
@@ -17,12 +18,11 @@ def impute_scale(df: DataFrame, features: list[str], low: float = 0.25, high: fl
     The statistics are one row; fit_on (default: df) are the rows they are taken of.
     """
     fit = df if fit_on is None else fit_on
-    probs = F.array(F.lit(low), F.lit(0.5), F.lit(high))
     # quantiles after imputation: the median stands for the missing, which moves the others
-    medians = fit.agg(*(F.median(finite(F.col(f))).alias(f"_m_{f}") for f in features))
+    medians = exact_quantiles(fit, [], {f"_m_{f}": finite(F.col(f)) for f in features}, (0.5,)).select(*(F.col(f"_m_{f}")[0].alias(f"_m_{f}") for f in features))
     filled = fit.crossJoin(F.broadcast(medians))
     value = lambda f: F.coalesce(finite(F.col(f)), F.col(f"_m_{f}"))
-    stats = filled.agg(*(F.percentile(value(f), probs).alias(f"_q_{f}") for f in features)).crossJoin(medians)
+    stats = exact_quantiles(filled, [], {f"_q_{f}": value(f) for f in features}, (low, 0.5, high)).select(*(f"_q_{f}" for f in features)).crossJoin(medians)
     out = df.crossJoin(F.broadcast(stats))
     scale = lambda f: F.when(F.col(f"_q_{f}")[2] > F.col(f"_q_{f}")[0], F.col(f"_q_{f}")[2] - F.col(f"_q_{f}")[0]).otherwise(1.0)
     out = out.withColumns({f: (value(f) - F.col(f"_q_{f}")[1]) / scale(f) for f in features})
