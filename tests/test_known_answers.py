@@ -145,6 +145,23 @@ def test_step_threshold_known_answer(spark):
     assert [r.high for r in sorted((r for r in got if r.g == "a"), key=lambda r: r.k)] == [False] * 4 + [True] * 4 and all(r.threshold is None for r in got if r.g == "b")
 
 
+def test_step_threshold_by_bounds_equals_the_search(monkeypatch):
+    rng, sure = np.random.default_rng(11), 0
+    for i in range(30):
+        v = [rng.normal(size=60), rng.lognormal(size=45), rng.random(50), np.round(20 * rng.normal(size=80)), np.append(rng.normal(size=40), rng.normal(9, 1, 20))][i % 5]
+        x, w = np.unique(v, return_counts=True)
+        most, ranks = min(len(v) - 2, len(x) - 1), ((len(v) - 3) // 2, (len(v) - 2) // 2)
+        votes = thresholds._all_votes(x, w.astype(float), most)
+        want = np.sort(np.append(votes, np.repeat(votes[-1], len(v) - 2 - most)))[list(ranks)].tolist()
+        got = thresholds._sure_middles(x, w.astype(float), most, ranks)
+        sure += got is not None
+        assert got in (None, want)
+    assert sure > 10
+    monkeypatch.setattr(thresholds, "_all_votes", None)  # many values are not searched: the time would go by their square
+    big = rng.normal(size=30000)
+    assert np.min(np.abs(np.sort(big) - thresholds.step_threshold(big))) > 0
+
+
 def test_mixture_of_two_clouds(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 1, (120, 2)), rng.normal(8, 1, (60, 2))])
