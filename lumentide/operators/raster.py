@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumentide.functions.cubes import CORNERS, cube_areas
-from lumentide.operators.tables import stored
+from lumentide.operators.tables import dealt, parts, stored
+
+#: Rows of an image that lie in one band.
+_BAND = 64
 
 
 def region_properties(px: DataFrame) -> DataFrame:
@@ -73,29 +76,45 @@ def _offsets(steps: list[tuple[int, int]]):
 _FOUR, _DIAGONAL = [(-1, 0), (1, 0), (0, -1), (0, 1)], [(-1, -1), (-1, 1), (1, -1), (1, 1)]
 
 
-def _same_neighbours(px: DataFrame, steps: list[tuple[int, int]], name: str) -> DataFrame:
-    """How many of each pixel's neighbours at some steps carry the same label, by one equi-join of shifted pixels."""
-    shifted = px.select("image_id", "label", F.explode(_offsets(steps)).alias("s"), "row", "col").select("image_id", "label", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
-    return shifted.groupBy("image_id", "label", "row", "col").agg(F.count("*").alias(name))
+def _banded(px: DataFrame, halo: int, copies: int) -> DataFrame:
+    """Pixels with each band of rows in which, or within `halo` rows of which, they lie, dealt out by label and band.
+
+    What is grouped by _k, label, band and more stays in its task, and no label goes through one task however high it is. _k, a hash of image, label
+    and band, is what is dealt by: Spark deals again where it finds that the image's name is the same everywhere.
+    """
+    bands = F.array_distinct(F.array(*(F.floor((F.col("row") + d) / _BAND).cast("int") for d in (-halo, 0, halo))))
+    px = px.withColumn("band", F.explode(bands))
+    return dealt(px.withColumn("_k", F.xxhash64("image_id", "label", "band")), "_k", copies=copies)
+
+
+def _at_home(px: DataFrame) -> DataFrame:
+    return px.where(F.floor(F.col("row") / _BAND) == F.col("band"))
+
+
+def _counted_neighbours(px: DataFrame, *kinds: list[tuple[int, int]]) -> DataFrame:
+    """The pixels of a banded table with _n0, _n1, ...: how many of their neighbours at each kind of steps carry the same label."""
+    steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(k).alias("k")) for k, some in enumerate([[(0, 0)], *kinds]) for r, c in some))
+    key = ["_k", "image_id", "label", "band"]
+    shifted = px.select(*key, F.explode(steps).alias("s"), "row", "col").select(*key, (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"), F.col("s.k").alias("k"))
+    n = shifted.groupBy(*key, "row", "col").agg(F.max(F.col("k") == 0).alias("own"), *(F.count_if(F.col("k") == i + 1).alias(f"_n{i}") for i in range(len(kinds))))
+    return n.where("own").drop("own")
 
 
 def border_pixels(px: DataFrame) -> DataFrame:
     """Pixels of labels that have one of their four neighbours outside the label."""
-    inner = px.where("label > 0").select("image_id", "label", "row", "col")
-    n = _same_neighbours(inner, _FOUR, "_n")
-    return inner.join(n.hint("merge"), ["image_id", "label", "row", "col"], "left").where(F.coalesce("_n", F.lit(0)) < 4).drop("_n")
+    inner = _banded(px.where("label > 0").select("image_id", "label", "row", "col"), 1, 5)
+    return _at_home(_counted_neighbours(inner, _FOUR).where("_n0 < 4")).select("image_id", "label", "row", "col")
 
 
 def perimeters(px: DataFrame) -> DataFrame:
     """Perimeter of each label from its border pixels, each weighted by how its border neighbours stand: straight 1, diagonal
     root 2, mixed their mean (a published 4-neighbour estimate)."""
-    b = border_pixels(px)
-    key = ["image_id", "label", "row", "col"]
-    n = b.join(_same_neighbours(b, _FOUR, "_a").hint("merge"), key, "left").join(_same_neighbours(b, _DIAGONAL, "_d").hint("merge"), key, "left")
-    code = 1 + 2 * F.coalesce("_a", F.lit(0)) + 10 * F.coalesce("_d", F.lit(0))
+    inner = _banded(px.where("label > 0").select("image_id", "label", "row", "col"), 2, 5)
+    b = _counted_neighbours(inner, _FOUR).where("_n0 < 4").drop("_n0")
+    code = 1 + 2 * F.col("_n0") + 10 * F.col("_n1")
     # The weights of the estimate.
     weight = F.when(code.isin(5, 7, 15, 17, 25, 27), 1.0).when(code.isin(21, 33), F.sqrt(F.lit(2.0))).when(code.isin(13, 23), (1 + F.sqrt(F.lit(2.0))) / 2).otherwise(0.0)
-    return n.groupBy("image_id", "label").agg(F.sum(weight).alias("perimeter"))
+    return _at_home(_counted_neighbours(b, _FOUR, _DIAGONAL)).groupBy("image_id", "label").agg(F.sum(weight).alias("perimeter"))
 
 
 def hull_areas(px: DataFrame) -> DataFrame:
@@ -156,8 +175,10 @@ def solid_properties(vx: DataFrame, spacing: tuple[float, float, float]) -> Data
     axis = lambda w: 4 * F.sqrt(F.greatest(w, F.lit(0.0)))
     # cubes of 2 x 2 x 2 voxels: each voxel is a corner of eight
     corners = F.array(*(F.struct(F.lit(c[0]).alias("z"), F.lit(c[1]).alias("r"), F.lit(c[2]).alias("c"), F.lit(1 << i).alias("bit")) for i, c in enumerate(CORNERS)))
-    cubes = v.select(*key, "z", "row", "col").distinct().select(*key, F.explode(corners).alias("s"), "z", "row", "col")
-    cubes = cubes.groupBy(*key, (F.col("z") - F.col("s.z")).alias("z"), (F.col("row") - F.col("s.r")).alias("r"), (F.col("col") - F.col("s.c")).alias("c")).agg(F.sum("s.bit").cast("int").alias("code"))
+    # and a cube begins in its voxel's row or the one above; each is made in the band that it begins in
+    near = _banded(v.select(*key, "z", "row", "col"), 1, 8).select("_k", *key, "band", "z", "row", "col").distinct()
+    cubes = near.select("_k", *key, "band", F.explode(corners).alias("s"), "z", "row", "col").withColumn("row", F.col("row") - F.col("s.r"))
+    cubes = _at_home(cubes).groupBy("_k", *key, "band", (F.col("z") - F.col("s.z")).alias("z"), "row", (F.col("col") - F.col("s.c")).alias("c")).agg(F.sum("s.bit").cast("int").alias("code"))
     areas = F.array(*map(F.lit, cube_areas(dz, dy, dx)))
     surface = cubes.groupBy(*key).agg(F.sum(F.get(areas, F.col("code"))).alias("surface"))
     out = g.join(section.hint("merge"), key).join(surface.hint("merge"), key, "left")
@@ -220,29 +241,25 @@ def ring_labels(px: DataFrame, outer: int, inner: int = 0) -> DataFrame:
 
 
 def far_pixels(px: DataFrame, distance: int) -> DataFrame:
-    """Pixels farther than `distance` from every label, by merged row intervals: each border pixel covers one interval in each row around."""
+    """Pixels farther than `distance` from every label: each border pixel covers one interval in each row around, and along a row the farthest end of
+    those that have begun tells whether a pixel is covered."""
     from math import isqrt
 
     spans = F.array(*(F.struct(F.lit(d).alias("r"), F.lit(isqrt(distance * distance - d * d)).alias("w")) for d in range(-distance, distance + 1)))
-    cover = px.where("label > 0").groupBy("image_id", "row", "col").agg(F.lit(1)).select("image_id", "row", "col")
-    inner = cover.select("image_id", "row", F.col("col").alias("lo"), F.col("col").alias("hi"))
-    reach = border_pixels(px).select("image_id", F.explode(spans).alias("s"), "row", "col").select("image_id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") - F.col("s.w")).alias("lo"), (F.col("col") + F.col("s.w")).alias("hi"))
-    w = Window.partitionBy("image_id", "row").orderBy("lo", "hi")
-    both = inner.unionByName(reach).distinct().withColumn("_e", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    both = both.withColumn("_g", F.sum(F.when(F.col("lo") <= F.col("_e") + 1, 0).otherwise(1)).over(w))
-    merged = both.groupBy("image_id", "row", "_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_g").alias("m")
-    p = px.alias("p")
-    on = (F.col("p.image_id") == F.col("m.image_id")) & (F.col("p.row") == F.col("m.row")) & F.col("p.col").between(F.col("m.lo"), F.col("m.hi"))
-    return p.join(merged.hint("merge"), on, "left_anti")
+    reach = border_pixels(px).select("image_id", F.explode(spans).alias("s"), "row", "col")
+    reach = reach.select("image_id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") - F.col("s.w")).alias("_lo"), (F.col("col") + F.col("s.w")).alias("_hi"))
+    free = px.where(~F.coalesce(F.col("label") > 0, F.lit(False))).withColumn("_lo", F.col("col"))
+    both = free.unionByName(reach, allowMissingColumns=True).withColumn("_k", F.xxhash64("image_id", "row")).repartition(parts(px), "_k")
+    both = both.withColumn("_e", F.max("_hi").over(Window.partitionBy("_k", "image_id", "row").orderBy("_lo")))
+    return both.where(F.col("_hi").isNull() & (F.col("_e").isNull() | (F.col("_e") < F.col("col")))).select(*px.columns)
 
 
 def background(px: DataFrame, distance: int, least: int = 100, share: float = 0.005, floor: float = 1.0) -> DataFrame:
     """Median and noise (1.4826 MAD, at least floor) of the pixels far from all labels, of each image; null if there are too few."""
     size = px.groupBy("image_id").agg(F.count("*").alias("size"))
-    far = far_pixels(px, distance).select("image_id", "v")
-    m = far.groupBy("image_id").agg(F.count("*").alias("pixels"), F.median("v").alias("bg"))
-    m = stored(m, "background-medians")
-    mad = far.join(m, "image_id").groupBy("image_id").agg(F.median(F.abs(F.col("v") - F.col("bg"))).alias("mad"))
+    far = stored(far_pixels(px, distance).groupBy("image_id", "v").agg(F.count("*").alias("n")), "background-values")
+    m = stored(far.groupBy("image_id").agg(F.sum("n").alias("pixels"), F.percentile("v", 0.5, F.col("n")).alias("bg")), "background-medians")
+    mad = far.join(m, "image_id").groupBy("image_id").agg(F.percentile(F.abs(F.col("v") - F.col("bg")), 0.5, F.col("n")).alias("mad"))
     j = size.join(m, "image_id", "left").join(mad, "image_id", "left").withColumn("pixels", F.coalesce("pixels", F.lit(0)).cast("long"))
     ok = F.col("pixels") >= F.greatest(F.lit(least), F.ceil(share * F.col("size")))
     return j.select("image_id", "pixels", ok.alias("adequate"), F.when(ok, F.col("bg")).alias("background"), F.when(ok, F.greatest(F.lit(floor), 1.4826 * F.col("mad"))).alias("noise"))

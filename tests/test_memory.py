@@ -54,3 +54,17 @@ def test_ranks_are_dealt_out_by_number_of_rows(spark, sf_dir, name, monkeypatch)
     monkeypatch.setattr(tables, "ROWS_A_TASK", 500)
     text = queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert int(re.search(r"RepartitionByExpression \[[^]]*\], (\d+)", text)[1]) > 10
+
+
+def test_pixels_stay_where_they_are_dealt_to(spark, monkeypatch):
+    """Spark dealt them again into as few parts as fit its cores, the name of the image being the same everywhere."""
+    from lumentide.operators import raster, tables
+    from lumentide.plans import rasters
+
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 2000)
+    suppliers = spark.range(300).selectExpr("id AS s_suppkey", "id % 25 AS s_nationkey", "CAST(id AS double) AS s_acctbal")
+    px, vx = rasters._image(suppliers), rasters._voxels(suppliers)
+    for df, most in ((raster.border_pixels(px), 0), (raster.perimeters(px), 1), (raster.far_pixels(px, 5), 0), (raster.solid_properties(vx, (0.5, 0.2, 0.2)).select("surface"), 6)):
+        text = plan(df)
+        assert text.count("ENSURE_REQUIREMENTS") <= most and "REPARTITION_BY_NUM" in text
+        assert not re.search(r"hashpartitioning\([^)]*row#\d+[^)]*\), ENSURE", text)
