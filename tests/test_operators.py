@@ -55,3 +55,22 @@ def test_labels_and_rounding(spark):
     df = spark.createDataFrame([(0.995,), (0.90,), (0.95,)], "p double")
     assert [r[0] for r in df.select(M.three_way(F.col("p"))).collect()] == ["cluster2", "cluster1", "uncertain"]
     assert [r[0] for r in df.select(M.safe_div(F.col("p"), F.lit(-1.0))).collect()] == [None] * 3
+
+
+def test_exact_silhouette_of_near_points_and_many_slices(spark):
+    import numpy as np
+
+    from lumentide.operators import metrics
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 3)) + 1e3
+    x = np.concatenate([x, x[:20] + 1e-7])
+    label = np.arange(110) % 4
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    sums = np.stack([d[:, label == c].sum(1) for c in range(4)], 1)
+    n = np.bincount(label)
+    a = sums[np.arange(110), label] / (n[label] - 1)
+    b = np.where(np.arange(4)[None] == label[:, None], np.inf, sums / n).min(1)
+    df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, label, strict=True)], "x array<double>, c int")
+    for block in (30, 4096):
+        assert abs(metrics.silhouette_exact(df, "x", "c", block).first()[0] - ((b - a) / np.maximum(a, b)).mean()) < 1e-6
