@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 
 
 def shifted_or(mask: np.ndarray, radius: int) -> np.ndarray:
-    """Dilation by a disc."""
+    """Dilation by a disc, of one image or of each in a stack (the last two axes are rows and columns)."""
     out = mask.copy()
+    high, flat = mask.shape[-2], ((0, 0),) * (mask.ndim - 1)
     for dy in range(-radius, radius + 1):
         w = int((radius * radius - dy * dy) ** 0.5)
         row = np.zeros_like(mask)
-        a, b = max(0, dy), mask.shape[0] + min(0, dy)
-        row[a:b] = mask[a - dy : b - dy]
-        c = np.cumsum(np.pad(row.astype(np.int32), ((0, 0), (w + 1, w))), axis=1)
-        out |= c[:, 2 * w + 1 :] - c[:, : -2 * w - 1] > 0
+        a, b = max(0, dy), high + min(0, dy)
+        row[..., a:b, :] = mask[..., a - dy : b - dy, :]
+        c = np.cumsum(np.pad(row, (*flat, (w + 1, w))), axis=-1, dtype=np.int32)
+        out |= c[..., 2 * w + 1 :] > c[..., : -2 * w - 1]
     return out
 
 
@@ -25,55 +26,60 @@ def eroded(mask: np.ndarray, radius: int) -> np.ndarray:
     return ~shifted_or(~mask, radius)
 
 
+def least_linked(many: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each of the nodes 0 to many - 1 reaches by the edges a - b.
+
+    Each round hangs every root on the least root beside it, then every node on its root.
+    """
+    root = np.arange(many)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def components(mask: np.ndarray, eight: bool = False) -> np.ndarray:
-    """4-connected (or 8-connected) components, numbered from 1, by runs joined row by row."""
-    out, parent = np.zeros(mask.shape, np.int64), [0]
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    before: list[tuple[int, int, int]] = []
-    for y in range(mask.shape[0]):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask[y].view(np.int8), [0]])))
-        runs = []
-        for a, b in zip(edge[::2], edge[1::2], strict=True):
-            found = {root(i) for s, e, i in before if s < b + eight and a < e + eight}
-            i = min(found) if found else len(parent)
-            if not found:
-                parent.append(i)
-            for j in found:
-                parent[j] = i
-            out[y, a:b] = i
-            runs.append((a, b, i))
-        before = runs
-    flat = np.array([root(i) for i in range(len(parent))])
-    return np.unique(flat, return_inverse=True)[1][out]  # 0 is among them, whether or not the image has a pixel of it
+    """4-connected (or 8-connected) components, numbered from 1 by their first pixels in row order, by runs that touch those of the row above."""
+    wide = mask.shape[1] + 1  # an empty column ends the runs of each row
+    cells = np.pad(mask, ((0, 0), (0, 1))).ravel()
+    edge = np.flatnonzero(np.diff(cells.view(np.int8), prepend=np.int8(0)))
+    start, end = edge[::2], edge[1::2]
+    low = np.searchsorted(end, start - wide - eight, side="right")
+    many = np.maximum(np.searchsorted(start, end - wide + eight, side="left") - low, 0)
+    run = np.repeat(np.arange(len(start)), many)
+    above = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many) + low[run]
+    number = np.unique(least_linked(len(start), above, run), return_inverse=True)[1] + 1
+    out = np.zeros(len(cells), np.int64)
+    out[cells] = np.repeat(number, end - start)
+    return out.reshape(len(mask), wide)[:, :-1]
 
 
 def thinned(mask: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """Peels pixels off a mask in two alternating phases until lines are left (or some rounds only); what lies outside is empty.
+    """Peels pixels off a mask, or off each in a stack, in two alternating phases until lines are left (or some rounds only); what lies outside is empty.
 
     A pixel goes if it has two to six neighbours in one unbroken arc, and, by the phase, an empty neighbour to the south and east or to the north and
     west (a published parallel thinning).
     """
-    grid = np.pad(mask.astype(bool), 1)
+    grid = np.pad(mask.astype(bool), (*((0, 0),) * (mask.ndim - 2), (1, 1), (1, 1)))
     done = 0
     while rounds is None or done < rounds:
         before = grid.copy()
         for phase in (0, 1):
-            n, e, s, w = grid[:-2, 1:-1], grid[1:-1, 2:], grid[2:, 1:-1], grid[1:-1, :-2]
-            around = [n, grid[:-2, 2:], e, grid[2:, 2:], s, grid[2:, :-2], w, grid[:-2, :-2]]
+            n, e, s, w = grid[..., :-2, 1:-1], grid[..., 1:-1, 2:], grid[..., 2:, 1:-1], grid[..., 1:-1, :-2]
+            around = [n, grid[..., :-2, 2:], e, grid[..., 2:, 2:], s, grid[..., 2:, :-2], w, grid[..., :-2, :-2]]
             many = sum(x.astype(np.int8) for x in around)
             arcs = sum((~a & b).astype(np.int8) for a, b in zip(around, [*around[1:], around[0]], strict=True))
             free = ~(n & e & s) & ~(e & s & w) if phase == 0 else ~(n & e & w) & ~(n & s & w)
-            grid[1:-1, 1:-1] &= ~((many >= 2) & (many <= 6) & (arcs == 1) & free)
+            grid[..., 1:-1, 1:-1] &= ~((many >= 2) & (many <= 6) & (arcs == 1) & free)
         done += 1
         if (grid == before).all():
             break
-    return grid[1:-1, 1:-1]
+    return grid[..., 1:-1, 1:-1]
 
 
 def distance(mask: np.ndarray) -> np.ndarray:

@@ -1,31 +1,54 @@
 """Operations on whole images of any size, cut into tiles: components, colony regions, exact distances.
 
-Images are pixel tables (image_id, row, col, ...). A task has a tile, with a halo where an operation looks around it; what
-crosses tiles is joined afterwards, so no image is in one task.
+Images are pixel tables (image_id, row, col, ...). A call has a tile, with a halo where an operation looks around it, or, where
+tiles are small, a stack of them that are near each other; what crosses tiles is joined afterwards, so no image is in one task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .morphology import components, eroded, shifted_or, thinned
-from .tables import stored
+from .morphology import components, eroded, least_linked, shifted_or, thinned
+from .tables import ROWS_A_TASK, parts, stored
 
 #: Pixels of a tile's side.
 TILE = 256
 #: Columns or rows of an image that a task has at a time for distances.
 STRIPE = 32
+#: Tiles of the side of a block whose links are followed in one call.
+BLOCK = 64
 _KEY = ["image_id", "row", "col"]
 
 
-def linked(edges: DataFrame) -> DataFrame:
-    """(image_id, node, comp) of all nodes of edges (image_id, a, b): comp is the least node reachable.
+def linked(edges: DataFrame, side: int = BLOCK * TILE) -> DataFrame:
+    """(image_id, node, comp) of all nodes of edges (image_id, a, b): comp is the least node reachable. Nodes are row * 2^31 + col.
 
-    Each round takes the least label among a node's neighbours, then that label's label, so paths shrink by more than half.
+    The edges that begin in a block of side x side pixels are followed in one call; what is left are links between the least nodes of those
+    trees that share a node, of which there are few, as trees are near each other.
     """
+    kind = dict(edges.dtypes)["image_id"]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        node, at = np.unique(frame[["a", "b"]].to_numpy(), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "node": node, "root": node[least_linked(len(node), a, b)]})
+
+    block = [F.floor(F.shiftright("a", 31) / side), F.floor(F.col("a").bitwiseAND((1 << 31) - 1) / side)]
+    trees = edges.groupBy("image_id", *block).applyInPandas(run, f"image_id {kind}, node long, root long")
+    trees = stored(trees.withColumn("least", F.min("root").over(Window.partitionBy("image_id", "node"))), "trees")
+    between = stored(trees.where("root <> least").select("image_id", F.col("least").alias("a"), F.col("root").alias("b")).distinct(), "links")
+    own = trees.select("image_id", "node", F.col("least").alias("root")).distinct()
+    if between.isEmpty():
+        return own.withColumnRenamed("root", "comp")
+    far = _linked_in_rounds(between).withColumnRenamed("node", "root")
+    return own.join(far, ["image_id", "root"], "left").select("image_id", "node", F.coalesce("comp", "root").alias("comp"))
+
+
+def _linked_in_rounds(edges: DataFrame) -> DataFrame:
+    """As linked. Each round takes the least label among a node's neighbours, then that label's label, so paths shrink by more than half."""
     both = stored(edges.select("image_id", "a", "b").union(edges.select("image_id", "b", "a")).distinct(), "edges")
     labels = stored(both.groupBy("image_id", F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
     while True:
@@ -42,26 +65,39 @@ def _tile(tile: int) -> list:
     return [F.floor(F.col("row") / tile).cast("int").alias("ty"), F.floor(F.col("col") / tile).cast("int").alias("tx")]
 
 
-def tiled_components(mask: DataFrame, tile: int = TILE, eight: bool = False) -> DataFrame:
-    """The 4-connected (or 8-connected) component of each pixel of mask (image_id, row, col): component is row * 2^31 + col of its first pixel in row order.
+def _in_stacks(rows: DataFrame, size: int, tasks: int):
+    """rows of tiles (ty, tx) of size x size pixels, halos included, dealt to some tasks and grouped to what a call has: 4 TILE^2 pixels at most or one tile."""
+    side = max(1, 2 * TILE // size)
+    rows = rows.withColumn("by", F.floor(F.col("ty") / side)).withColumn("bx", F.floor(F.col("tx") / side))
+    return rows.repartition(tasks, "image_id", "by", "bx").groupBy("image_id", "by", "bx")
 
-    Tiles find their own components by runs; those that touch over a tile's edge are joined by the edge pixels alone.
-    Rows and columns are not negative; repeated pixels count once; an empty table gives no rows.
-    """
+
+def _stacked(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different tiles' ty and tx, and the place among them of each row's tile."""
+    ty, tx = frame["ty"].to_numpy(np.int64), frame["tx"].to_numpy(np.int64)
+    wide = tx.max() - tx.min() + 1
+    tile, at = np.unique((ty - ty.min()) * wide + tx - tx.min(), return_inverse=True)
+    return tile // wide + ty.min(), tile % wide + tx.min(), at
+
+
+def tile_components(mask: DataFrame, tile: int = TILE, eight: bool = False, tasks: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The components of mask (image_id, row, col) inside each tile (image_id, row, col, component), and, if any touch over a tile's edge, the component
+    comp of the image that each of those is part of (image_id, component, comp). A component of a tile has no more pixels than the tile. Without a number of tasks mask is counted."""
     kind = dict(mask.dtypes)["image_id"]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(frame["row"].min()), int(frame["col"].min())
-        grid = np.zeros((int(frame["row"].max()) - r0 + 1, int(frame["col"].max()) - c0 + 1), bool)
-        grid[frame["row"] - r0, frame["col"] - c0] = True
-        r, c = np.nonzero(grid)
-        own = components(grid, eight)[r, c]
-        first = np.full(own.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, own, (r + r0).astype(np.int64) << 31 | (c + c0))
-        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "row": (r + r0).astype("int32"), "col": (c + c0).astype("int32"), "component": first[own]})
+        ty, tx, at = _stacked(frame)
+        grid = np.zeros((len(ty) * (tile + 1), tile), bool)  # an empty row below each tile
+        grid[at * (tile + 1) + frame["row"].to_numpy() - ty[at] * tile, frame["col"].to_numpy() - tx[at] * tile] = True
+        y, x = np.nonzero(grid)
+        at = y // (tile + 1)
+        r, c = y % (tile + 1) + ty[at] * tile, x + tx[at] * tile
+        own = components(grid, eight)[y, x]
+        first = np.unique(own, return_index=True)[1]
+        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "row": r.astype("int32"), "col": c.astype("int32"), "component": (r << 31 | c)[first][own - 1]})
 
     tiles = mask.select(F.col("image_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).withColumns({"ty": _tile(tile)[0], "tx": _tile(tile)[1]})
-    local = stored(tiles.groupBy("image_id", "ty", "tx").applyInPandas(run, f"image_id {kind}, row int, col int, component long"), "tile-components")
+    local = stored(_in_stacks(tiles, tile, tasks or parts(tiles)).applyInPandas(run, f"image_id {kind}, row int, col int, component long"), "tile-components")
     side = lambda c, d: F.col(c) % tile == (tile - 1 if d > 0 else 0)
     border = local.where(side("row", 0) | side("row", 1) | side("col", 0) | side("col", 1))
     edges = None
@@ -71,21 +107,30 @@ def tiled_components(mask: DataFrame, tile: int = TILE, eight: bool = False) ->
         found = here.join(border.select(*_KEY, F.col("component").alias("b")), _KEY).select("image_id", "a", "b")
         edges = found if edges is None else edges.union(found)
     edges = stored(edges.distinct(), "tile-edges")
-    if edges.isEmpty():
-        return local
-    joined = linked(edges).withColumnRenamed("node", "component")
-    return local.join(joined, ["image_id", "component"], "left").select(*_KEY, F.coalesce("comp", "component").alias("component"))
+    return local, None if edges.isEmpty() else linked(edges, BLOCK * tile).withColumnRenamed("node", "component")
+
+
+def _named(local: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Rows of components of tiles with comp, the image's component."""
+    if joined is None:
+        return local.withColumn("comp", F.col("component"))
+    return local.join(joined, ["image_id", "component"], "left").withColumn("comp", F.coalesce("comp", "component"))
+
+
+def tiled_components(mask: DataFrame, tile: int = TILE, eight: bool = False) -> DataFrame:
+    """The 4-connected (or 8-connected) component of each pixel of mask (image_id, row, col): component is row * 2^31 + col of its first pixel in row order.
+
+    Tiles find their own components by runs; those that touch over a tile's edge are joined by the edge pixels alone.
+    Rows and columns are not negative; repeated pixels count once; an empty table gives no rows.
+    """
+    return _named(*tile_components(mask, tile, eight)).select(*_KEY, F.col("comp").alias("component"))
 
 
 def _with_halo(px: DataFrame, tile: int, halo: int) -> DataFrame:
     """Each pixel with every tile (ty, tx) in which, or in whose halo, it lies."""
-    around = -(-halo // tile)  # tiles that a halo reaches into, on either side
-    reach = range(-around, around + 1)
-    moves = F.array(*(F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a in reach for b in reach))
     px = px.select(F.col("image_id"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
-    px = px.select(*_KEY, F.explode(moves).alias("m"), *_tile(tile)).select(*_KEY, (F.col("ty") + F.col("m.y")).alias("ty"), (F.col("tx") + F.col("m.x")).alias("tx"))
-    near = lambda c, t: F.col(c).between(F.col(t) * tile - halo, (F.col(t) + 1) * tile - 1 + halo)
-    return px.where(near("row", "ty") & near("col", "tx"))
+    reach = lambda c: F.explode(F.sequence(*(F.floor((F.col(c) + d) / tile).cast("int") for d in (-halo, halo))))
+    return px.withColumn("ty", reach("row")).withColumn("tx", reach("col"))
 
 
 def _bounds(px: DataFrame) -> DataFrame:
@@ -107,19 +152,23 @@ def closed_mask(px: DataFrame, dilate: int, close: int, tile: int = TILE) -> Dat
     inside_box = (F.col("ty") * tile <= F.col("r1")) & ((F.col("ty") + 1) * tile > F.col("r0")) & (F.col("tx") * tile <= F.col("c1")) & ((F.col("tx") + 1) * tile > F.col("c0"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ty, tx, r0, r1, c0, c1 = (int(frame[c].iloc[0]) for c in ("ty", "tx", "r0", "r1", "c0", "c1"))
+        ty, tx, at = _stacked(frame)
+        r0, r1, c0, c1 = (int(frame[c].iloc[0]) for c in ("r0", "r1", "c0", "c1"))
         top, left, size = ty * tile - halo, tx * tile - halo, tile + 2 * halo
-        valid = np.zeros((size, size), bool)
-        valid[max(r0 - top, 0) : max(r1 - top + 1, 0), max(c0 - left, 0) : max(c1 - left + 1, 0)] = True
-        mask = np.zeros((size, size), bool)
-        own = frame[frame["row"].notna()]
-        mask[own["row"].astype(int) - top, own["col"].astype(int) - left] = True
+        r, c = top[:, None] + np.arange(size), left[:, None] + np.arange(size)
+        valid = ((r >= r0) & (r <= r1))[:, :, None] & ((c >= c0) & (c <= c1))[:, None, :]
+        mask = np.zeros((len(ty), size, size), bool)
+        own = frame["row"].notna().to_numpy()
+        at = at[own]
+        mask[at, frame["row"].to_numpy()[own].astype(int) - top[at], frame["col"].to_numpy()[own].astype(int) - left[at]] = True
         region = shifted_or(shifted_or(mask, dilate) & valid, close) & valid
         region = eroded(region | ~valid, close) & valid
-        r, c = np.nonzero(valid[halo : halo + tile, halo : halo + tile])
-        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "row": (r + ty * tile).astype("int32"), "col": (c + tx * tile).astype("int32"), "inside": region[r + halo, c + halo]})
+        at, r, c = np.nonzero(valid[:, halo : halo + tile, halo : halo + tile])
+        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "row": (r + ty[at] * tile).astype("int32"), "col": (c + tx[at] * tile).astype("int32"), "inside": region[at, r + halo, c + halo]})
 
-    return rows.where(inside_box).groupBy("image_id", "ty", "tx").applyInPandas(run, f"image_id {kind}, row int, col int, inside boolean")
+    boxes = bounds.agg(F.sum((F.col("r1") - F.col("r0") + 1).cast("long") * (F.col("c1") - F.col("c0") + 1))).first()[0] or 0
+    tasks = max(px.sparkSession.sparkContext.defaultParallelism, -(-boxes // ROWS_A_TASK))
+    return _in_stacks(rows.where(inside_box), tile + 2 * halo, tasks).applyInPandas(run, f"image_id {kind}, row int, col int, inside boolean")
 
 
 def colony_support(px: DataFrame, dilate: int = 8, close: int = 12, holes: int = 20000, least: int = 15000, tile: int = TILE) -> DataFrame:
@@ -133,28 +182,41 @@ def colony_support(px: DataFrame, dilate: int = 8, close: int = 12, holes: int =
     return px.join(region.withColumn("inside", F.lit(True)), _KEY, "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
-def _largest(parts: DataFrame, least: int = 1) -> DataFrame:
-    """(image_id, component) of each image's largest component, if it has `least` pixels."""
-    sizes = parts.groupBy("image_id", "component").agg(F.count("*").alias("n"))
-    best = sizes.groupBy("image_id").agg(F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("s"))
-    return best.where(F.col("s.n") >= least).select("image_id", (-F.col("s.c")).alias("component"))
+def _sizes(local: DataFrame, joined: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The components of tiles with comp, and each comp's pixels n."""
+    own = stored(_named(local.groupBy("image_id", "component").agg(F.count("*").alias("n")), joined), "tile-sizes")
+    return own.drop("n"), own.groupBy("image_id", "comp").agg(F.sum("n").alias("n"))
+
+
+def _largest(sizes: DataFrame, least: int = 1) -> DataFrame:
+    """(image_id, comp) of each image's largest component, if it has `least` pixels."""
+    best = sizes.groupBy("image_id").agg(F.max(F.struct("n", (-F.col("comp")).alias("c"))).alias("s"))
+    return best.where(F.col("s.n") >= least).select("image_id", (-F.col("s.c")).alias("comp"))
+
+
+def _pixels_of(local: DataFrame, own: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The pixels of the chosen comps (image_id, comp), met by components of tiles, so that no key has an image's pixels."""
+    return local.join(own.join(chosen, ["image_id", "comp"], "left_semi"), ["image_id", "component"], "left_semi").select(*_KEY)
 
 
 def colony_region(px: DataFrame, dilate: int, close: int, holes: int, least: int, tile: int = TILE) -> DataFrame:
     """The pixels (image_id, row, col) of each image's colony region, as in colony_support, label or none."""
     labelled = px.where("label > 0").select("image_id").distinct()
     mask = stored(closed_mask(px.join(labelled, "image_id", "left_semi"), dilate, close, tile), "closed")
-    gaps = tiled_components(mask.where(~F.col("inside")).select(*_KEY), tile)
-    small = gaps.groupBy("image_id", "component").agg(F.count("*").alias("n")).where(F.col("n") <= holes).select("image_id", "component")
-    filled = mask.where("inside").select(*_KEY).union(gaps.join(small, ["image_id", "component"]).select(*_KEY))
-    parts = stored(tiled_components(filled, tile), "parts")
-    large = stored(_largest(parts, least), "large")
-    region = parts.join(large, ["image_id", "component"]).select(*_KEY)
+    tasks = parts(mask)
+    gaps, joined = tile_components(mask.where(~F.col("inside")).select(*_KEY), tile, tasks=tasks)
+    own, sizes = _sizes(gaps, joined)
+    filled = mask.where("inside").select(*_KEY).union(_pixels_of(gaps, own, sizes.where(F.col("n") <= holes)))
+    whole, joined = tile_components(filled, tile, tasks=tasks)
+    own, sizes = _sizes(whole, joined)
+    large = stored(_largest(sizes, least), "large")
+    region = _pixels_of(whole, own, large)
     rest = px.where("label > 0").join(large, "image_id", "left_anti")
     if rest.isEmpty():
         return region
-    raw = stored(tiled_components(rest.select(*_KEY), tile), "raw-parts")
-    return region.union(raw.join(_largest(raw), ["image_id", "component"]).select(*_KEY))
+    raw, joined = tile_components(rest.select(*_KEY), tile, tasks=tasks)
+    own, sizes = _sizes(raw, joined)
+    return region.union(_pixels_of(raw, own, _largest(sizes)))
 
 
 def _lower_envelope(cost: np.ndarray, at: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -230,16 +292,16 @@ def skeleton(mask: DataFrame, tile: int = TILE, rounds: int = 16) -> DataFrame:
     now = stored(mask.select("image_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct(), "skeleton")
     many = now.count()
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, ty, tx = key
-        top, left, size = int(ty) * tile - halo, int(tx) * tile - halo, tile + 2 * halo
-        grid = np.zeros((size, size), bool)
-        grid[frame["row"] - top, frame["col"] - left] = True
-        r, c = np.nonzero(thinned(grid, rounds)[halo : halo + tile, halo : halo + tile])
-        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "row": (r + int(ty) * tile).astype("int32"), "col": (c + int(tx) * tile).astype("int32")})
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ty, tx, at = _stacked(frame)
+        grid = np.zeros((len(ty), tile + 2 * halo, tile + 2 * halo), bool)
+        grid[at, frame["row"].to_numpy() - ty[at] * tile + halo, frame["col"].to_numpy() - tx[at] * tile + halo] = True
+        at, r, c = np.nonzero(thinned(grid, rounds)[:, halo : halo + tile, halo : halo + tile])
+        return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "row": (r + ty[at] * tile).astype("int32"), "col": (c + tx[at] * tile).astype("int32")})
 
     while many:
-        now = stored(_with_halo(now, tile, halo).groupBy("image_id", "ty", "tx").applyInPandas(run, f"image_id {kind}, row int, col int"), "skeleton")
+        near = -(-((tile + 2 * halo) ** 2) // tile**2)  # tiles that a pixel goes to
+        now = stored(_in_stacks(_with_halo(now, tile, halo), tile + 2 * halo, parts(now, near)).applyInPandas(run, f"image_id {kind}, row int, col int"), "skeleton")
         many, before = now.count(), many
         if many == before:
             break

@@ -108,3 +108,64 @@ def test_thinning_keeps_what_is_connected():
     bar[3:8, 3:37] = True
     thin = M.thinned(bar)
     assert thin.sum(axis=0).max() == 1 and thin[5].sum() > 25 and thin.sum() == thin[5].sum()
+
+
+def test_long_chains_are_linked_in_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(T, "stored", lambda df, name, keep=T.stored: (written.append(name), keep(df, name))[1])
+    at = np.arange(3000, dtype="int64") * 24 << 31
+    got = T.linked(spark.createDataFrame(pd.DataFrame({"image_id": "f", "a": at[:-1], "b": at[1:]}))).toPandas()
+    assert sorted(got.node) == sorted(at) and (got.comp == 0).all()
+    assert written.count("labels") < 10  # two for each round
+
+
+def test_links_over_blocks(spark):
+    r = np.random.default_rng(3)
+    node = np.unique(r.integers(0, 200, 700) << 31 | r.integers(0, 200, 700))
+    ends = r.integers(0, len(node), (2, 500))
+    edges = pd.concat([pd.DataFrame({"image_id": i, "a": node[ends[0][part]], "b": node[ends[1][part]]}) for i, part in (("f", slice(None)), ("g", slice(0, 250)))])
+    got = T.linked(spark.createDataFrame(edges), side=20).toPandas()
+    for i, mine in got.groupby("image_id"):
+        some = edges[edges.image_id == i]
+        a, b = np.searchsorted(node, some.a), np.searchsorted(node, some.b)
+        own = np.unique(np.concatenate([a, b]))
+        want = dict(zip(node[own], node[M.least_linked(len(node), a, b)[own]]))
+        assert len(mine) == len(want) and dict(zip(mine.node, mine.comp)) == want
+
+
+def test_images_of_several_stacks_of_tiles(spark):
+    r = np.random.default_rng(8)
+    some = ((r.random((40, 1100)) < 0.03).astype(int), (r.random((400, 15)) < 0.65).astype(int))
+    sizes = (2, 3, 40, 7000)  # the first has a part as large, the second hasn't
+    got = T.colony_support(table(spark, *some), *sizes, tile=16).toPandas()
+    for i, g in enumerate(some):
+        mine, want = got[got.image_id == f"i{i}"], M.colony(g > 0, *sizes)
+        assert len(mine) == g.size and (mine.inside == want[mine.row - 5 * i, mine.col - 3 * i]).all() and (want.sum() >= 7000) == (i == 0)
+
+
+def test_stacks_equal_their_images():
+    r = np.random.default_rng(4)
+    stack = r.random((5, 20, 31)) < 0.2
+    for radius in (0, 1, 4):
+        assert (M.shifted_or(stack, radius) == [M.shifted_or(g, radius) for g in stack]).all()
+        assert (M.eroded(stack, radius) == [M.eroded(g, radius) for g in stack]).all()
+    assert (M.thinned(M.shifted_or(stack, 1), 3) == [M.thinned(M.shifted_or(g, 1), 3) for g in stack]).all()
+
+
+@pytest.mark.parametrize("eight", [False, True])
+def test_components_against_a_flood(eight):
+    r = np.random.default_rng(6)
+    for mask in (*(r.random((17, 23)) < share for share in (0, 0.3, 0.55, 0.8, 1)), np.ones((1, 1), bool), r.random((1, 30)) < 0.5, r.random((30, 1)) < 0.5, *(g > 0 for g in grids())):
+        want, many = np.zeros(mask.shape, int), 0
+        for y, x in np.argwhere(mask):
+            if want[y, x]:
+                continue
+            many += 1
+            want[y, x], todo = many, [(y, x)]
+            while todo:
+                a, b = todo.pop()
+                for p, q in ((a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if eight or abs(i) + abs(j) == 1):
+                    if 0 <= p < mask.shape[0] and 0 <= q < mask.shape[1] and mask[p, q] and not want[p, q]:
+                        want[p, q] = many
+                        todo.append((p, q))
+        assert (M.components(mask, eight) == want).all()
